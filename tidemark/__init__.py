@@ -1 +1,8 @@
 """tidemark: time-series and narrative analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run in Python workers travel with their task: executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

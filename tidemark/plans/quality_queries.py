@@ -9,6 +9,7 @@ from tidemark.functions.missing import Reading, usable
 from tidemark.operators.hot_deck import hot_deck, marked_cells
 from tidemark.operators.known_at import known_at
 from tidemark.operators.regrid import calendar_cells, regrid
+from tidemark.operators.spikes import Measure, implausible
 from tidemark.operators.trailing import clean_key, latest_per, trailing, windows_of_rows
 from tidemark.session import table
 
@@ -125,6 +126,19 @@ UNION ALL SELECT row_id, 'news_sent_mean_7d' FROM x WHERE news_sent_mean_7d IS N
 P2_WINDOWS_SQL = _P2_CTE + "SELECT key AS ticker, date, count_7, round(mean_7 + 1e-10, 6) AS mean_7, count_30, round(mean_30 + 1e-10, 6) AS mean_30 FROM w"
 
 
+# p4 -----------------------------------------------------------------------------------------------------------
+def p4_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Faulty readings, each with what is wrong about it."""
+    prices = implausible(table(spark, d, "prices"), [Measure("adj_close")], source="ticker", date="date", row_id="price_id")
+    matrix = implausible(table(spark, d, MATRIX), [Measure("vix_level"), Measure("td_return_1d", "return", "td_close")], source="ticker", date="date", row_id="row_id")
+    a = prices.select(F.lit("prices").alias("table_name"), F.col("price_id").alias("row_id"), "field", "out_of_range", "spike", "stuck")
+    return a.unionByName(matrix.withColumn("table_name", F.lit(MATRIX)))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_faults(spark, d).select("table_name", "row_id", "field")
+
+
 # p5 -----------------------------------------------------------------------------------------------------------
 def p5_grid(spark: SparkSession, d: str) -> DataFrame:
     """One line per ticker, field and trading day: the level, read or filled, and whether it is marked as having no reading of its own."""
@@ -234,6 +248,8 @@ QUERIES = {
     "p1_filled": p1_filled,
     "p2_found": p2_found,
     "p2_windows": p2_windows,
+    "p4_found": p4_found,
+    "p4_faults": p4_faults,
     "p5_found": p5_found,
     "p5_grid": p5_grid,
     "p6_found": p6_found,
