@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.missing import Reading, usable
 from tidemark.operators.hot_deck import hot_deck, marked_cells
 from tidemark.operators.known_at import known_at
+from tidemark.operators.profile import Check, column_states, merge_states, out_of_control, state_metrics
 from tidemark.operators.regrid import calendar_cells, regrid
 from tidemark.operators.spikes import Measure, implausible
 from tidemark.operators.trailing import clean_key, latest_per, trailing, windows_of_rows
@@ -126,6 +127,91 @@ UNION ALL SELECT row_id, 'news_sent_mean_7d' FROM x WHERE news_sent_mean_7d IS N
 P2_WINDOWS_SQL = _P2_CTE + "SELECT key AS ticker, date, count_7, round(mean_7 + 1e-10, 6) AS mean_7, count_30, round(mean_30 + 1e-10, 6) AS mean_30 FROM w"
 
 
+# p3 -----------------------------------------------------------------------------------------------------------
+QUARTER = Check(pattern=r"^FY\d{4}Q[1-4]$")
+
+#: Declared once for all tables; a column that isn't listed is profiled without a check of its own.
+CHECKS = {
+    "fiscal_quarter": QUARTER,
+    "ticker": Check(pattern=r"^[A-Z]{4}-P\d{6}\.QX$"),
+    "issuer": Check(pattern=r"^[A-Z]{4}$"),
+    "is_news_burst": Check(domain=(0, 1)),
+    "is_earnings_week": Check(domain=(0, 1)),
+    "td_return_1d": Check(low=-1.0),
+    "td_return_5d": Check(low=-1.0),
+    "td_return_20d": Check(low=-1.0),
+    "td_return_5d_fwd": Check(low=-1.0),
+    "framing_gap_ffill": Check(low=-2.0, high=2.0),
+    "evt_framing_gap": Check(low=-2.0, high=2.0),
+    "td_dist_52w_high": Check(low=-1.0, high=0.0),
+    "days_since_last_news": Check(low=0.0, stand_ins=(-9999.0, 999.0)),
+    "adj_close": Check(low=0.0),
+    "vix_level": Check(low=0.0),
+    "created_at": Check(pattern=r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$"),
+    "lang": Check(pattern=r"^[a-z]{2}$"),
+}
+
+
+def _loads(spark: SparkSession, d: str, columns: list[str] | None = None) -> DataFrame:
+    m = table(spark, d, MATRIX)
+    s = column_states(m, "load_id", columns, CHECKS)
+    return state_metrics(s, merge_states(s, "field"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    x = _loads(spark, d, ["framing_gap_ffill", "td_return_5d_fwd", "is_news_burst", "fiscal_quarter"])
+    return out_of_control(x).select(F.col("part").cast("long").alias("load_id"), "field").distinct()
+
+
+def p3_alarms(spark: SparkSession, d: str) -> DataFrame:
+    """Every column of the matrix: what was out of line in which load."""
+    return out_of_control(_loads(spark, d)).withColumnRenamed("part", "load_id")
+
+
+def p3_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Profile of every column of the large tables by load: of the matrix by load_id, of the others by month of arrival."""
+    month = lambda c: F.date_format(F.trunc(c, "month"), "yyyy-MM")
+    parts = {
+        MATRIX: F.lpad(F.col("load_id").cast("string"), 6, "0"),
+        "prices": month(F.col("ingested_at")),
+        "annotations": month(F.to_date(F.try_to_timestamp("created_at"))),
+        "documents": month(F.col("doc_date")),
+    }
+    out = None
+    for name, by in parts.items():
+        t = table(spark, d, name).withColumn("__load", by)
+        x = state_metrics(column_states(t, "__load", None, CHECKS)).select(F.lit(name).alias("table_name"), F.col("part").alias("load"), *PROFILE)
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+PROFILE = ("field", "n", "nulls", "nans", "stand_ins", "off_pattern", "off_domain", "off_range", "used", "low", "high", "mean", "sd", "n_distinct", "q25", "q50", "q75", "mode_share")
+
+
+def p3_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The exact part of the matrix's profile by load, for comparison with SQL."""
+    s = column_states(table(spark, d, MATRIX), "load_id", ["framing_gap_ffill", "td_return_5d_fwd", "is_news_burst", "fiscal_quarter"], CHECKS)
+    return s.select(F.col("part").cast("long").alias("load_id"), "field", "n", "nulls", "nans", "stand_ins", "off_pattern", "off_domain", "off_range", "used", "low", "high")
+
+
+def _p3_sql(field: str, x: str, nan: str, standing: str, off_pattern: str = "false", off_domain: str = "false", off_range: str = "false") -> str:
+    used = f"{field} IS NOT NULL AND NOT coalesce({nan}, false) AND NOT coalesce({standing}, false)"
+    n = lambda c: f"CAST(count(*) FILTER ({c}) AS BIGINT)"
+    return (
+        f"SELECT CAST(load_id AS BIGINT) AS load_id, '{field}' AS field, count(*) AS n, {n(field + ' IS NULL')} AS nulls, {n(nan)} AS nans, {n(standing)} AS stand_ins, "
+        f"{n(used + ' AND ' + off_pattern)} AS off_pattern, {n(used + ' AND ' + off_domain)} AS off_domain, {n(used + ' AND ' + off_range)} AS off_range, {n(used)} AS used, "
+        f"CAST(min({x}) FILTER ({used}) AS DOUBLE) AS low, CAST(max({x}) FILTER ({used}) AS DOUBLE) AS high FROM {MATRIX} GROUP BY load_id"
+    )
+
+
+P3_COUNTS_SQL = " UNION ALL ".join([
+    _p3_sql("framing_gap_ffill", "framing_gap_ffill", "isnan(framing_gap_ffill)", "framing_gap_ffill = -9999", off_range="NOT framing_gap_ffill BETWEEN -2 AND 2"),
+    _p3_sql("td_return_5d_fwd", "td_return_5d_fwd", "isnan(td_return_5d_fwd)", "td_return_5d_fwd = -9999", off_range="td_return_5d_fwd < -1"),
+    _p3_sql("is_news_burst", "is_news_burst", "false", "is_news_burst = -9999", off_domain="is_news_burst NOT IN (0, 1)"),
+    _p3_sql("fiscal_quarter", "length(fiscal_quarter)", "false", "false", off_pattern="NOT regexp_full_match(fiscal_quarter, 'FY[0-9]{4}Q[1-4]')"),
+])
+
+
 # p4 -----------------------------------------------------------------------------------------------------------
 def p4_faults(spark: SparkSession, d: str) -> DataFrame:
     """Faulty readings, each with what is wrong about it."""
@@ -248,6 +334,10 @@ QUERIES = {
     "p1_filled": p1_filled,
     "p2_found": p2_found,
     "p2_windows": p2_windows,
+    "p3_found": p3_found,
+    "p3_alarms": p3_alarms,
+    "p3_profile": p3_profile,
+    "p3_counts": p3_counts,
     "p4_found": p4_found,
     "p4_faults": p4_faults,
     "p5_found": p5_found,
@@ -261,6 +351,7 @@ ORACLE = {
     "p1_filled": P1_FILLED_SQL,
     "p2_found": P2_SQL,
     "p2_windows": P2_WINDOWS_SQL,
+    "p3_counts": P3_COUNTS_SQL,
     "p5_found": P5_SQL,
     "p6_found": P6_SQL,
     "p6_known": P6_KNOWN_SQL,
