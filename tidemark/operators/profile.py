@@ -151,7 +151,7 @@ LIMITS = (
 )
 
 
-def out_of_control(metrics: DataFrame, *, by: Sequence[str] = ("field",), width: float = 6.0, least_history: int = 5) -> DataFrame:
+def out_of_control(metrics: DataFrame, *, by: Sequence[str] = ("field",), width: float = 5.0, least_history: int = 5) -> DataFrame:
     """One row for each metric of a state that is out of line with the same column's other states: part, by, metric, value, centre, limit.
 
     Centre and spread are median and 1.4826 median absolute deviations over all
