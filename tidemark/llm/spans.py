@@ -111,25 +111,28 @@ def shared_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     Nulls: NULL, empty and shorter texts are in neither table. Repeated rows
     are members each.
     """
-    w = max(2, min(48, least // 8))
-    reach = least - GEAR - w + 1  # what a stretch holds after each of its first w cuts, whichever it is
-    if reach < GEAR:
+    # A stretch has a cut within its first w positions where the hash is its own, and at least reach characters after it.
+    # A chunk ends w - 1 to 2 w - 2 after its cut, and whether there is a cut depends on w - 1 more on either side:
+    # with reach = 3 (w - 1) all of that lies within the stretch, so that every text that has it has this chunk.
+    w = (least - GEAR + 4) // 4
+    if w < 2:
         raise ValueError(f"stretches of {least} are too short for a gear hash of {GEAR} characters")
-    chunk = max(1, reach - 2 * w)
+    reach, chunk = least - GEAR - w + 1, w - 1
     d = docs.where(F.length(text) >= least).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"), F.unhex(F.md5(text)).alias("text"))
     members = d.select("text", "doc_id", F.length("body").cast("long").alias("n_chars"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, at, key = [], [], []
-            for i, t in enumerate(batch.column(0).to_pylist()):
+            at, key, ends = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [0]
+            for t in batch.column(0).to_pylist():
                 a, k = chunk_keys(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), w, chunk, reach)
-                rows.append(np.full(len(a), i)), at.append(a), key.append(k)
-            if rows:
-                of = batch.column(1).take(pa.array(np.concatenate(rows).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([of, pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(key))], names=["text", "at", "key"])
+                at.append(a), key.append(k), ends.append(ends[-1] + len(a))
+            held = pa.StructArray.from_arrays([pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(key))], names=["at", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held)], names=["text", "cuts"])
 
-    cuts = d.select("body", "text").mapInArrow(keys, "text binary, at int, key long")
+    # kept, so that texts are cut once; twelve bytes a cut
+    kept = cut(d.select("body", "text").mapInArrow(keys, "text binary, cuts array<struct<at: int, key: bigint>>"))
+    cuts = kept.select("text", F.inline("cuts"))
     # one text's copies give the same rows; one of each stays. More than one text has a digest if min < max of their hashes
     h = F.xxhash64("text")
     shared = cuts.groupBy("key").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo < hi").select("key")
