@@ -47,13 +47,14 @@ def annotations(spark: SparkSession, d: str) -> DataFrame:
         F.col("output.sentiment").alias("sentiment"), F.col("output.sentiment_score").alias("score"), F.col("output.topics").alias("topics"), F.col("output.key_quote").alias("quote"), "token_count",
     )
     a = a.where(F.col("score").isNotNull() & ~F.isnan("score"))
-    return latest_row(a, ["chunk_id"], ["created", "date", "score"]).drop("created")
+    a = a.withColumn("tie", F.concat_ws("|", "topics"))
+    return latest_row(a, ["chunk_id"], ["created", "date", "score", "tie"]).drop("created", "tie")
 
 
 NOTES = """notes AS (SELECT chunk_id, upper(trim(ticker)) AS ticker, issuer, source_type, fiscal_quarter AS quarter, td_fiscal_quarter_hint AS hint, section, speaker.role AS role,
   CAST(substr(date, 1, 10) AS DATE) AS date, output.sentiment AS sentiment, output.sentiment_score AS score, output.topics AS topics, output.key_quote AS quote, token_count
   FROM annotations WHERE output.sentiment_score IS NOT NULL AND NOT isnan(output.sentiment_score)
-  QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY created_at DESC, date DESC, output.sentiment_score DESC) = 1)"""
+  QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY created_at DESC, substr(date, 1, 10) DESC, output.sentiment_score DESC, coalesce(array_to_string(output.topics, '|'), '') DESC) = 1)"""
 
 
 def with_(*ctes: str) -> str:
