@@ -120,7 +120,8 @@ def _flags(kind: str, v: pd.Series, market: pd.Series, group: pd.Series, witness
         x = np.take_along_axis(x, order, 1)
         e = x - np.take_along_axis(mk, order, 1)
         if kind == "level":
-            scale = np.maximum(np.maximum(_scale(np.diff(e, axis=1)) if n > 1 else 0.0, _scale(np.diff(x, axis=1)) if n > 1 else 0.0), 1e-5)
+            scale = np.maximum(_scale(np.diff(e, axis=1)), _scale(np.diff(x, axis=1))) if n > 1 else np.zeros(len(x))
+            scale = np.maximum(scale, 1e-5)
             hit = _brief(e, scale, threshold) & _outside(e, scale, width, threshold / 2)
         else:
             scale = np.maximum(_scale(x), 1e-5)
