@@ -65,7 +65,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """path, text of whole files."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def manifest(spark: SparkSession, path: str, source: str, kind: str) -> DataFrame:
@@ -84,7 +84,7 @@ def write_document(spark: SparkSession, path: str, document: Mapping[str, object
 
 
 def read_document(spark: SparkSession, path: str) -> dict[str, object]:
-    return json.loads(spark.read.option("wholetext", True).text(path).first()["value"])
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
 
 
 def latest(paths: DataFrame, column: str) -> DataFrame:
