@@ -52,6 +52,25 @@ def _window_minima(h: np.ndarray, w: int) -> np.ndarray:
     return top[:n] == h
 
 
+def _digests(codes: np.ndarray):  # noqa: ANN202
+    """A function that digests codes[a:b] for arrays a, b: polynomials modulo 2^64, from sums along the text."""
+    n = len(codes)
+    powers = np.ones(n + 1, dtype=np.uint64)
+    powers[1:] = _BASE
+    powers = np.cumprod(powers, dtype=np.uint64)
+    down = np.ones(n + 1, dtype=np.uint64)
+    down[1:] = _INVERSE
+    down = np.cumprod(down, dtype=np.uint64)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    sums[1:] = np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers[:-1], dtype=np.uint64)
+
+    def digest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = (sums[b] - sums[a]) * down[a]
+        return x ^ (x >> np.uint64(32))
+
+    return digest
+
+
 def chunk_keys(codes: np.ndarray, w: int, chunk: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """Cuts of one text and the digest of what each begins.
 
@@ -65,18 +84,7 @@ def chunk_keys(codes: np.ndarray, w: int, chunk: int, reach: int) -> tuple[np.nd
         return np.empty(0, np.int64), np.empty(0, np.int64)
     h = _gear(codes)[GEAR - 1 :]
     cuts = np.flatnonzero(_window_minima(h, w)) + GEAR - 1
-    powers = np.ones(n + 1, dtype=np.uint64)
-    powers[1:] = _BASE
-    powers = np.cumprod(powers, dtype=np.uint64)
-    down = np.ones(n + 1, dtype=np.uint64)
-    down[1:] = _INVERSE
-    down = np.cumprod(down, dtype=np.uint64)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    sums[1:] = np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers[:-1], dtype=np.uint64)
-
-    def digest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (sums[b] - sums[a]) * down[a]
-
+    digest = _digests(codes)
     a = cuts[cuts + reach <= n]
     if not len(a):
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -88,7 +96,46 @@ def chunk_keys(codes: np.ndarray, w: int, chunk: int, reach: int) -> tuple[np.nd
     return a[first], key[first].view(np.int64)
 
 
-def shared_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = 400) -> tuple[DataFrame, DataFrame]:
+def _meet(rows: DataFrame) -> DataFrame:
+    """text_a < text_b, at_a, at_b of rows (text, key, at) with one key."""
+    a = rows.select("key", F.col("text").alias("text_a"), F.col("at").alias("at_a"))
+    b = rows.select("key", F.col("text").alias("text_b"), F.col("at").alias("at_b"))
+    return a.join(b, on="key").where("text_a < text_b").select("text_a", "text_b", "at_a", "at_b")
+
+
+def _telling(crowded: DataFrame, least: int, w: int) -> DataFrame:
+    """(text, key, at) of whole stretches of ``least`` characters around the cuts of (text, ats, body), as few as tell the pairs.
+
+    Of the stretches that lie around a cut as the first one after their
+    beginning, each is hashed as a whole: texts that don't share one never
+    meet. One that the same texts have as the stretch a character before tells
+    nothing new and is left out, unless some text has it as its first.
+    """
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, at, key = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for i, (ats, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                near = np.unique(np.asarray(ats, dtype=np.int64)[:, None] - GEAR + 1 - np.arange(w)[None, :])
+                near = near[(near >= 0) & (near + least <= len(codes))]
+                rows.append(np.full(len(near), i)), at.append(near), key.append(_digests(codes)(near, near + least).view(np.int64))
+            of = batch.column(0).take(pa.array(np.concatenate(rows)))
+            yield pa.RecordBatch.from_arrays([of, pa.array(np.concatenate(key)), pa.array(np.concatenate(at).astype(np.int32))], names=["text", "key", "at"])
+
+    x = crowded.select("text", "ats", "body").mapInArrow(hashes, "text binary, key long, at int")
+    h = F.xxhash64("text")
+    who = x.groupBy("key").agg(F.count("*").alias("n"), F.sum(h.cast("double")).alias("s"), F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo < hi")
+    who = who.select("key", F.xxhash64("n", "s", "lo", "hi").alias("who"))
+    by = Window.partitionBy("text").orderBy("at")
+    y = x.join(who, on="key")
+    first = ~((F.lag("at").over(by) == F.col("at") - 1) & (F.lag("who").over(by) == F.col("who")))
+    y = y.withColumn("first", F.coalesce(first, F.lit(True)))
+    telling = y.where("first").select("key").distinct()
+    return y.select("text", "key", "at").join(telling, on="key", how="left_semi")
+
+
+def shared_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = 400, crowd: int = 64) -> tuple[DataFrame, DataFrame]:
     """Stretches of at least ``least`` characters (code points) that different texts share, and which documents have which text.
 
     The first table, spans, has text_a < text_b (digests), start_a, start_b and
@@ -105,8 +152,10 @@ def shared_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     Scale: one row per cut (two in w + 1 characters) is shuffled by digest, and
     those that only one text has are dropped there, counts combined before the
     shuffle. Copies meet as one text, never in pairs. A pair of texts is
-    compared once for each alignment, not for each digest. Pairs of different
-    texts that share a stretch are the result and all come out.
+    compared once for each alignment, not for each digest. A digest that more
+    than ``crowd`` texts have forms no pairs: around it whole stretches of
+    ``least`` characters are hashed, so that of a crowd only those texts meet
+    that share one. These pairs are the result and all come out.
 
     Nulls: NULL, empty and shorter texts are in neither table. Repeated rows
     are members each.
@@ -137,10 +186,12 @@ def shared_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     h = F.xxhash64("text")
     shared = cuts.groupBy("key").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo < hi").select("key")
     held = cut(cuts.join(shared, on="key").distinct())
-    a, b = held.select("key", F.col("text").alias("text_a"), F.col("at").alias("at_a")), held.select("key", F.col("text").alias("text_b"), F.col("at").alias("at_b"))
-    met = a.join(b, on="key").where("text_a < text_b")
-    pairs = met.groupBy("text_a", "text_b", (F.col("at_a") - F.col("at_b")).alias("lag")).agg(F.min("at_a").alias("at_a"), F.max("at_a").alias("last_a"))
-    bodies = d.join(held.select("text").distinct(), on="text", how="left_semi").dropDuplicates(["text"])
+    many = held.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key")
+    bodies = d.join(held.select("text").distinct(), on="text", how="left_semi").dropDuplicates(["text"]).select("text", "body")
+    few = _meet(held.join(many, on="key", how="left_anti").select("text", "key", "at"))
+    crowded = held.join(many, on="key", how="left_semi").groupBy("text").agg(F.collect_set("at").alias("ats"))
+    pairs = few.unionByName(_meet(_telling(crowded.join(bodies, on="text"), least, w)))
+    pairs = pairs.groupBy("text_a", "text_b", (F.col("at_a") - F.col("at_b")).alias("lag")).agg(F.min("at_a").alias("at_a"), F.max("at_a").alias("last_a"))
     x = pairs.join(bodies.select(F.col("text").alias("text_a"), F.col("body").alias("body_a")), on="text_a")
     x = x.join(bodies.select(F.col("text").alias("text_b"), F.col("body").alias("body_b")), on="text_b")
     return x.select("text_a", "text_b", "lag", "at_a", "last_a", "body_a", "body_b").mapInPandas(_matcher(least, reach), "text_a binary, text_b binary, start_a int, start_b int, length int"), members
