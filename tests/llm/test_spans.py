@@ -52,6 +52,22 @@ def test_pairs_match_brute_force(spark, seed, alphabet):
         assert i + n == len(a) or j + n == len(b) or a[i + n] != b[j + n]
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_crowds_give_the_same_pairs(spark, seed):
+    r = random.Random(seed)
+    noise = lambda n: "".join(r.choice("abcdefgh \n") for _ in range(n))
+    stock, exact, short = noise(LEAST + 40), noise(LEAST), noise(LEAST - 1)
+    texts = [noise(r.randint(0, 30)) + r.choice([stock, exact, short, exact + short, stock[: LEAST + 3]]) + noise(r.randint(0, 90)) for _ in range(30)]
+    got = {}
+    for crowd in (0, 3, 10**6):
+        spans, members = shared_spans(frame(spark, texts), least=LEAST, crowd=crowd)
+        got[crowd] = {tuple(x) for x in sharing_documents(spans, members).collect()}
+        parts = {tuple(x) for x in shared_parts(spans, members).select("doc_id", "char_start", "char_end").collect()}
+        assert crowd == 0 or parts == last
+        last = parts
+    assert got[0] == got[3] == got[10**6] == brute(texts)
+
+
 def test_runs_of_one_character_and_periods(spark):
     texts = ["-" * 300, "x" + "-" * LEAST, "-" * (LEAST - 1) + "y", "ab" * 100, "zab" + "ab" * 60, "q" * 500]
     got = {tuple(r) for r in sharing_documents(*shared_spans(frame(spark, texts), least=LEAST)).collect()}
