@@ -89,10 +89,11 @@ def around(rows: DataFrame, events: DataFrame, *, entity: Sequence[str], date: s
     e = events.select(*entity, F.col(event_date).alias(f"{P}e"))
     line = rows.select(*entity, F.unix_date(date).alias(f"{P}t"), F.lit(1).alias(f"{P}o"), F.struct(F.col(date).alias("date"), *columns).alias(f"{P}r"))
     line = line.unionByName(e.select(*entity, F.unix_date(f"{P}e").alias(f"{P}t"), F.lit(0).alias(f"{P}o"), f"{P}e"), allowMissingColumns=True)
-    w = Window.partitionBy(*entity).orderBy(f"{P}t", f"{P}o")
+    back = Window.partitionBy(*entity).orderBy(f"{P}t", f"{P}o").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*entity).orderBy(F.col(f"{P}t").desc(), F.col(f"{P}o").desc()).rowsBetween(Window.unboundedPreceding, 0)
     x = line.select(
         *entity, f"{P}e",
-        F.last(f"{P}r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("prev"),
-        F.first(f"{P}r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("next"),
+        F.last(f"{P}r", ignorenulls=True).over(back).alias("prev"),
+        F.last(f"{P}r", ignorenulls=True).over(ahead).alias("next"),
     ).where(F.col(f"{P}e").isNotNull())
     return x.select(*entity, F.col(f"{P}e").alias(event_date), *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("prev", "next") for c in ("date", *columns)])

@@ -54,12 +54,13 @@ def hot_deck(
         donor = F.struct(usable(F.col(f), kinds[f], rule).alias("v"), F.col(f"{P}day").alias("d"))
         base = base.withColumn(names[f], F.when(usable(F.col(f), kinds[f], rule).isNotNull(), donor))
     keys = [within, f"{P}block"]
-    w = Window.partitionBy(*keys).orderBy(f"{P}day", row_id)
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # what comes after is what came before in reverse: a frame up to the end would be gone through again for every row
+    before = Window.partitionBy(*keys).orderBy(f"{P}day", row_id).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*keys).orderBy(F.col(f"{P}day").desc(), F.col(row_id).desc()).rowsBetween(Window.unboundedPreceding, 0)
     near = base.select(
         "*",
         *[F.last(n, ignorenulls=True).over(before).alias(f"{n}p") for n in names.values()],
-        *[F.first(n, ignorenulls=True).over(after).alias(f"{n}q") for n in names.values()],
+        *[F.last(n, ignorenulls=True).over(after).alias(f"{n}q") for n in names.values()],
     )
     # the outermost donors of each block, carried to its neighbours
     order = F.struct(F.col(f"{P}day"), F.col(row_id))
@@ -67,17 +68,18 @@ def hot_deck(
         *[F.max_by(n, F.when(F.col(n).isNotNull(), order)).alias(f"{n}l") for n in names.values()],
         *[F.min_by(n, F.when(F.col(n).isNotNull(), order)).alias(f"{n}f") for n in names.values()],
     )
-    wb = Window.partitionBy(within).orderBy(f"{P}block")
+    wb = Window.partitionBy(within).orderBy(f"{P}block").rowsBetween(Window.unboundedPreceding, -1)
+    we = Window.partitionBy(within).orderBy(F.col(f"{P}block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     known = F.col(f"{P}block").isNotNull()
     # a block of records without a date neither gives to nor takes from the others
     carried = edges.select(
         *keys,
         *[
-            F.when(known, F.last(F.when(known, F.col(f"{n}l")), ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, -1))).alias(f"{n}cp")
+            F.when(known, F.last(F.when(known, F.col(f"{n}l")), ignorenulls=True).over(wb)).alias(f"{n}cp")
             for n in names.values()
         ],
         *[
-            F.when(known, F.first(F.when(known, F.col(f"{n}f")), ignorenulls=True).over(wb.rowsBetween(1, Window.unboundedFollowing))).alias(f"{n}cq")
+            F.when(known, F.last(F.when(known, F.col(f"{n}f")), ignorenulls=True).over(we)).alias(f"{n}cq")
             for n in names.values()
         ],
     )
@@ -114,13 +116,13 @@ def _from_level(rows: DataFrame, base: DataFrame, level: str, names: list[str],
     days = base.where(F.col(f"{P}day").isNotNull()).groupBy(key.alias(f"{P}g"), f"{P}day").agg(
         *[F.min_by(n, F.when(F.col(n).isNotNull(), F.col(row_id))).alias(n) for n in names]
     )
-    w = Window.partitionBy(f"{P}g").orderBy(f"{P}day")
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    before = Window.partitionBy(f"{P}g").orderBy(f"{P}day").rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(f"{P}g").orderBy(F.col(f"{P}day").desc()).rowsBetween(Window.unboundedPreceding, 0)
     near = days.select(
         f"{P}g",
         F.col(f"{P}day").cast("long").alias(f"{P}gd"),
         *[F.last(n, ignorenulls=True).over(before).alias(f"{n}gp") for n in names],
-        *[F.first(n, ignorenulls=True).over(after).alias(f"{n}gq") for n in names],
+        *[F.last(n, ignorenulls=True).over(after).alias(f"{n}gq") for n in names],
     )
     # rows that lack nothing match no day; their keys are spread so that they gather nowhere
     lacking = F.greatest(*[F.col(f"{n}x").isNull().cast("int") for n in names]) == 1
