@@ -69,7 +69,7 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str, source: str, kind: str) -> DataFrame:
-    """One row per file under ``path``: source, kind, path, size, sha256 of its bytes, when it was last written."""
+    """One row per file under ``path``: source, kind, path, size, sha256 of its bytes, when it was last written. Empty files are passed over, as by all of Spark's file sources."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return f.select(F.lit(source).alias("source"), F.lit(kind).alias("artifact_type"), "path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("written_at"))
 
