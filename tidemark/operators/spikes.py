@@ -131,7 +131,7 @@ def _flags(kind: str, v: pd.Series, market: pd.Series, group: pd.Series, witness
             first = np.maximum.accumulate(np.where(np.diff(g, axis=1, prepend=-9) != 0, np.arange(n)[None, :], 0), axis=1)
             before = np.where(first > 0, np.take_along_axis(w, np.maximum(first - 1, 0), 1), np.nan)
             shown = w / before - 1
-            unseen = ~(np.abs(x - shown) <= threshold * scale[:, None])
+            unseen = np.abs(x - shown) > threshold * scale[:, None]  # not so where there is nothing to show it
             hit = (np.abs(x) > threshold * scale[:, None]) & (np.abs(e) > threshold * scale[:, None]) & unseen & _outside(e, scale, width, threshold / 2)
     back = np.zeros_like(hit)
     np.put_along_axis(back, order, hit, 1)
@@ -168,7 +168,8 @@ def implausible(
     ``threshold`` usual movements (1.4826 medians of absolute change), are
     looked at closely. A level is a spike if one or two readings lie beyond
     threshold from those on either side and these agree; a return if it is
-    beyond threshold and the witness's change isn't within threshold of it.
+    beyond threshold and the witness's change since an earlier date isn't
+    within threshold of it (without an earlier date it can't be judged).
     What all sources share, the median move of a day with at least
     ``least_sources``, is taken off first. Range (levels at or below zero,
     returns at or below -1, infinities) and runs of more than ``run`` equal
