@@ -49,7 +49,11 @@ def test_hot_deck_against_brute_force(spark):
     r = random.Random(3)
     rows = [(r.choice("abc"), r.choice("xy"), r.randint(0, 400), r.choice([None, NAN, -9999.0, -1.0, INF, 1.5, 2.5, 3.5]), r.choice([None, "nan", " ", "p"])) for _ in range(150)]
     rows += [("d", "x", r.randint(0, 400), None, None) for _ in range(10)] + [("e", "z", r.randint(0, 400), NAN, None) for _ in range(5)]
-    got = filled(spark, rows, block_days=30)
+    for kw in ({"block_days": 30}, {"rows_per_block": 5}, {"block_days": 7, "rows_per_block": 1}):
+        check_deck(rows, filled(spark, rows, **kw))
+
+
+def check_deck(rows, got):
     for i, row in enumerate(rows):
         want, level = brute_deck(rows, i)
         g = got[i]

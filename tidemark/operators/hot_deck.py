@@ -21,6 +21,7 @@ def hot_deck(
     within: str,
     levels: Sequence[str] = (),
     block_days: int = 92,
+    rows_per_block: int = 500_000,
 ) -> DataFrame:
     """``df`` with, for every field f, f_filled, f_was_missing, f_donor_level, f_donor_date and f_distance.
 
@@ -34,8 +35,11 @@ def hot_deck(
 
     Scale: no sort spans a whole group. Records are sorted within (group, block
     of ``block_days``) only; the last and first donor of every block, one row
-    each, are carried over the blocks and joined back by the same keys. Donors
-    of the further levels are first reduced to one record a day.
+    each, are carried over the blocks and joined back by the same keys. Groups
+    with more than ``rows_per_block`` rows in a block get blocks of fewer days,
+    one at least; the list of these groups, which has at most a row for every
+    rows_per_block of the table, is broadcast. Donors of the further levels are
+    first reduced to one record a day.
 
     Nulls: a NULL group is a group of its own; a record without a date can be
     no donor and is filled only from records of its own group without a date.
@@ -47,9 +51,14 @@ def hot_deck(
     out = [f"{f}{s}" for f in rules for s in ("_filled", "_was_missing", "_donor_level", "_donor_date", "_distance")]
     df = df.drop(*[c for c in out if c in df.columns])
     day = F.unix_date(F.col(date).cast("date"))
-    block = F.floor(day / F.lit(block_days))
+    groups = df.groupBy(F.col(within).alias(f"{P}big")).agg(F.count("*").alias("n"), (F.max(day) - F.min(day) + 1).alias("span"))
+    fair = F.floor(F.greatest(F.coalesce("span", F.lit(1)), F.lit(block_days)) * rows_per_block / F.col("n"))
+    big = groups.where(fair < block_days).select(f"{P}big", F.greatest(fair, F.lit(1)).alias(f"{P}len"))
+    columns = df.columns
+    df = df.join(F.broadcast(big), on=F.col(within).eqNullSafe(F.col(f"{P}big")), how="left")
+    block = F.floor(day / F.coalesce(F.col(f"{P}len"), F.lit(block_days)))
     names = {f: f"{P}{i}_" for i, f in enumerate(rules)}
-    base = df.select("*", day.alias(f"{P}day"), block.alias(f"{P}block"))
+    base = df.select(*columns, day.alias(f"{P}day"), block.alias(f"{P}block"))
     for f, rule in rules.items():
         donor = F.struct(usable(F.col(f), kinds[f], rule).alias("v"), F.col(f"{P}day").alias("d"))
         base = base.withColumn(names[f], F.when(usable(F.col(f), kinds[f], rule).isNotNull(), donor))
@@ -96,7 +105,7 @@ def hot_deck(
         picked = picked.withColumn(f"{n}lv", F.when(F.col(f"{n}x").isNotNull(), F.lit(within)))
     for level in levels:
         picked = _from_level(picked, base, level, list(names.values()), row_id)
-    cols = [F.col(x) for x in df.columns]
+    cols = [F.col(x) for x in columns]
     for f, n in names.items():
         x, miss = F.col(f"{n}x"), F.col(n).isNull()
         cols += [
