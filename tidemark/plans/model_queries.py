@@ -1,4 +1,4 @@
-"""Queries that fit models: one fold of the walk-forward ensemble, regressions, calibration."""
+"""Queries that fit models: the ensemble of blocks, regressions, calibration, on a chronological split of the whole matrix."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import band
 from tidemark.operators import evaluation as ev
 from tidemark.operators import models as md
-from tidemark.operators.asof import in_ranges
 from tidemark.operators.rolling import latest_row
 from tidemark.operators.tables import without_sentinel
 from tidemark.session import table
@@ -31,15 +30,17 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
     return m.where("td_return_5d_fwd between -1 and 1").withColumn("label", band(F.col("td_return_5d_fwd"), 0.01))
 
 
-def _fold(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _split(spark: SparkSession, d: str, share: float = 0.8, gap_days: int = 7) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows on either side of the date before which ``share`` of the rows lie; a gap keeps training outcomes out of the test."""
     r = _rows(spark, d)
-    last = ev.walk_forward(r.select("date"), "date", train=120, test=40, gap=5).orderBy(F.col("fold_id").desc()).limit(1)
-    return in_ranges(r, last, date="date", low="train_start", high="train_end"), in_ranges(r, last, date="date", low="test_start", high="test_end")
+    cut = r.agg(F.percentile_approx(F.unix_date("date"), share)).first()[0] or 0
+    day = F.unix_date("date")
+    return r.where(day <= cut - gap_days), r.where(day > cut)
 
 
 def model_ensemble(spark: SparkSession, d: str) -> DataFrame:
-    """Last fold: a model per block, their hard and soft vote, each with its metrics."""
-    train, test = _fold(spark, d)
+    """A model per block, their hard and soft vote, each with its metrics."""
+    train, test = _split(spark, d)
     train, test = md.imputed(train, test, features=ALL)
     train, test = train.cache(), test.cache()
     joined = test.select("row_id", "ticker", "date", "label", "td_return_5d_fwd")
@@ -56,8 +57,8 @@ def model_ensemble(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model_regression(spark: SparkSession, d: str) -> DataFrame:
-    """Last fold: forest and boosted regressions of the forward return."""
-    train, test = md.imputed(*_fold(spark, d), features=ALL)
+    """Forest and boosted regressions of the forward return."""
+    train, test = md.imputed(*_split(spark, d), features=ALL)
     out = None
     for kind, params in (("forest_regression", {"numTrees": 20, "maxDepth": 4}), ("boosted_regression", {"maxIter": 8, "maxDepth": 3})):
         p = md.predict(md.fit(train, ALL, "td_return_5d_fwd", kind, params), test)
@@ -67,9 +68,9 @@ def model_regression(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model_calibration(spark: SparkSession, d: str) -> DataFrame:
-    """Last fold: class shares and precision as predicted, after a logistic and after a step calibration on the last fifth of training, and with the confidence gate."""
-    train, test = md.imputed(*_fold(spark, d), features=ALL)
-    parts = ev.chronological_split(train, ["fold_id"], "date")
+    """Class shares and precision as predicted, after a logistic and after a step calibration on the last fifth of training, and with the confidence gate."""
+    train, test = md.imputed(*_split(spark, d), features=ALL)
+    parts = ev.chronological_split(train, ["ticker"], "date", least=0, leave=1)
     m = md.fit(parts.where("is_fit").drop("is_fit"), ALL, "label", "forest", {"numTrees": 20, "maxDepth": 4})
     held, p = md.predict(m, parts.where("not is_fit").drop("is_fit")), md.predict(m, test)
     named = {"raw": p, "platt": md.platt(held, p, "label"), "isotonic": md.isotonic(held, p, "label")}
@@ -82,8 +83,8 @@ def model_calibration(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model_importances(spark: SparkSession, d: str) -> DataFrame:
-    """Last fold: share of each feature in a forest, and of the components of the text block in a logistic model."""
-    train, _ = _fold(spark, d)
+    """Share of each feature in a forest, and of the components of the text block in a logistic model."""
+    train, _ = _split(spark, d)
     (train,) = md.imputed(train, features=ALL)
     rows = [("forest", f, v) for f, v in md.importances(md.fit(train, ALL, "label", "forest", {"numTrees": 20, "maxDepth": 4}), ALL)]
     m = md.fit(train, BLOCKS["transcript"], "label", "logistic", components=2)

@@ -95,10 +95,10 @@ def chunk_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pending_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks worth annotating whose content has no annotation yet, with their prompt's length."""
+    """Chunks worth annotating whose content has no annotation yet, as that of all news has, with their prompt's length."""
     c = chunk_records(spark, d).withColumnsRenamed({"source": "source_type", "speaker_role": "role"})
     todo = an.worth_annotating(c)
-    done = todo.where("doc_id % 2 = 0").select(content_key(F.col("chunk"), F.lit("v1"), F.lit("m")).alias("cache_key"))
+    done = todo.where("source_type = 'news'").select(content_key(F.col("chunk"), F.lit("v1"), F.lit("m")).alias("cache_key"))
     p = an.pending(todo, done, "chunk", "v1", "m")
     ask = an.prompt(F.col("source_type"), F.col("fiscal_quarter"), F.col("section"), F.lit(None).cast("string"), F.col("role"), F.col("chunk"))
     return p.select("cache_key", "chunk_id", F.length(ask).alias("prompt_chars"))
@@ -133,7 +133,7 @@ def article_parse(spark: SparkSession, d: str) -> DataFrame:
 
 def written_dates(spark: SparkSession, d: str) -> DataFrame:
     """The date read back out of a text that is headed by it."""
-    x = _docs(spark, d).select("doc_id", "doc_date", F.concat(F.lit("Ottawa, "), F.date_format("doc_date", "MMMM d, yyyy"), F.lit(" - "), F.substring("text", 1, 200)).alias("t"))
+    x = _docs(spark, d).select("doc_id", "doc_date", F.concat(F.lit("Ottawa, "), F.date_format("doc_date", "MMMM d, yyyy"), F.lit(" - "), "text").alias("t"))
     return x.select("doc_id", written_date(F.col("t")).alias("found"))
 
 
