@@ -203,3 +203,71 @@ def stage_winner(df: DataFrame, stage: str, least_coverage: float = 0.7) -> Data
     order = [enough.desc(), F.col("sign_accuracy").desc(), F.col("coverage").desc(), F.col("accuracy").desc(), F.col("macro_f1").desc(), F.col("exp_id").asc()]
     x = df.withColumn("__r", F.row_number().over(Window.partitionBy(stage).orderBy(*order)))
     return x.where("__r = 1").drop("__r")
+
+
+def hash_split(df: DataFrame, row_id: str, share: float = 0.7, seed: int = 42) -> DataFrame:
+    """``df`` with is_fit for about ``share`` of the rows, by a hash of the id and the seed: the same on every run."""
+    return df.withColumn("is_fit", F.pmod(F.xxhash64(F.lit(seed), F.col(row_id)), F.lit(1_000_000)) < int(share * 1_000_000))
+
+
+def fixed_folds(spark, folds: Sequence[tuple[str, str, str, str]]) -> DataFrame:  # noqa: ANN001
+    """Folds given as (id, last training day, first and last test day)."""
+    x = spark.createDataFrame(list(folds), "fold_id string, train_end string, test_start string, test_end string")
+    return x.select("fold_id", *[F.col(c).cast("date").alias(c) for c in ("train_end", "test_start", "test_end")])
+
+
+def offset_interval(df: DataFrame, by: Sequence[str], order: str, *, predicted: str, outcome: str, stride: int = 5, t: float = 2.776) -> DataFrame:
+    """Mean over ``stride`` interleaved samples of the share of right signs among nonzero outcomes, with its 95 % interval (t of stride - 1 degrees)."""
+    d = df.where(F.col(predicted).isNotNull() & F.col(outcome).isNotNull())
+    d = d.withColumn("__o", F.pmod(F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1, F.lit(stride)))
+    hit = F.when(F.col(outcome) != 0, (F.signum(F.col(predicted).cast("double")) == F.signum(F.col(outcome).cast("double"))).cast("int"))
+    per = d.groupBy(*by, "__o").agg(F.avg(hit).alias("share"))
+    g = per.groupBy(*by).agg(F.avg("share").alias("share"), F.stddev_samp("share").alias("sd"), F.count("share").alias("k"))
+    half = t * F.col("sd") / F.sqrt("k")
+    return g.select(*by, "share", (F.col("share") - half).alias("low"), (F.col("share") + half).alias("high"))
+
+
+def strict_accuracy(sign_accuracy: Column, coverage: Column) -> Column:
+    """Right calls among all rows."""
+    return sign_accuracy * coverage
+
+
+def abstain_half(sign_accuracy: Column, coverage: Column) -> Column:
+    """As strict_accuracy, a row without a call counting half."""
+    return sign_accuracy * coverage + 0.5 * (1 - coverage)
+
+
+def weighted_mean(value: str, weight: str) -> Column:
+    """Mean weighted over the rows that have a value."""
+    return F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(F.when(F.col(value).isNotNull(), F.col(weight))))
+
+
+def share_of_total(df: DataFrame, by: str, value: str) -> DataFrame:
+    """by, total, percent of all (one place) of ``value``."""
+    g = df.groupBy(by).agg(F.sum(value).alias("total"))
+    return g.withColumn("percent", F.round(F.try_divide(100.0 * F.col("total"), F.sum("total").over(Window.partitionBy())), 1))  # a row a group
+
+
+def tier(count: Column, strong: int, some: int) -> Column:
+    """"stable", "frequent", "rare" or "never" by how often something was selected."""
+    return F.when(count >= strong, "stable").when(count >= some, "frequent").when(count > 0, "rare").otherwise("never")
+
+
+def grid_search(configurations: Sequence[dict], folds: Sequence, score) -> list[tuple[float, dict]]:  # noqa: ANN001
+    """(0.6 sign accuracy + 0.4 macro F1, configuration) of each, averaged over folds, the best first; score(configuration, fold) gives both numbers, None where there were no calls."""
+    out = []
+    for c in configurations:
+        got = [x for f in folds if (x := score(c, f)) is not None]
+        out.append((sum(0.6 * a + 0.4 * b for a, b in got) / len(got) if got else float("-inf"), c))
+    return sorted(out, key=lambda p: -p[0])
+
+
+def run_stages(stages: Sequence, run, first: dict) -> list[dict]:  # noqa: ANN001
+    """Results of a queue of experiments that grows: each stage, given the best result so far (``first`` to begin with), names the next ones; run(experiment) gives a dict with a score."""
+    done: list[dict] = []
+    best = first
+    for stage in stages:
+        results = [run(e) for e in stage(best)]
+        done += results
+        best = max([best, *results], key=lambda r: r.get("score", float("-inf")))
+    return done

@@ -9,8 +9,9 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRe
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tidemark.sources.files import read_document, write_document
 
 P = "__md_"
 
@@ -130,3 +131,13 @@ def isotonic(held_out: DataFrame, rows: DataFrame, label: str) -> DataFrame:
         m = IsotonicRegression(featuresCol=f"{P}p", labelCol=f"{P}y").fit(held_out.select(p.alias(f"{P}p"), y.alias(f"{P}y")))
         out = m.setPredictionCol(f"{P}c{i}").transform(out.withColumn(f"{P}p", p)).drop(f"{P}p")
     return out.withColumn("prob", _normal(F.array(*[F.col(f"{P}c{i}") for i in range(3)]))).drop(*[f"{P}c{i}" for i in range(3)])
+
+
+def save(model: PipelineModel, path: str, features: Sequence[str], params: Mapping[str, object]) -> None:
+    """The pipeline and, beside it, what it was fitted on, in a folder."""
+    model.write().overwrite().save(f"{path}/model")
+    write_document(SparkSession.active(), f"{path}/about", {"features": list(features), "params": dict(params)})
+
+
+def load(spark: SparkSession, path: str) -> tuple[PipelineModel, dict[str, object]]:
+    return PipelineModel.load(f"{path}/model"), read_document(spark, f"{path}/about")

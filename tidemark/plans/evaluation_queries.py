@@ -263,7 +263,35 @@ WINNER_SQL = STRIDE_SQL.replace("SELECT ticker, fold_id, round(avg(accuracy)", "
 SELECT fold_id AS stage, ticker AS exp_id, sign_accuracy, coverage, 100 * (accuracy - 0.3) > 2 AND 100 * (accuracy - 0.3) > 1 AND macro_f1 > 0.34 AND sign_accuracy > 0.5 AS ok FROM mm WHERE sign_accuracy IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY fold_id ORDER BY CAST(coverage >= 0.7 AS INT) DESC, sign_accuracy DESC, coverage DESC, accuracy DESC, macro_f1 DESC, ticker) = 1"""
 
+def sign_interval(spark: SparkSession, d: str) -> DataFrame:
+    """Share of right signs of the momentum by fold with its interval over five interleaved samples, strict and abstaining accuracy of the vote."""
+    x = _in_folds(spark, d)
+    a = ev.offset_interval(x.withColumn("place", F.struct("date", "ticker")), ["fold_id"], "place", predicted="momentum", outcome="outcome")
+    m = x.groupBy("fold_id").agg(F.avg((F.col("vote") != 0).cast("int")).alias("cov"), F.avg(F.when(F.col("vote") != 0, (F.signum(F.col("vote").cast("double")) == F.signum("outcome")).cast("int"))).alias("asa"))
+    six = lambda c, n: F.round(c + 1e-10, 6).alias(n)
+    y = a.join(m, on="fold_id")
+    return y.select("fold_id", *[six(F.col(c), c) for c in ("share", "low", "high")], six(ev.strict_accuracy(F.col("asa"), F.col("cov")), "strict"), six(ev.abstain_half(F.col("asa"), F.col("cov")), "abstaining"))
+
+
+INTERVAL_SQL = FOLD_CALLS + """, o AS (SELECT *, (row_number() OVER (PARTITION BY fold_id ORDER BY date, ticker) - 1) % 5 AS off FROM fc),
+p AS (SELECT fold_id, off, avg(CASE WHEN outcome <> 0 THEN CAST(sign(momentum) = sign(outcome) AS INT) END) AS share FROM o GROUP BY ALL),
+g AS (SELECT fold_id, avg(share) AS share, 2.776 * stddev_samp(share) / sqrt(count(share)) AS half FROM p GROUP BY fold_id),
+v AS (SELECT fold_id, avg(CAST(vote <> 0 AS INT)) AS cov, avg(CAST(sign(vote) = sign(outcome) AS INT)) FILTER (vote <> 0) AS asa FROM fc GROUP BY fold_id)
+SELECT fold_id, round(share + 1e-10, 6) AS share, round(share - half + 1e-10, 6) AS low, round(share + half + 1e-10, 6) AS high, round(asa * cov + 1e-10, 6) AS strict, round(asa * cov + 0.5 * (1 - cov) + 1e-10, 6) AS abstaining FROM g JOIN v USING (fold_id)"""
+
+
+def issuer_share(spark: SparkSession, d: str) -> DataFrame:
+    """Traded volume by issuer, its percentage of all and its tier."""
+    x = ev.share_of_total(bars(spark, d).where("volume is not null"), "issuer", "volume")
+    return x.select("issuer", "total", "percent", ev.tier(F.floor("percent").cast("int"), 10, 5).alias("tier"))
+
+
+SHARE_SQL = with_(BARS) + """, g AS (SELECT issuer, CAST(sum(volume) AS BIGINT) AS total FROM bars WHERE volume IS NOT NULL GROUP BY issuer), p AS (SELECT *, round(100.0 * total / sum(total) OVER (), 1) AS percent FROM g)
+SELECT issuer, total, percent, CASE WHEN floor(percent) >= 10 THEN 'stable' WHEN floor(percent) >= 5 THEN 'frequent' WHEN floor(percent) > 0 THEN 'rare' ELSE 'never' END AS tier FROM p"""
+
 QUERIES = {
+    "sign_interval": sign_interval,
+    "issuer_share": issuer_share,
     "folds_rolling": folds_rolling,
     "folds_expanding": folds_expanding,
     "folds_tuning": folds_tuning,
@@ -284,6 +312,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "sign_interval": INTERVAL_SQL,
+    "issuer_share": SHARE_SQL,
     "folds_rolling": FOLDS + "SELECT * FROM folds",
     "folds_expanding": with_(BARS, _folds_sql(True)) + "SELECT * FROM folds",
     "folds_tuning": TUNING_SQL,

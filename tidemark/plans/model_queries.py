@@ -92,5 +92,19 @@ def model_importances(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "model string, feature string, importance double")
 
 
-QUERIES = {"model_ensemble": model_ensemble, "model_regression": model_regression, "model_calibration": model_calibration, "model_importances": model_importances}
+def model_grid(spark: SparkSession, d: str) -> DataFrame:
+    """A small grid of forests, scored by sign accuracy and macro F1 on the later part of the rows."""
+    train, test = md.imputed(*_split(spark, d), features=ALL)
+
+    def score(c: dict, rows: tuple[DataFrame, DataFrame]) -> tuple[float, float] | None:
+        p = md.predict(md.fit(rows[0], ALL, "label", "forest", c), rows[1])
+        g = ev.stride_metrics(p.withColumn("all", F.lit(1)), ["all"], "row_id", actual="label", predicted="prediction", outcome="td_return_5d_fwd").first()
+        return None if g is None or g["sign_accuracy"] is None else (g["sign_accuracy"], g["macro_f1"])
+
+    grid = [{"numTrees": n, "maxDepth": k} for n in (5, 15) for k in (2, 4)]
+    rows = [(i + 1, c["numTrees"], c["maxDepth"], float(s)) for i, (s, c) in enumerate(ev.grid_search(grid, [(train, test)], score))]
+    return spark.createDataFrame(rows, "place int, trees int, depth int, score double")
+
+
+QUERIES = {"model_grid": model_grid, "model_ensemble": model_ensemble, "model_regression": model_regression, "model_calibration": model_calibration, "model_importances": model_importances}
 ORACLE: dict[str, str] = {}

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import content_key, quarter_of
 from tidemark.operators.narrative import agreement, conditional_means, counts_over, extreme_quotes, label_table, quarterly, shares_by_row, stratified
-from tidemark.plans.base import NOTES, annotations, with_
+from tidemark.operators.features import event_signals, project_daily, tone, with_changes
+from tidemark.operators.rolling import Series
+from tidemark.plans.base import BARS, NOTES, annotations, bars, with_
+from tidemark.plans.market_queries import NEWS_SQL, news_windows
 from tidemark.session import table
 
 CUTOFF = "FY2026Q1"
@@ -175,7 +178,48 @@ def cache_miss(spark: SparkSession, d: str) -> DataFrame:
 MISS_SQL = """WITH k AS (SELECT doc_id, source, sha256(CAST(encode(text) || '\\x00'::BLOB || encode('v1') || '\\x00'::BLOB || encode('annotator-a') AS BLOB)) AS cache_key FROM documents)
 SELECT doc_id, cache_key FROM k WHERE cache_key NOT IN (SELECT cache_key FROM k WHERE source = 'news')"""
 
+def _daily(spark: SparkSession, d: str) -> DataFrame:
+    """Every ticker's trading day with the topic and sentiment features of its issuer's quarters as known by then, and its news of the last 30 days."""
+    s = Series(["issuer"], ["call_date"])
+    q = quarterly(_notes(spark, d), ["issuer", "quarter"], None, TOPICS)
+    cols = ["transcript_ceo_prep_sentiment_mean", "transcript_cfo_prep_sentiment_mean", "report_sentiment_mean", "framing_gap", "topic_entropy", *[f"topic_{t}_{k}" for t in TOPICS if t != "other" for k in ("share", "sentiment")]]
+    calls = table(spark, d, "call_dates").select("issuer", F.col("fiscal_quarter").alias("quarter"), "call_date")
+    q = with_changes(q.join(calls, on=["issuer", "quarter"]), s, cols)
+    x = project_daily(bars(spark, d).select("ticker", "issuer", "date"), q, entity=["issuer"], date="date", known="call_date", columns=cols)
+    return x.join(news_windows(spark, d), on=["ticker", "date"])
+
+
+def quarterly_to_daily(spark: SparkSession, d: str) -> DataFrame:
+    return _six(_daily(spark, d))
+
+
+def event_features(spark: SparkSession, d: str) -> DataFrame:
+    """Signals that fade from the last call or news on, tone and dispersion over sources."""
+    topic = lambda t: (f"topic_{t}_share", f"topic_{t}_sentiment")
+    x = event_signals(
+        _daily(spark, d), ceo="transcript_ceo_prep_sentiment_mean", cfo="transcript_cfo_prep_sentiment_mean", gap="framing_gap", pressure=topic("regulatory_AML"), guidance=topic("guidance"),
+        outlook=topic("macro"), broad=[topic(t) for t in ("credit_quality", "capital", "wealth", "insurance", "margins")], entropy="topic_entropy", news_mean="news_sent_mean_30d", news_count="news_count_30d",
+    )
+    x = tone(x, ["transcript_ceo_prep_sentiment_mean_ffill", "transcript_cfo_prep_sentiment_mean_ffill", "report_sentiment_mean_ffill"])
+    return _six(x.select("ticker", "date", *[c for c in x.columns if c.startswith("evt_")], "exec_tone", "source_dispersion"))
+
+
+_KEPT = ("transcript_ceo_prep_sentiment_mean", "transcript_cfo_prep_sentiment_mean", "report_sentiment_mean", "framing_gap", "topic_entropy", *[f"topic_{t}_{k}" for t in TOPICS if t != "other" for k in ("share", "sentiment")])
+_UNSIX = QUARTERLY_SQL.replace(" + 1e-10, 6)", ", 14)").replace(f"WHERE quarter <= '{CUTOFF}'", "WHERE quarter IS NOT NULL")
+_DAILY = f"""WITH q AS ({_UNSIX}), c AS (SELECT q.*, call_date FROM q JOIN call_dates d ON d.issuer = q.issuer AND d.fiscal_quarter = q.quarter),
+ch AS (SELECT issuer, call_date, """ + ", ".join(f'"{c}" AS "{c}_ffill", "{c}" - lag("{c}") OVER w AS "{c}_delta", "{c}" - avg("{c}") OVER (PARTITION BY issuer ORDER BY call_date ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS "{c}_surprise"' for c in _KEPT) + """ FROM c WINDOW w AS (PARTITION BY issuer ORDER BY call_date)),
+""" + BARS + """, line AS (SELECT issuer, call_date AS date, 0 AS o, NULL AS ticker, call_date, """ + ", ".join(f'"{c}_{k}"' for c in _KEPT for k in ("ffill", "delta", "surprise")) + """ FROM ch
+  UNION ALL SELECT issuer, date, 1, ticker, NULL, """ + ", ".join(["NULL"] * (3 * len(_KEPT))) + """ FROM bars),
+seen AS (SELECT ticker, issuer, date, o, CAST(date - last_value(call_date IGNORE NULLS) OVER w AS INTEGER) AS days_since_call, """ + ", ".join(f'last_value("{c}_{k}" IGNORE NULLS) OVER w AS "{c}_{k}"' for c in _KEPT for k in ("ffill", "delta", "surprise")) + """
+  FROM line WINDOW w AS (PARTITION BY issuer ORDER BY date, o ROWS UNBOUNDED PRECEDING)),
+daily AS (SELECT s.* EXCLUDE (o), CAST(coalesce(days_since_call <= 5, false) AS INTEGER) AS is_earnings_week, n.* EXCLUDE (ticker, date) FROM seen s JOIN (""" + NEWS_SQL + """) n ON n.ticker = s.ticker AND n.date = s.date WHERE o = 1)
+"""
+DAILY_SQL = _DAILY + "SELECT ticker, issuer, date, days_since_call, is_earnings_week, news_count_7d, news_count_30d, days_since_last_news, is_news_burst, round(news_sent_mean_30d + 1e-10, 6) AS news_sent_mean_30d, " + ", ".join(f'round("{c}_{k}" + 1e-10, 6) AS "{c}_{k}"' for c in _KEPT for k in ("ffill", "delta", "surprise")) + " FROM daily"
+
+
 QUERIES = {
+    "quarterly_to_daily": quarterly_to_daily,
+    "event_features": event_features,
     "quarterly_nlp": quarterly_nlp,
     "topic_share": topic_share,
     "topic_pivot": topic_pivot,
@@ -191,6 +235,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "quarterly_to_daily": DAILY_SQL,
     "quarterly_nlp": QUARTERLY_SQL,
     "topic_share": TOPIC_SQL,
     "topic_pivot": PIVOT_SQL,
