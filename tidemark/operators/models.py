@@ -67,7 +67,8 @@ def fit(train: DataFrame, features: Sequence[str], label: str, kind: str, params
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """``rows`` with prediction (class or outcome) and, where the model has them, prob: the three classes' probabilities."""
     x = model.transform(rows)
-    regression = "Regress" in type(model.stages[-1]).__name__
+    kind = type(model.stages[-1]).__name__
+    regression = "Regression" in kind and "Logistic" not in kind
     out = [F.col("prediction") if regression else (F.col("prediction") - 1).cast("int").alias("prediction")]
     if "probability" in x.columns:
         out.append(vector_to_array("probability").alias("prob"))
