@@ -137,8 +137,8 @@ def test_intervals_and_neighbours(spark):
     assert near == {day(5): (4, 6), day(11): (10, 12)}
     folds = spark.createDataFrame([(1, day(0), day(6)), (2, day(4), day(30))], "f int, a date, b date")
     assert in_ranges(rows, folds, date="d", low="a", high="b").count() == 4 + 8
-    with pytest.raises(ValueError):
-        in_ranges(rows, folds, date="d", low="a", high="b", most=1)
+    assert in_ranges(rows, folds, date="d", low="a", high="b", most=1).count() == 12
+    assert in_ranges(rows, folds.limit(0), date="d", low="a", high="b").count() == 0
 
 
 # scalars ----------------------------------------------------------------------------------------------------

@@ -67,18 +67,19 @@ def in_interval(rows: DataFrame, starts: DataFrame, *, entity: Sequence[str], da
     return x.where(F.col(f"{P}v").isNotNull()).select("*", f"{P}v.*").drop(f"{P}v")
 
 
-def in_ranges(rows: DataFrame, ranges: DataFrame, *, date: str, low: str, high: str, most: int = 100_000) -> DataFrame:
-    """Every row with every range that holds its date; ranges may overlap (folds).
+def in_ranges(rows: DataFrame, ranges: DataFrame, *, date: str, low: str, high: str, most: int = 200_000) -> DataFrame:
+    """Every row with every range of days that holds its date, both ends in; ranges may overlap (folds).
 
-    The ranges are broadcast, after a check that there are no more than
-    ``most``; each row meets those of its date only, looked up by day where the
-    days of all ranges are fewer than that, else by comparison. NULL dates and
-    bounds match nothing.
+    Ranges are laid out by day, so that rows meet them by equality of the date.
+    The days are counted, and broadcast if there are no more than ``most``;
+    else both sides are shuffled by date. NULL dates and bounds match nothing.
+    Columns of the ranges that the rows have already are left out of the rows.
     """
-    n = ranges.count()
-    if n > most:
-        raise ValueError(f"{n} ranges: more than {most} are not for broadcasting")
-    return rows.join(F.broadcast(ranges), on=F.col(date).between(F.col(low), F.col(high)))
+    rows = rows.drop(*[c for c in ranges.columns if c in rows.columns])
+    r = ranges.where(F.col(low) <= F.col(high))
+    n = r.agg(F.sum(F.date_diff(high, low) + 1)).first()[0] or 0
+    days = r.select("*", F.explode(F.sequence(F.col(low).cast("date"), F.col(high).cast("date"))).alias(f"{P}day"))
+    return rows.join(F.broadcast(days) if n <= most else days, on=F.col(date).cast("date") == F.col(f"{P}day")).drop(f"{P}day")
 
 
 def around(rows: DataFrame, events: DataFrame, *, entity: Sequence[str], date: str, event_date: str, columns: Sequence[str]) -> DataFrame:

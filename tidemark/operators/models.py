@@ -47,8 +47,8 @@ def estimator(kind: str, params: Mapping[str, object] | None = None, seed: int =
 def balanced(train: DataFrame, label: str) -> DataFrame:
     """Weights that give every class the same total; the class counts, three rows, are broadcast."""
     n = train.groupBy(label).agg(F.count("*").alias(f"{P}n"))
-    total = n.agg(F.sum(f"{P}n").alias(f"{P}all"), F.count("*").alias(f"{P}k"))
-    w = n.join(F.broadcast(total)).select(label, (F.col(f"{P}all") / (F.col(f"{P}k") * F.col(f"{P}n"))).alias(f"{P}w"))
+    every = Window.partitionBy()  # a row a class
+    w = n.select(label, (F.sum(f"{P}n").over(every) / (F.count("*").over(every) * F.col(f"{P}n"))).alias(f"{P}w"))
     return train.join(F.broadcast(w), on=label)
 
 
