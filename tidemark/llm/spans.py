@@ -135,6 +135,21 @@ def _telling(crowded: DataFrame, least: int, w: int) -> DataFrame:
     return y.select("text", "key", "at").join(telling, on="key", how="left_semi")
 
 
+def keys_of(codes: np.ndarray, w: int, chunk: int, reach: int, segment: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """``chunk_keys`` of a text of any length, in segments: each is read with as much on either side as what is decided within it depends on."""
+    n = len(codes)
+    if n <= segment:
+        return chunk_keys(codes, w, chunk, reach)
+    around = GEAR + w + chunk + reach
+    at, key = [], []
+    for low in range(0, n, segment):
+        start = max(0, low - around)
+        a, k = chunk_keys(codes[start : low + segment + around], w, chunk, reach)
+        mine = (a + start >= low) & (a + start < low + segment)
+        at.append(a[mine] + start), key.append(k[mine])
+    return np.concatenate(at), np.concatenate(key)
+
+
 def shared_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = 400, crowd: int = 64) -> tuple[DataFrame, DataFrame]:
     """Stretches of at least ``least`` characters (code points) that different texts share, and which documents have which text.
 
@@ -174,7 +189,7 @@ def shared_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         for batch in batches:
             at, key, ends = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [0]
             for t in batch.column(0).to_pylist():
-                a, k = chunk_keys(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), w, chunk, reach)
+                a, k = keys_of(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), w, chunk, reach)
                 at.append(a), key.append(k), ends.append(ends[-1] + len(a))
             held = pa.StructArray.from_arrays([pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(key))], names=["at", "key"])
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held)], names=["text", "cuts"])
