@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemark.llm.spans import chunk_keys, shared_parts, shared_share, shared_spans, sharing_documents
+from tidemark.llm.spans import chunk_keys, keys_of, shared_parts, shared_share, shared_spans, sharing_documents
 
 LEAST = 80
 
@@ -114,6 +114,13 @@ def test_cuts_move_with_the_text():
     assert len(set(ka) & set(kb)) >= len(ka) - 4
 
 
+def test_segments_of_a_long_text():
+    codes = np.random.default_rng(4).integers(97, 100, 30_000).astype(np.uint32)
+    a, k = chunk_keys(codes, 93, 92, 276)
+    b, j = keys_of(codes, 93, 92, 276, segment=1000)
+    assert a.tolist() == b.tolist() and k.tolist() == j.tolist()
+
+
 def test_least_too_short(spark):
     with pytest.raises(ValueError):
         shared_spans(frame(spark, ["a"]), least=30)
