@@ -179,7 +179,7 @@ def stability(importances: DataFrame, core: int = 15) -> DataFrame:
         F.avg((F.col("rank") <= 10).cast("int")).alias("top10_share"), F.avg((F.col("rank") <= 20).cast("int")).alias("top20_share"), F.countDistinct("fold").alias("fold_count"),
     )
     order = [F.col("top20_share").desc(), F.col("top10_share").desc(), F.col("median_norm").desc(), F.col("mean_norm").desc(), F.col("mean_rank").asc(), F.col("feature").asc()]
-    g = g.withColumn("stable_rank", F.row_number().over(Window.orderBy(*order)))  # a row a feature
+    g = g.withColumn("stable_rank", F.row_number().over(Window.orderBy(*order)).cast("long"))  # a row a feature
     return g.withColumn("selected", F.col("stable_rank") <= core)
 
 
@@ -187,7 +187,7 @@ def vote_selection(hits: DataFrame, rounds: int, share: float = 0.5, most: int =
     """From (feature, top_hits, importance): features in at least ``share`` of the rounds first, others after them, up to ``most`` selected."""
     x = hits.withColumn("frequency", F.col("top_hits") / F.lit(rounds)).withColumn("stable", F.col("top_hits") / F.lit(rounds) >= share)
     order = [F.col("stable").desc(), F.col("frequency").desc(), F.col("importance").desc(), F.col("feature").asc()]
-    x = x.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # a row a feature
+    x = x.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))  # a row a feature
     return x.withColumn("selected", F.col("place") <= most)
 
 

@@ -26,7 +26,7 @@ def constant_cols(spark: SparkSession, d: str) -> DataFrame:
     return constant_columns(m).select("column", F.round("sd", 6).alias("sd"))
 
 
-CONSTANT_SQL = "SELECT * FROM (VALUES ('always_seven', 0.0), ('nearly_nothing', 0.0)) v(\"column\", sd)"
+CONSTANT_SQL = "SELECT * FROM (VALUES ('always_seven', CAST(0 AS DOUBLE)), ('nearly_nothing', CAST(0 AS DOUBLE))) v(\"column\", sd)"
 
 
 def feature_families(spark: SparkSession, d: str) -> DataFrame:
