@@ -101,6 +101,8 @@ def test_more_metrics(spark):
     assert w == 3.0
     best = ev.grid_search([{"a": 1}, {"a": 2}, {"a": 3}], [0, 1], lambda c, f: None if c["a"] == 3 else (c["a"] / 10, f))
     assert [c["a"] for _, c in best] == [2, 1, 3]
+    b = lambda *v: spark.range(1).select(ev.beats(*[F.lit(x).cast("double") for x in v]).alias("x")).first()["x"]
+    assert [b(0.6, 0.35, 0.8, 0.5, 0.355), b(0.6, 0.3, 0.8, 0.5, 0.355), b(0.6, 0.35, 0.6, 0.5, 0.3), b(0.6, 0.35, 0.8, None, None)] == [True, False, False, False]
     done = ev.run_stages([lambda b: [{"x": b["x"] + 1}, {"x": b["x"] + 2}]] * 2, lambda e: {**e, "score": e["x"]}, {"x": 0})
     assert [d["x"] for d in done] == [1, 2, 3, 4]
 

@@ -157,3 +157,21 @@ def test_inherit(spark):
     turn = lambda n, r: F.struct(F.lit(n).alias("speaker_name"), F.lit("aff " + n).alias("affiliation"), F.lit(r).alias("role"), F.lit("x").alias("text"))
     got = one(spark, inherit_executive(F.array(turn("In It", "other"), turn("Ann Lee", "ceo"), turn("In It", "other"), turn("Bob Ray", "other"), turn("Tech Markets", "other"))))
     assert [(r["speaker_name"], r["role"]) for r in got] == [("In It", "other"), ("Ann Lee", "ceo"), ("Ann Lee", "ceo"), ("Bob Ray", "other"), ("Ann Lee", "ceo")]
+
+
+def test_addresses(spark):
+    from tidemark.functions import links as ln
+
+    urls = ["https://x/ca/2024-05-23-q2-2024-transcript.pdf", "https://x/fr/2024-transcript.pdf", "https://x/2023q4-report-to-shareholders.PDF", "https://x/bmo-transcript.pdf", "https://x/E-2022-Form40F.pdf", "https://x/2024_13_45/q", None]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string")
+    u = F.col("u")
+    got = df.select("i", ln.day_in(u).cast("string").alias("d"), ln.quarter_in(u).alias("q"), ln.annual_year_in(u).alias("y"), ln.is_transcript(u).alias("t"), ln.is_shareholder_report(u).alias("s")).orderBy("i").collect()
+    assert [r["d"] for r in got] == ["2024-05-23"] + [None] * 6 and [r["q"] for r in got][:3] == ["FY2024Q2", None, "FY2023Q4"]
+    assert [r["t"] for r in got] == [True] + [False] * 6 and [r["s"] for r in got] == [False, False, True] + [False] * 4 and got[4]["y"] == 2022
+    twice = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), (None, 0, "z")], "u string, o int, v string")
+    assert [tuple(r) for r in ln.first_seen(twice, "u", "o").collect()] == [("a", 1, "y")]
+
+
+def test_second_annotator(spark):
+    r = one(spark, an.second_score(F.lit(0.5), F.lit(0.2), F.lit(0.3)))
+    assert (r["label"], r["score"]) == ("positive", 0.3) and one(spark, an.second_score(F.lit(0.1), F.lit(0.4), F.lit(0.4)))["label"] == "negative"

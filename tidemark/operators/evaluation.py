@@ -197,6 +197,11 @@ def acceptable(df: DataFrame) -> Column:
     return (up("majority_accuracy") > 2.0) & (up("momentum_accuracy") > 1.0) & (F.col("macro_f1") > 0.34) & (F.col("sign_accuracy") > 0.5)
 
 
+def beats(sign_accuracy: Column, macro_f1: Column, coverage: Column, base_sign_accuracy: Column, base_macro_f1: Column) -> Column:
+    """Better signs than the baseline, macro F1 no more than 0.01 below it, coverage 0.7 at least; false without a baseline."""
+    return F.coalesce((sign_accuracy > base_sign_accuracy) & (macro_f1 >= base_macro_f1 - 0.01) & (coverage >= 0.7), F.lit(False))
+
+
 def stage_winner(df: DataFrame, stage: str, least_coverage: float = 0.7) -> DataFrame:
     """The best row of each stage among those with enough coverage, or of all where none has: by sign accuracy, coverage, accuracy, macro F1, name."""
     enough = (F.col("coverage") >= least_coverage).cast("int")
