@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.leakage import leaks
 from tidemark.llm.packing import pack
-from tidemark.llm.spans import shared_parts, shared_share, shared_spans, sharing_documents
+from tidemark.llm.spans import parts_of_documents, shared_parts, shared_share, shared_spans, sharing_documents
 from tidemark.session import table
 
 
@@ -30,7 +30,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_parts(spark: SparkSession, d: str) -> DataFrame:
     """The stretches of each document that recur in others."""
-    return shared_parts(*shared_spans(table(spark, d, "documents")))
+    spans, members = shared_spans(table(spark, d, "documents"))
+    return parts_of_documents(shared_parts(spans, members), members)
 
 
 def p9_share(spark: SparkSession, d: str) -> DataFrame:

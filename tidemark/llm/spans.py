@@ -273,27 +273,33 @@ def sharing_documents(spans: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def shared_parts(spans: DataFrame, members: DataFrame) -> DataFrame:
-    """doc_id, n_chars, char_start, char_end, n_texts: the stretches of each document that recur in others, merged where they touch or overlap.
+    """text, char_start, char_end, n_stretches: the parts of each text that recur in other documents, merged where they touch or overlap.
 
-    A text that more than one document has recurs wholly. n_texts counts the
-    stretches merged into one.
+    A text that more than one document has recurs wholly. n_stretches counts
+    what was merged into one.
     """
-    copies = members.groupBy("text").agg(F.count("*").alias("c"), F.max("n_chars").alias("n")).where("c > 1")
-    line = spans.select(F.col("text_a").alias("text"), F.col("start_a").cast("long").alias("a"), (F.col("start_a") + F.col("length")).cast("long").alias("z"))
-    line = line.unionByName(spans.select(F.col("text_b").alias("text"), F.col("start_b").cast("long").alias("a"), (F.col("start_b") + F.col("length")).cast("long").alias("z")))
+    several = F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int")) > 1
+    copies = members.groupBy("text").agg(several.alias("several"), F.max("n_chars").alias("n")).where("several")
+    a, b = (F.col(f"start_{k}").cast("long") for k in "ab")
+    line = spans.select(F.col("text_a").alias("text"), a.alias("a"), (a + F.col("length")).alias("z"))
+    line = line.unionByName(spans.select(F.col("text_b").alias("text"), b.alias("a"), (b + F.col("length")).alias("z")))
     line = line.unionByName(copies.select("text", F.lit(0).cast("long").alias("a"), F.col("n").alias("z")))
     # the stretches that begin at one place are one, the longest: at most as many rows as the text has characters
     line = line.groupBy("text", "a").agg(F.max("z").alias("z"), F.count("*").alias("c"))
     w = Window.partitionBy("text").orderBy("a")
     reach = F.max("z").over(w.rowsBetween(Window.unboundedPreceding, -1))
     island = line.withColumn("new", F.coalesce((F.col("a") > reach).cast("int"), F.lit(1))).withColumn("k", F.sum("new").over(w))
-    parts = island.groupBy("text", "k").agg(F.min("a").alias("char_start"), F.max("z").alias("char_end"), F.sum("c").alias("n_texts"))
-    return parts.join(members, on="text").select("doc_id", "n_chars", "char_start", "char_end", "n_texts")
+    return island.groupBy("text", "k").agg(F.min("a").alias("char_start"), F.max("z").alias("char_end"), F.sum("c").alias("n_stretches")).drop("k")
+
+
+def parts_of_documents(parts: DataFrame, members: DataFrame) -> DataFrame:
+    """doc_id, n_chars, char_start, char_end, n_stretches: every document with the parts of its text."""
+    return parts.join(members, on="text").select("doc_id", "n_chars", "char_start", "char_end", "n_stretches")
 
 
 def shared_share(parts: DataFrame, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """For every document n_chars, shared_chars and share (0.0 for an empty or NULL text) of its text found elsewhere."""
-    got = parts.groupBy("doc_id").agg(F.sum(F.col("char_end") - F.col("char_start")).alias("shared_chars"))
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"))
-    x = d.join(got, on="doc_id", how="left").withColumn("shared_chars", F.coalesce("shared_chars", F.lit(0)).cast("long"))
-    return x.withColumn("share", F.coalesce(F.try_divide("shared_chars", "n_chars"), F.lit(0.0)))
+    """For every row of ``docs`` doc_id, n_chars, shared_chars and share (0.0 for an empty or NULL text) of its text found in other documents."""
+    got = parts.groupBy(F.col("text").alias("__t")).agg(F.sum(F.col("char_end") - F.col("char_start")).alias("shared_chars"))
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"), F.unhex(F.md5(text)).alias("__t"))
+    x = d.join(got, on="__t", how="left").withColumn("shared_chars", F.coalesce("shared_chars", F.lit(0)).cast("long"))
+    return x.select("doc_id", "n_chars", "shared_chars", F.coalesce(F.try_divide("shared_chars", "n_chars"), F.lit(0.0)).alias("share"))
