@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemark.llm.spans import chunk_keys, keys_of, shared_parts, shared_share, shared_spans, sharing_documents
+from tidemark.llm.spans import chunk_keys, keys_of, parts_of_documents, shared_parts, shared_share, shared_spans, sharing_documents
 
 LEAST = 80
 
@@ -62,7 +62,7 @@ def test_crowds_give_the_same_pairs(spark, seed):
     for crowd in (0, 3, 10**6):
         spans, members = shared_spans(frame(spark, texts), least=LEAST, crowd=crowd)
         got[crowd] = {tuple(x) for x in sharing_documents(spans, members).collect()}
-        parts = {tuple(x) for x in shared_parts(spans, members).select("doc_id", "char_start", "char_end").collect()}
+        parts = {tuple(x) for x in parts_of_documents(shared_parts(spans, members), members).select("doc_id", "char_start", "char_end").collect()}
         assert crowd == 0 or parts == last
         last = parts
     assert got[0] == got[3] == got[10**6] == brute(texts)
@@ -82,7 +82,7 @@ def test_copies_nulls_and_short_texts(spark):
     assert spans.count() == 0
     assert {tuple(r) for r in sharing_documents(spans, members).collect()} == {(0, 1), (0, 2), (1, 2)}
     parts = shared_parts(spans, members)
-    assert {(r["doc_id"], r["char_start"], r["char_end"]) for r in parts.collect()} == {(i, 0, 150) for i in range(3)}
+    assert {(r["doc_id"], r["char_start"], r["char_end"]) for r in parts_of_documents(parts, members).collect()} == {(i, 0, 150) for i in range(3)}
     share = {r["doc_id"]: (r["n_chars"], r["shared_chars"], r["share"]) for r in shared_share(parts, docs).collect()}
     assert share[0] == (150, 150, 1.0) and share[3] == share[4] == (0, 0, 0.0) and share[6][2] == 0.0
 
@@ -91,7 +91,8 @@ def test_parts_merge_overlaps(spark):
     r = random.Random(5)
     base = "".join(r.choice("abcdefghijkl") for _ in range(400))
     texts = [base, "1" * 30 + base[:150], base[100:260] + "2" * 30, "3" + base[300:400]]
-    parts = shared_parts(*shared_spans(frame(spark, texts), least=LEAST))
+    spans, members = shared_spans(frame(spark, texts), least=LEAST)
+    parts = parts_of_documents(shared_parts(spans, members), members)
     assert {(p["char_start"], p["char_end"]) for p in parts.where("doc_id = 0").collect()} == {(0, 260), (300, 400)}
 
 
@@ -103,7 +104,17 @@ def test_empty_table(spark):
 def test_one_row_twice_is_no_pair(spark):
     text = "".join(chr(97 + i * i % 23) for i in range(150))
     docs = spark.createDataFrame([(7, text), (7, text)], "doc_id long, text string")
-    assert sharing_documents(*shared_spans(docs, least=LEAST)).count() == 0
+    spans, members = shared_spans(docs, least=LEAST)
+    assert sharing_documents(spans, members).count() == 0
+    assert [r["share"] for r in shared_share(shared_parts(spans, members), docs).collect()] == [0.0, 0.0]
+
+
+def test_documents_without_id(spark):
+    text = "".join(chr(97 + i * i % 23) for i in range(150))
+    docs = spark.createDataFrame([(None, text), (7, text), (None, "z")], "doc_id long, text string")
+    spans, members = shared_spans(docs, least=LEAST)
+    assert sharing_documents(spans, members).count() == 0
+    assert sorted(r["share"] for r in shared_share(shared_parts(spans, members), docs).collect()) == [0.0, 1.0, 1.0]
 
 
 def test_cuts_move_with_the_text():
