@@ -77,6 +77,12 @@ def test_hot_deck_nulls_and_empties(spark):
     assert all(r["v_filled"] is None and r["v_was_missing"] for r in nobody.values())
 
 
+def test_hot_deck_of_one_field(spark):
+    df = spark.createDataFrame([("r1", "a", day(0), None), ("r2", "b", day(3), 1.0), (None, "b", day(4), None)], "row_id string, k string, date date, v double")
+    got = {r["row_id"]: (r["v_filled"], r["v_donor_level"], r["v_distance"]) for r in hot_deck(df, ["v"], row_id="row_id", date="date", within="k", levels=("",)).collect()}
+    assert got == {"r1": (1.0, "all", 3), "r2": (1.0, None, None), None: (1.0, "k", 1)}
+
+
 def test_marked_cells(spark):
     x = hot_deck(deck(spark, [("a", "x", 1, None, "p"), ("a", "x", 2, 1.0, None)]), ["v", "s"], row_id="row_id", date="date", within="k")
     assert {tuple(r) for r in marked_cells(x, ["v", "s"], "row_id").collect()} == {(0, "v"), (1, "s")}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,7 +136,7 @@ def _from_level(rows: DataFrame, base: DataFrame, level: str, names: list[str],
         *[F.last(n, ignorenulls=True).over(after).alias(f"{n}gq") for n in names],
     )
     # rows that lack nothing match no day; their keys are spread so that they gather nowhere
-    lacking = F.greatest(*[F.col(f"{n}x").isNull().cast("int") for n in names]) == 1
+    lacking = reduce(or_, [F.col(f"{n}x").isNull() for n in names])
     spread = F.lit(-(10**7)) - F.pmod(F.xxhash64(row_id), F.lit(10**6))
     left = rows.withColumn(f"{P}need", F.when(lacking, F.col(f"{P}day").cast("long")).otherwise(spread))
     j = left.join(near, on=key.eqNullSafe(F.col(f"{P}g")) & (F.col(f"{P}need") == F.col(f"{P}gd")), how="left")
