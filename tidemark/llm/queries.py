@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.leakage import leaks
-from tidemark.llm.packing import pack
+from tidemark.llm.packing import pack, public_vocabulary
 from tidemark.llm.spans import parts_of_documents, shared_parts, shared_share, shared_spans, sharing_documents
 from tidemark.session import table
 
 
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
-    return pack(table(spark, d, "documents"))
+    """In tokens of a public vocabulary; of four characters only where none is installed."""
+    return pack(table(spark, d, "documents"), vocabulary=public_vocabulary())
 
 
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
