@@ -153,6 +153,38 @@ def test_broken_loads_are_out_of_control(spark):
     assert got == {(3, "v"), (5, "v"), (7, "v"), (9, "v"), (11, "v"), (13, "q")}
 
 
+def test_texts_are_watched_by_value(spark, tmp_path):
+    from tidemark.plans.quality_queries import p3_alarms, p3_found
+
+    r = random.Random(12)
+    label = lambda n: f"FY{n // 4}Q{n % 4 + 1}"
+    rows = []
+    for load in range(24):
+        tickers = [f"{b}-P{i:06}.QX" for b in ("ABCD", "EFGH") for i in range(load // 6, load // 6 + 8)]  # tickers come and go
+        if load == 17:
+            tickers = [f"ZZZZ-P{i:06}.QX" for i in range(16)]
+        for _ in range(200):
+            d = date(2020, 11, 1) + timedelta(days=60 * load + r.randrange(150))
+            q = (d.year + (d.month >= 11)) * 4 + (d.month - 11) % 12 // 3
+            q = {3: 2099 * 4, 7: q - 1, 11: q + r.randint(-2, 2)}.get(load, q)
+            t = r.choice(tickers)
+            rows.append((len(rows), d, t, t[:4], label(q), r.gauss(0.2, 0.1), r.gauss(0, 0.02), int(r.random() < 0.1), load))
+    schema = "row_id long, date date, ticker string, issuer string, fiscal_quarter string, framing_gap_ffill double, td_return_5d_fwd double, is_news_burst int, load_id int"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "model_features_daily.parquet"))
+    assert {(g["load_id"], g["field"]) for g in p3_found(spark, str(tmp_path)).collect()} == {(3, "fiscal_quarter"), (7, "fiscal_quarter"), (11, "fiscal_quarter")}
+    got = {(g["load_id"], g["field"]) for g in p3_alarms(spark, str(tmp_path)).collect()}
+    assert {(17, "ticker"), (17, "issuer"), (3, "fiscal_quarter")} <= got
+    assert {n for n, f in got if f in ("ticker", "issuer")} == {17}
+
+
+def test_shares_merge_to_the_whole(spark):
+    r = random.Random(8)
+    df = spark.createDataFrame([(i % 5, r.choice([None, *map(str, range(300))]), 0) for i in range(3000)], "part int, q string, one int").repartition(7)
+    a = merge_states(column_states(df, "part", ["q"]), "field").first()["shares"]
+    b = column_states(df, "one", ["q"]).first()["shares"]
+    assert a == b and sum(a) == df.where("q is not null").count() and len(a) == 64
+
+
 def test_profile_of_nothing(spark):
     s = column_states(spark.createDataFrame([], "part int, v double"), "part")
     assert out_of_control(state_metrics(s, merge_states(s, "field"))).count() == 0

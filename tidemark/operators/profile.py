@@ -13,16 +13,25 @@ from pyspark.sql import types as T
 #: Shares of the value distribution at which metrics look at it.
 GRID = tuple(i / 50 for i in range(51))
 
+#: Buckets of the hashes of values, by whose shares texts are compared.
+BUCKETS = 64
+
 
 @dataclass(frozen=True)
 class Check:
-    """What holds for a column's values: regular expression, allowed values, bounds (both inclusive), values that stand for a missing one."""
+    """What holds for a column's values: regular expression, allowed values, bounds (both inclusive), values that stand for a missing one.
+
+    shares_of: what the column's shares are taken of instead of its values, for
+    values that move on from load to load by themselves (a quarter's lag behind
+    the row's date, say). Rows where it is NULL have no part in them.
+    """
 
     pattern: str | None = None
     domain: Sequence[object] | None = None
     low: float | None = None
     high: float | None = None
     stand_ins: Sequence[float] = (-9999.0,)
+    shares_of: Column | None = None
 
 
 def _measure(c: Column, kind: T.DataType) -> Column:
@@ -49,7 +58,9 @@ def column_states(df: DataFrame, part: str, columns: Sequence[str] | None = None
 
     Columns out: part, field, n, nulls, nans, stand_ins, off_pattern,
     off_domain, off_range, used, measured, low, high, mean, m2 (sum of squares
-    about the mean), distinct (HLL sketch), spread (KLL sketch). used counts the
+    about the mean), distinct (HLL sketch), spread (KLL sketch), shares (texts
+    and columns with shares_of: rows by hash of the value, BUCKETS counts, exact;
+    NULL for others). used counts the
     values left after nulls, NaN and stand-ins, measured those of them that are
     finite; these alone enter what follows it. Values off a pattern or
     domain are texts spelled nan, none, null and n/a too.
@@ -83,10 +94,17 @@ def column_states(df: DataFrame, part: str, columns: Sequence[str] | None = None
         if rule.high is not None:
             off_range = off_range | (used & (c > rule.high))
         key = F.when(used, F.xxhash64(F.to_json(F.struct(c)) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else c))
+        shares = F.lit(None).cast("array<double>")
+        if isinstance(kind, T.StringType) or rule.shares_of is not None:
+            of = c if rule.shares_of is None else rule.shares_of
+            # as many bins as buckets: only bins of one bucket are ever made one (at a mean that may be off by a rounding); tasks' bins of a bucket may stay apart
+            bins = F.histogram_numeric(F.when(used & of.isNotNull(), F.pmod(F.xxhash64(of), F.lit(BUCKETS)).cast("double")), F.lit(BUCKETS))
+            shares = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.reduce(F.filter(F.coalesce(bins, F.array().cast("array<struct<x:double,y:double>>")), lambda e: F.round(e["x"]) == b), F.lit(0.0), lambda t, e: t + e["y"]))
         parts = {
             "n": F.count(F.lit(1)), "nulls": share(c.isNull()), "nans": share(nan), "stand_ins": share(standing), "off_pattern": share(off_pattern),
             "off_domain": share(off_domain), "off_range": share(off_range), "used": share(used), "measured": F.count(x), "low": F.min(x), "high": F.max(x),
             "mean": F.avg(x), "m2": F.var_pop(x) * F.count(x), "distinct": F.hll_sketch_agg(key), "spread": F.kll_sketch_agg_double(x),
+            "shares": shares,
         }
         aggs += [v.alias(f"__{i}_{k}") for k, v in parts.items()]
         cells.append(F.struct(F.lit(name).alias("field"), *[F.col(f"__{i}_{k}").alias(k) for k in parts]))
@@ -104,11 +122,33 @@ def merge_states(states: DataFrame, *by: str) -> DataFrame:
     return x.groupBy(*by).agg(
         *[F.sum(c).alias(c) for c in sums], F.min("low").alias("low"), F.max("high").alias("high"), F.max("__about").alias("mean"), F.sum("m2").alias("m2"),
         F.hll_union_agg("distinct").alias("distinct"), F.kll_merge_agg_double("spread").alias("spread"),
+        F.reduce(F.collect_list("shares"), F.lit(None).cast("array<double>"), lambda a, b: F.when(a.isNull(), b).otherwise(F.zip_with(a, b, lambda u, v: u + v))).alias("shares"),
     )
 
 
+def _apart(a: Column, b: Column) -> Column:
+    """Half the sum of the differences of two arrays of counts as shares, less what chance alone makes of it; NULL if either holds nothing."""
+    total = lambda s: F.reduce(s, F.lit(0.0), lambda t, v: t + v)
+    m, n = total(a), total(b)
+
+    def one(u: Column, v: Column) -> Column:
+        p = (u + v) / (m + n)
+        return F.abs(u / m - v / n) - F.sqrt(2 / math.pi * p * (1 - p) * (1 / m + 1 / n))
+
+    return F.when((m > 0) & (n > 0), F.greatest(F.lit(0.0), 0.5 * total(F.zip_with(a, b, one))))
+
+
 def state_metrics(states: DataFrame, pooled: DataFrame | None = None) -> DataFrame:
-    """Metrics of each state: rates, distinct count, range, mean, sd, quartiles, mode_share and, against ``pooled`` states by field, the greatest distance of the distributions."""
+    """Metrics of each state: rates, distinct count, range, mean, sd, quartiles, mode_share, top_share and, against ``pooled`` states by field, distances.
+
+    mode_share looks at numbers (the length of a text), top_share at the values
+    themselves: the share of the fullest bucket. distance is the greatest of the
+    distributions of numbers; mix_distance that of the shares from the pooled
+    ones; step_distance that of the shares from those of the two parts before
+    and the two after, of these the second least (at the ends, where two are all,
+    the least): parts next to a broken one aren't far from the rest, and two
+    that are broken alike still are.
+    """
     rate = lambda c: F.col(c) / F.col("n")
     some = F.kll_sketch_get_n_double("spread") > 0
     q = F.when(some, F.kll_sketch_get_quantile_double("spread", F.array(*map(F.lit, GRID))))
@@ -130,14 +170,21 @@ def state_metrics(states: DataFrame, pooled: DataFrame | None = None) -> DataFra
         F.hll_sketch_estimate("distinct").alias("n_distinct"), F.sqrt(F.try_divide("m2", "measured")).alias("sd"),
         F.get("q", F.lit(k // 4)).alias("q25"), F.get("q", F.lit(k // 2)).alias("q50"), F.get("q", F.lit(3 * k // 4)).alias("q75"),
         F.when(F.col("q").isNotNull(), run).alias("mode_share"), "q",
+        F.try_divide(F.array_max("shares"), F.reduce("shares", F.lit(0.0), lambda t, v: t + v)).alias("top_share"),
     )
     if pooled is None:
-        return x.drop("q")
-    p = pooled.select(F.col("field").alias("__f"), F.when(F.kll_sketch_get_n_double("spread") > 0, F.kll_sketch_get_quantile_double("spread", F.array(*map(F.lit, GRID)))).alias("__q"))
+        return x.drop("q", "shares")
+    p = pooled.select(F.col("field").alias("__f"), F.when(F.kll_sketch_get_n_double("spread") > 0, F.kll_sketch_get_quantile_double("spread", F.array(*map(F.lit, GRID)))).alias("__q"), F.col("shares").alias("__s"))
     x = x.join(p, on=F.col("field") == F.col("__f"), how="left")
     below = lambda a, v: F.size(F.filter(a, lambda y: y <= v)) / F.lit(float(k + 1))
     gap = F.array_max(F.transform("__q", lambda v: F.abs(below(F.col("q"), v) - below(F.col("__q"), v))))
-    return x.withColumn("distance", gap).drop("__f", "__q", "q")
+    x = x.withColumn("distance", gap).withColumn("mix_distance", _apart(F.col("shares"), F.col("__s")))
+    w = Window.partitionBy("field").orderBy("part")
+    near = F.array(*[f("shares", i).over(w) for f in (F.lag, F.lead) for i in (1, 2)])
+    x = x.withColumn("__near", near)
+    steps = F.array_sort(F.filter(F.transform("__near", lambda o: _apart(F.col("shares"), o)), lambda v: v.isNotNull()))
+    x = x.withColumn("step_distance", F.get(steps, (F.size(steps) > 2).cast("int")))
+    return x.drop("__f", "__q", "q", "__s", "__near", "shares")
 
 
 #: Metric, how it is compared, and the change that matters in practice whatever
@@ -148,6 +195,7 @@ LIMITS = (
     ("nulls_rate", "rate", 0.05), ("nans_rate", "rate", 0.05), ("stand_ins_rate", "rate", 0.05), ("off_pattern_rate", "rate", 0.05),
     ("off_domain_rate", "rate", 0.05), ("off_range_rate", "rate", 0.05), ("mode_share", "rate", 0.25), ("n_distinct", "log", math.log(3)),
     ("sd", "log", math.log(3)), ("mean", "shift", 1.0), ("q50", "shift", 1.25), ("distance", "rate", 0.4),
+    ("top_share", "rate", 0.25), ("mix_distance", "rate", 0.4), ("step_distance", "rate", 0.25),
 )
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.missing import Reading, usable
+from tidemark.functions.scalar import fiscal_quarter, quarter_label
 from tidemark.operators.hot_deck import hot_deck, marked_cells
 from tidemark.operators.known_at import known_at
 from tidemark.operators.profile import Check, column_states, merge_states, out_of_control, state_metrics
@@ -152,9 +155,21 @@ CHECKS = {
 }
 
 
+def _quarters_ahead(label: Column, day: Column) -> Column:
+    """By how many quarters a label lies ahead of the fiscal quarter of its row's date; NULL where either can't be read."""
+    index = lambda q: F.substring(q, 3, 4).cast("int") * 4 + F.substring(q, 8, 1).cast("int")
+    return index(quarter_label(label)) - index(fiscal_quarter(day))
+
+
+def _checks(day: Column) -> dict[str, Check]:
+    """CHECKS, with quarters compared by their lag to ``day``: a load's quarters move on with its dates."""
+    lag = replace(QUARTER, shares_of=_quarters_ahead(F.col("fiscal_quarter"), day))
+    return {**CHECKS, "fiscal_quarter": lag}
+
+
 def _loads(spark: SparkSession, d: str, columns: list[str] | None = None) -> DataFrame:
     m = table(spark, d, MATRIX)
-    s = column_states(m, "load_id", columns, CHECKS)
+    s = column_states(m, "load_id", columns, _checks(F.col("date")))
     return state_metrics(s, merge_states(s, "field"))
 
 
