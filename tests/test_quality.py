@@ -177,6 +177,37 @@ def test_texts_are_watched_by_value(spark, tmp_path):
     assert {n for n, f in got if f in ("ticker", "issuer")} == {17}
 
 
+def test_alarms_of_all_tables(spark, tmp_path):
+    from tidemark.plans.quality_queries import p3_profile, p3_table_alarms
+
+    r = random.Random(13)
+    prices, annotations, documents, matrix = [], [], [], []
+    for m in range(14):
+        rows = 5 if m == 12 else 400 if m == 2 else 120  # a short month and a long one aren't broken
+        for _ in range(rows):
+            d = date(2021 + m // 12, m % 12 + 1, r.randint(1, 28))
+            q = f"FY{d.year + (d.month >= 11)}Q{(d.month - 11) % 12 // 3 + 1}"
+            at = f"{d}T01:00:00Z"
+            price = r.gauss(50, 5)
+            prices.append((d, f"{d} 01:00:00", price * 100 if m == 4 else price))
+            score = None if m == 6 and r.random() < 0.5 else r.gauss(0, 0.3)
+            annotations.append((str(d), at, q, ("positive", score)))
+            documents.append((d, "FY2030Q1" if m == 8 else q, "the same" if m == 10 else f"text {r.randrange(10**9)}"))
+            matrix.append((d, q, m))
+    for name, x, schema in (
+        ("prices", prices, "date date, ingested string, adj_close double"), ("documents", documents, "doc_date date, fiscal_quarter string, text string"),
+        ("annotations", annotations, "date string, created_at string, fiscal_quarter string, output struct<sentiment:string,sentiment_score:double>"),
+        ("model_features_daily", matrix, "date date, fiscal_quarter string, load_id int"),
+    ):
+        df = spark.createDataFrame(x, schema)
+        df = df.selectExpr("date", "CAST(ingested AS timestamp) AS ingested_at", "adj_close") if name == "prices" else df
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {(g["table_name"], g["load"], g["field"]) for g in p3_table_alarms(spark, str(tmp_path)).collect()}
+    assert got == {("prices", "2021-05", "adj_close"), ("annotations", "2021-07", "output.sentiment_score"), ("documents", "2021-09", "fiscal_quarter"), ("documents", "2021-11", "text")}
+    far = {(g["table_name"], g["load"]): g["distance"] for g in p3_profile(spark, str(tmp_path)).where("field = 'adj_close'").collect()}
+    assert far["prices", "2021-05"] > 0.8 > 0.2 > far["prices", "2021-04"]
+
+
 def test_shares_merge_to_the_whole(spark):
     r = random.Random(8)
     df = spark.createDataFrame([(i % 5, r.choice([None, *map(str, range(300))]), 0) for i in range(3000)], "part int, q string, one int").repartition(7)

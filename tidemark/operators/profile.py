@@ -199,7 +199,7 @@ LIMITS = (
 )
 
 
-def out_of_control(metrics: DataFrame, *, by: Sequence[str] = ("field",), width: float = 5.0, least_history: int = 5) -> DataFrame:
+def out_of_control(metrics: DataFrame, *, by: Sequence[str] = ("field",), width: float = 5.0, least_history: int = 5, least_rows: int = 1) -> DataFrame:
     """One row for each metric of a state that is out of line with the same column's other states: part, by, metric, value, centre, limit.
 
     Centre and spread are median and 1.4826 median absolute deviations over all
@@ -207,19 +207,25 @@ def out_of_control(metrics: DataFrame, *, by: Sequence[str] = ("field",), width:
     line is what lies further from the centre than ``width`` spreads and than
     the metric's own least change in LIMITS. Columns with fewer than
     ``least_history`` states are not judged. Metrics that are NULL aren't.
+    States with fewer than ``least_rows`` rows (for rates) or usable values (for
+    all else) are neither judged nor history. n_distinct is out of line if it is
+    both as it stands and per usable value, so that a small load isn't for being small.
 
     Scale: works on states, a row per load and column, not on the data.
     """
     keys = list(by)
     names = [m for m, _, _ in LIMITS if m in metrics.columns]
-    long = metrics.select("part", *keys, "sd", F.col("mean").alias("__mean"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in names])).alias("m"))
-    long = long.select("part", *keys, "sd", "__mean", "m.metric", "m.value").where(F.col("value").isNotNull() & ~F.isnan("value"))
+    long = metrics.select("part", *keys, "n", "used", "sd", F.col("mean").alias("__mean"), (F.col("q75") - F.col("q25")).alias("__iqr"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in names])).alias("m"))
+    long = long.select("part", *keys, "n", "used", "sd", "__mean", "__iqr", "m.metric", "m.value").where(F.col("value").isNotNull() & ~F.isnan("value"))
+    long = long.where(F.when(F.col("metric").endswith("_rate"), F.col("n")).otherwise(F.col("used")) >= least_rows)
     how = {m: (h, least) for m, h, least in LIMITS}
     is_log = F.col("metric").isin([m for m in names if how[m][0] == "log"])
     is_shift = F.col("metric").isin([m for m in names if how[m][0] == "shift"])
     w = Window.partitionBy(*keys, "metric")
     # a column that hardly varies is measured against its size
     unit = F.greatest(F.coalesce(F.median("sd").over(w), F.lit(0.0)), 0.05 * F.abs(F.coalesce(F.median("__mean").over(w), F.lit(0.0))), F.lit(1e-12))
+    # the median of a column of few values may lie on either of two of them
+    unit = F.when(F.col("metric") == "q50", F.greatest(unit, 0.85 * F.coalesce(F.median("__iqr").over(w), F.lit(0.0)))).otherwise(unit)
     long = long.withColumn("unit", unit).withColumn("history", F.count("*").over(w))
     floor = F.when(F.col("metric") == "sd", 0.1 * F.col("unit")).otherwise(F.lit(1e-12))
     long = long.withColumn("x", F.when(is_log, F.log(F.greatest(F.col("value"), floor))).otherwise(F.col("value")))
@@ -227,6 +233,13 @@ def out_of_control(metrics: DataFrame, *, by: Sequence[str] = ("field",), width:
     long = long.withColumn("spread", 1.4826 * F.median(F.abs(F.col("x") - F.col("centre"))).over(w))
     least = F.coalesce(*[F.when(F.col("metric") == m, F.lit(how[m][1])) for m in names])
     limit = F.greatest(width * F.col("spread"), F.when(is_shift, least * F.col("unit")).otherwise(least))
-    out = long.withColumn("limit", limit).where((F.abs(F.col("x") - F.col("centre")) > F.col("limit")) & (F.col("history") >= least_history))
+    off = F.col("x") - F.col("centre")
+    per_value = F.col("x") - F.log(F.greatest(F.col("used"), F.lit(1)).cast("double"))
+    long = long.withColumn("__per", per_value).withColumn("__per", F.col("__per") - F.median("__per").over(w))
+    # the lesser of the two changes, none if they go different ways
+    lesser = F.when(off * F.col("__per") > 0, F.least(F.abs(off), F.abs(F.col("__per")))).otherwise(0.0)
+    # a load that is nearer to the others than usual isn't out of line
+    change = F.when(F.col("metric") == "n_distinct", lesser).when(F.col("metric").isin("mix_distance", "step_distance"), off).otherwise(F.abs(off))
+    out = long.withColumn("limit", limit).where((change > F.col("limit")) & (F.col("history") >= least_history))
     back = F.when(is_log, F.exp("centre")).otherwise(F.col("centre"))
     return out.select("part", *keys, "metric", "value", back.alias("centre"), "limit")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.missing import Reading, usable
 from tidemark.functions.scalar import fiscal_quarter, quarter_label
@@ -183,24 +185,45 @@ def p3_alarms(spark: SparkSession, d: str) -> DataFrame:
     return out_of_control(_loads(spark, d)).withColumnRenamed("part", "load_id")
 
 
-def p3_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Profile of every column of the large tables by load: of the matrix by load_id, of the others by month of arrival."""
+def _profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of every column of the large tables by load, changes included: of the matrix by load_id, of the others by month of arrival.
+
+    Fields of structs are columns of their own, named struct.field.
+    """
     month = lambda c: F.date_format(F.trunc(c, "month"), "yyyy-MM")
+    stamp = lambda c: F.to_date(F.try_to_timestamp(c))
     parts = {
-        MATRIX: F.lpad(F.col("load_id").cast("string"), 6, "0"),
-        "prices": month(F.col("ingested_at")),
-        "annotations": month(F.to_date(F.try_to_timestamp("created_at"))),
-        "documents": month(F.col("doc_date")),
+        MATRIX: (F.lpad(F.col("load_id").cast("string"), 6, "0"), F.col("date")),
+        "prices": (month(F.col("ingested_at")), None),
+        "annotations": (month(stamp(F.col("created_at"))), stamp(F.substring("date", 1, 10))),
+        "documents": (month(F.col("doc_date")), F.col("doc_date")),
     }
-    out = None
-    for name, by in parts.items():
-        t = table(spark, d, name).withColumn("__load", by)
-        x = state_metrics(column_states(t, "__load", None, CHECKS)).select(F.lit(name).alias("table_name"), F.col("part").alias("load"), *PROFILE)
-        out = x if out is None else out.unionByName(x)
-    return out
+    out = []
+    for name, (by, day) in parts.items():
+        t = table(spark, d, name)
+        inner = [F.col(f"`{c.name}`.`{f.name}`").alias(f"{c.name}.{f.name}") for c in t.schema if isinstance(c.dataType, T.StructType) for f in c.dataType]
+        s = column_states(t.select("*", by.alias("__load"), *inner), "__load", None, CHECKS if day is None else _checks(day))
+        out.append(s.withColumn("field", F.concat(F.lit(f"{name}/"), "field")))
+    # one plan for all tables from here on: the states are few
+    s = reduce(DataFrame.unionByName, out)
+    x = state_metrics(s, merge_states(s, "field"))
+    return x.withColumn("table_name", F.split_part("field", F.lit("/"), F.lit(1))).withColumn("field", F.split_part("field", F.lit("/"), F.lit(2)))
+
+
+def p3_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Profile of every column of the large tables by load, with its distances from the other loads."""
+    return _profiles(spark, d).select("table_name", F.col("part").alias("load"), *PROFILE)
+
+
+def p3_table_alarms(spark: SparkSession, d: str) -> DataFrame:
+    """Every column of the large tables: what was out of line in which load, loads of fewer than 30 rows aside."""
+    return out_of_control(_profiles(spark, d), by=("table_name", "field"), least_rows=30).withColumnRenamed("part", "load")
 
 
-PROFILE = ("field", "n", "nulls", "nans", "stand_ins", "off_pattern", "off_domain", "off_range", "used", "low", "high", "mean", "sd", "n_distinct", "q25", "q50", "q75", "mode_share")
+PROFILE = (
+    "field", "n", "nulls", "nans", "stand_ins", "off_pattern", "off_domain", "off_range", "used", "low", "high", "mean", "sd", "n_distinct", "q25", "q50", "q75", "mode_share",
+    "top_share", "distance", "mix_distance", "step_distance",
+)
 
 
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -352,6 +375,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_alarms": p3_alarms,
     "p3_profile": p3_profile,
+    "p3_table_alarms": p3_table_alarms,
     "p3_counts": p3_counts,
     "p4_found": p4_found,
     "p4_faults": p4_faults,
