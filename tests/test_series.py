@@ -165,6 +165,11 @@ def test_scalars(spark):
     assert [str(one(spark, sc.written_date(F.lit(x)))) for x in dates] == ["2024-05-09", "2024-05-23", "None", "None"]
 
 
+def test_written_date_late_in_a_text(spark):
+    late = F.lit("x " * 4000 + "on May 9, 2024 the bank")
+    assert str(one(spark, sc.written_date(late))) == "2024-05-09" and one(spark, sc.written_date(late, 6000)) is None
+
+
 # tables -----------------------------------------------------------------------------------------------------
 def test_tables(spark):
     df = spark.createDataFrame([(1.0, None, 3, float("nan")), (1.0, "x", 4, 1.0)], "a double, b string, c int, e double")

@@ -73,9 +73,9 @@ def slug(text: Column, most: int = 80) -> Column:
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 
 
-def written_date(text: Column, within: int = 6000) -> Column:
-    """The first "Month D, YYYY" in the first ``within`` characters, letter-spaced spelling included; NULL where there is none or no such day."""
-    head = F.substring(text, 1, within)
+def written_date(text: Column, within: int | None = None) -> Column:
+    """The first "Month D, YYYY" in the text or its first ``within`` characters (the reference's 6,000), letter-spaced spelling included; NULL where there is none or no such day."""
+    head = text if within is None else F.substring(text, 1, within)
     plain = r"(?i)\b(" + "|".join(MONTHS) + r")\s+(\d{1,2}),?\s+(\d{4})\b"
     spaced = r"(?i)(" + "|".join(r"\s*".join(m) for m in MONTHS) + r")\s*((?:\d\s*){1,2}),\s*((?:\d\s*){4})"
     tight = lambda c: F.regexp_replace(c, r"\s", "")
