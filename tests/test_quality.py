@@ -317,6 +317,29 @@ def test_levels_hold(spark):
     assert set(g) == {*(("a", c) for c in range(5)), ("b", 2), ("b", 3)} and g["b", 2]["marked"] and g["b", 2]["value"] is None
 
 
+def test_readings_that_only_hold(spark):
+    # Friday 0, Saturday and Sunday before Monday 1, Monday itself, Tuesday 2 without a reading, one before Wednesday 3
+    rows = [("a", 0.0, 1.0, 5, True), ("a", 1.0, 5.0, 6, False), ("a", 1.0, 6.0, 7, False), ("a", 1.0, -2.0, 8, True), ("a", 3.0, 4.0, 9, False), ("a", 3.0, None, 10, True)]
+    r = spark.createDataFrame(rows, "k string, t double, v double, o int, own boolean")
+    b = spark.createDataFrame([("a", 0, 3)], "k string, first_cell long, last_cell long")
+    g = {x["cell"]: x for x in regrid(r, b, entity="k", time="t", value="v", order="o", kind="level", own="own").collect()}
+    assert [g[c]["value"] for c in range(4)] == pytest.approx([1.0, -2.0, -2.0, 4.0], abs=1e-12)
+    assert [g[c]["marked"] for c in range(4)] == [False, False, True, True] and [g[c]["n_readings"] for c in range(4)] == [1, 1, 0, 0]
+
+
+def test_levels_of_any_sign_against_brute_force(spark):
+    r = random.Random(11)
+    rows = [("a", r.uniform(-3, 20), r.uniform(-5, 5), i) for i in range(40)]
+    g = grid(spark, rows, [("a", 0, 16)], kind="level")
+    line = sorted((t, o, v) for _, t, v, o in rows)
+    for c in range(17):
+        total = 0.0
+        for i, (t, _, v) in enumerate(line):
+            u = line[i + 1][0] if i + 1 < len(line) else 17.0
+            total += max(0.0, min(u, c + 1) - max(t, c)) * v
+        assert g["a", c]["value"] == pytest.approx(total / min(1.0, c + 1 - line[0][0]), abs=1e-9)
+
+
 def test_readings_beyond_the_bounds(spark):
     g = grid(spark, [("a", -3.0, 2.0, 0), ("a", 9.0, 4.0, 0)], [("a", 0, 3)], kind="level")
     assert [g["a", c]["value"] for c in range(4)] == [2.0] * 4 and all(g["a", c]["marked"] for c in range(4))

@@ -18,6 +18,7 @@ def regrid(
     last: str = "last_cell",
     kind: str = "counter",
     max_gap: float | None = None,
+    own: str | None = None,
 ) -> DataFrame:
     """A regular series: one row per entity and grid cell from its first to its last.
 
@@ -31,11 +32,19 @@ def regrid(
     proportion to the overlap. ``value`` is the cell's increment; ``covered``
     the part of the cell between first and last reading.
 
-    kind "level": the reading holds until the next one. It is turned into a
-    counter, the running integral of the level over time, and goes the same
-    way; ``value`` is then the increment over the covered part, the mean level.
+    kind "level": the reading holds until the next one, the last one to the end
+    of the grid. Levels are first made a counter, the running integral of the
+    level over time as it stands at each reading and at the end; its readings
+    are differenced and shared out in the same way (a fall is no reset here: a
+    level may be negative). ``value`` is then the increment over the covered
+    part of the cell, its mean level, exact but for the rounding of sums (about
+    1e-12 of the integral).
 
-    ``marked`` is true where no reading falls into the cell itself, or, with
+    ``own``: a BOOLEAN column, false for readings that hold from ``time`` on but
+    aren't readings of the cell that begins there; of several at one time the
+    one with the greatest ``order`` holds.
+
+    ``marked`` is true where no reading of its own falls into the cell, or, with
     max_gap, where all of the cell lies between readings further apart than
     that: the value is then an estimate, or NULL where nothing covers the cell.
 
@@ -43,9 +52,9 @@ def regrid(
     cells, which the grid has anyway. The sort is within an entity and holds
     its readings only; reduce repeated readings of a cell beforehand.
 
-    Nulls: readings without entity, time or value are left out. Of readings at
-    one time the one with the greatest ``order`` comes last: it counts for
-    "level", all of them in order for "counter". Entities without a reading get
+    Nulls: readings without entity, time or value are left out; a NULL ``own``
+    is false. Of readings at one time the one with the greatest ``order`` comes
+    last: it counts for "level", all of them in order for "counter". Entities without a reading get
     their cells with value NULL; entities without bounds get none. Readings
     outside the bounds still cover the cells inside.
     """
@@ -53,26 +62,29 @@ def regrid(
         raise ValueError(f"kind is {kind}")
     b = bounds.groupBy(F.col(entity).alias("k")).agg(F.min(first).cast("long").alias("a"), F.max(last).cast("long").alias("z"))
     b = b.where(F.col("k").isNotNull() & F.col("a").isNotNull() & F.col("z").isNotNull())
-    r = readings.select(F.col(entity).alias("k"), F.col(time).cast("double").alias("t"), F.col(value).cast("double").alias("v"), F.col(order).alias("o"))
+    mine = F.lit(True) if own is None else F.coalesce(F.col(own), F.lit(False))
+    r = readings.select(F.col(entity).alias("k"), F.col(time).cast("double").alias("t"), F.col(value).cast("double").alias("v"), F.col(order).alias("o"), mine.alias("own"))
     r = r.where(F.col("k").isNotNull() & F.col("t").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v"))
     # a mark at the start of each entity makes the intervals tile the whole of it
     none = r.schema["o"].dataType
-    marks = b.select("k", F.lit(float("-inf")).alias("t"), F.lit(None).cast("double").alias("v"), F.lit(None).cast(none).alias("o"), "a", "z")
+    marks = b.select("k", F.lit(float("-inf")).alias("t"), F.lit(None).cast("double").alias("v"), F.lit(None).cast(none).alias("o"), F.lit(False).alias("own"), "a", "z")
     line = r.select("*", F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("z")).unionByName(marks)
     w = Window.partitionBy("k").orderBy("t", "o")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    x = line.select(
-        "k", "t", "v",
-        F.lead("t").over(w).alias("u"), F.lead("v").over(w).alias("nv"),
-        F.max("a").over(whole).alias("a"), F.max("z").over(whole).alias("z"),
-    ).where(F.col("a").isNotNull())
-    length = F.col("u") - F.col("t")
-    if kind == "counter":
-        inc = F.when(F.col("nv") < F.col("v"), F.col("nv")).otherwise(F.col("nv") - F.col("v"))
-        rate = F.when(F.col("v").isNotNull() & (length > 0), inc / length)
+    x = line.select("k", "t", "v", "own", F.lead("t").over(w).alias("u"), F.max("a").over(whole).alias("a"), F.max("z").over(whole).alias("z"), "o").where(F.col("a").isNotNull())
+    if kind == "level":
+        # the counter: what the level has made since the first reading; the last level runs to the end of the grid
+        x = x.withColumn("u", F.coalesce("u", F.greatest(F.col("z") + F.lit(1.0), F.col("t"))))
+        made = F.when(F.col("v").isNotNull(), F.col("v") * (F.col("u") - F.col("t")))
+        x = x.withColumn("nv", F.sum(made).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        x = x.withColumn("v", F.when(F.col("v").isNotNull(), F.coalesce(F.lag("nv").over(w), F.lit(0.0))))
+        inc = F.col("nv") - F.col("v")
     else:
-        rate = F.col("v")
-    x = x.select("k", "t", "a", "z", F.coalesce("u", F.lit(float("inf"))).alias("u"), rate.alias("rate"), length.alias("gap"))
+        x = x.withColumn("nv", F.lead("v").over(w))
+        inc = F.when(F.col("nv") < F.col("v"), F.col("nv")).otherwise(F.col("nv") - F.col("v"))
+    length = F.col("u") - F.col("t")
+    rate = F.when(F.col("v").isNotNull() & (length > 0), inc / length)
+    x = x.select("k", "t", "own", "a", "z", F.coalesce("u", F.lit(float("inf"))).alias("u"), rate.alias("rate"), length.alias("gap"))
     lo = F.greatest(F.col("a").cast("double"), F.floor("t").cast("double"))
     hi = F.least(F.col("z").cast("double"), F.ceil("u").cast("double") - 1)
     at_point = F.col("t") == F.col("u")  # no length; kept so that the reading is counted
@@ -84,7 +96,7 @@ def regrid(
     wide = F.lit(False) if max_gap is None else F.coalesce(F.col("gap") > max_gap, F.lit(False))
     cells = cells.select(
         F.col("k"), "cell",
-        ((F.col("t") >= start) & (F.col("t") < end)).cast("long").alias("here"),
+        (F.col("own") & (F.col("t") >= start) & (F.col("t") < end)).cast("long").alias("here"),
         F.when(F.col("rate").isNotNull() & (over > 0), over).alias("over"),
         F.when(F.col("rate").isNotNull() & (over > 0), over * F.col("rate")).alias("inc"),
         F.when(wide, 0.0).otherwise(over).alias("close"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,7 @@ from tidemark.operators.profile import Check, column_states, merge_states, out_o
 from tidemark.operators.regrid import calendar_cells, regrid
 from tidemark.operators.spikes import Measure, implausible
 from tidemark.operators.trailing import clean_key, latest_per, trailing, windows_of_rows
+from tidemark.plans.base import BARS, bars
 from tidemark.session import table
 
 MATRIX = "model_features_daily"
@@ -264,37 +265,76 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 # p5 -----------------------------------------------------------------------------------------------------------
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    """date, cell, open; a row a calendar day."""
+    return calendar_cells(table(spark, d, "trading_calendar"), "cal_date", "is_trading_day").select(F.col("day").alias("date"), "cell", "open")
+
+
+def _on_days(g: DataFrame, cal: DataFrame) -> DataFrame:
+    """A grid by (ticker, field) and cell with its trading days."""
+    x = g.join(F.broadcast(cal.where("open").select("cell", "date")), on="cell")
+    return x.select(F.col("series.ticker").alias("ticker"), F.col("series.field").alias("field"), F.date_format("date", "yyyy-MM-dd").alias("trade_date"), F.round(F.col("value"), 9).alias("value"), "marked")
+
+
 def p5_grid(spark: SparkSession, d: str) -> DataFrame:
-    """One line per ticker, field and trading day: the level, read or filled, and whether it is marked as having no reading of its own."""
+    """One line per ticker, field and trading day: the level (to nine places), read or filled, and whether it is marked as having no reading of its own."""
     m = table(spark, d, MATRIX)
     kinds = {x.name: x.dataType for x in m.schema}
     day = m.where(F.col("ticker").isNotNull() & F.col("date").isNotNull()).groupBy("ticker", "date").agg(
         *[F.max_by(usable(F.col(f), kinds[f]), F.when(usable(F.col(f), kinds[f]).isNotNull(), F.col("row_id"))).alias(f) for f in GRIDDED]
     )
-    # a row a calendar day
-    cal = calendar_cells(table(spark, d, "trading_calendar"), "cal_date", "is_trading_day").select(F.col("day").alias("date"), "cell", "open")
+    cal = _cells(spark, d)
     on = day.join(F.broadcast(cal), on="date")
     ids = [F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in GRIDDED]
-    long = on.select("ticker", "date", "cell", "open", F.explode(F.array(*ids)).alias("x"))
-    long = long.select(F.struct("ticker", F.col("x.field").alias("field")).alias("series"), F.col("date").alias("o"), "cell", "open", F.col("x.value").alias("value"))
-    # a reading on a closed day holds from just before the next open day begins, so that it covers but isn't one of that day
-    readings = long.select("series", "o", "value", F.when(F.col("open"), F.col("cell").cast("double")).otherwise(F.col("cell") - F.lit(1e-6)).alias("t"))
+    # a reading on a closed day holds from the next open day on, unless that has one, and is none of that day's own
+    long = on.select("ticker", F.col("date").alias("o"), "cell", "open", F.explode(F.array(*ids)).alias("x"))
+    long = long.select(F.struct("ticker", F.col("x.field").alias("field")).alias("series"), "o", "cell", "open", F.col("x.value").alias("value"))
     bounds = long.select("series", F.col("cell").alias("first_cell"), F.when(F.col("open"), F.col("cell")).otherwise(F.col("cell") - 1).alias("last_cell"))
     bounds = bounds.groupBy("series").agg(F.min("first_cell").alias("first_cell"), F.max("last_cell").alias("last_cell"))
-    g = regrid(readings, bounds, entity="series", time="t", value="value", order="o", kind="level")
-    days = F.broadcast(cal.where("open").select("cell", "date"))
-    closed = readings.where(F.col("t") != F.floor("t")).where(F.col("value").isNotNull()).select("series", F.floor("t").cast("long").alias("cell")).groupBy("series", "cell").agg(F.count("*").alias("c"))
-    x = g.join(closed, on=["series", "cell"], how="left").join(days, on="cell")
-    return x.select(
-        F.col("series.ticker").alias("ticker"), F.col("series.field").alias("field"), F.date_format("date", "yyyy-MM-dd").alias("trade_date"),
-        "value", (F.col("n_readings") <= F.coalesce("c", F.lit(0))).alias("marked"),
-    )
+    return _on_days(regrid(long, bounds, entity="series", time="cell", value="value", order="o", kind="level", own="open"), cal)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_grid(spark, d).where("marked").select("ticker", "field", "trade_date")
 
 
+def p5_turnover(spark: SparkSession, d: str) -> DataFrame:
+    """Volume per ticker and trading day out of a counter: the volume traded since the year began, read where there is a bar.
+
+    The counter starts anew each year; days without a bar get their share of
+    what the next reading adds, and are marked.
+    """
+    b = bars(spark, d).where("ticker is not null and date is not null and volume is not null").select("ticker", "date", "volume")
+    year = Window.partitionBy("ticker", F.year("date")).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    b = b.select("ticker", "date", F.sum("volume").over(year).alias("counted"))
+    cal = _cells(spark, d)
+    # the reading is taken when the day ends
+    r = b.join(F.broadcast(cal.where("open")), on="date").select(F.struct("ticker", F.lit("volume").alias("field")).alias("series"), "date", "cell", (F.col("cell") + 1).alias("t"), "counted")
+    bounds = r.groupBy("series").agg((F.min("cell") + 1).alias("first_cell"), F.max("cell").alias("last_cell"))
+    g = regrid(r, bounds, entity="series", time="t", value="counted", order="date", kind="counter")
+    read = r.select("series", "cell", F.lit(True).alias("read"))
+    return _on_days(g.drop("marked").join(read, on=["series", "cell"], how="left").withColumn("marked", F.col("read").isNull()), cal)
+
+
+_P5_CELLS = """cells AS (
+  SELECT ticker, field, date, row_id, v FROM (SELECT row_id, ticker, date, cpi_yoy_change, rate_overnight_level, fx_usdcad_level, yield_10y_level FROM model_features_daily)
+  UNPIVOT INCLUDE NULLS (v FOR field IN (cpi_yoy_change, rate_overnight_level, fx_usdcad_level, yield_10y_level))),
+span AS (SELECT ticker, field, min(date) AS a, max(date) AS z FROM cells GROUP BY ALL),
+readings AS (SELECT ticker, field, date, v FROM cells WHERE v IS NOT NULL AND NOT isnan(v) AND NOT isinf(v) AND v <> -9999
+  QUALIFY row_number() OVER (PARTITION BY ticker, field, date ORDER BY row_id DESC) = 1)"""
+
+P5_GRID_SQL = f"""WITH {_P5_CELLS},
+days AS (SELECT s.ticker, s.field, c.cal_date, c.is_trading_day, r.v FROM span s JOIN trading_calendar c ON c.cal_date BETWEEN s.a AND s.z LEFT JOIN readings r ON r.ticker = s.ticker AND r.field = s.field AND r.date = c.cal_date),
+held AS (SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY ticker, field ORDER BY cal_date ROWS UNBOUNDED PRECEDING) AS held FROM days)
+SELECT ticker, field, strftime(cal_date, '%Y-%m-%d') AS trade_date, round(held, 9) AS value, v IS NULL AS marked FROM held WHERE is_trading_day"""
+
+P5_TURNOVER_SQL = f"""WITH {BARS},
+open AS (SELECT cal_date AS date, row_number() OVER (ORDER BY cal_date) AS cell FROM trading_calendar WHERE is_trading_day),
+r AS (SELECT ticker, o.date, cell, sum(volume) OVER (PARTITION BY ticker, year(o.date) ORDER BY o.date) AS c FROM bars JOIN open o ON o.date = bars.date WHERE volume IS NOT NULL),
+i AS (SELECT *, lag(cell) OVER w AS before, lag(c) OVER w AS was FROM r WINDOW w AS (PARTITION BY ticker ORDER BY cell))
+SELECT ticker, 'volume' AS field, strftime(o.date, '%Y-%m-%d') AS trade_date, round(CAST(CASE WHEN c < was THEN c ELSE c - was END AS DOUBLE) / (i.cell - before), 9) AS value, o.cell <> i.cell AS marked
+FROM i JOIN open o ON o.cell > before AND o.cell <= i.cell"""
+
 P5_SQL = """
 WITH cells AS (
   SELECT ticker, field, date, v FROM (SELECT ticker, date, cpi_yoy_change, rate_overnight_level, fx_usdcad_level, yield_10y_level FROM model_features_daily)
@@ -381,6 +421,7 @@ QUERIES = {
     "p4_faults": p4_faults,
     "p5_found": p5_found,
     "p5_grid": p5_grid,
+    "p5_turnover": p5_turnover,
     "p6_found": p6_found,
     "p6_known": p6_known,
 }
@@ -392,6 +433,8 @@ ORACLE = {
     "p2_windows": P2_WINDOWS_SQL,
     "p3_counts": P3_COUNTS_SQL,
     "p5_found": P5_SQL,
+    "p5_grid": P5_GRID_SQL,
+    "p5_turnover": P5_TURNOVER_SQL,
     "p6_found": P6_SQL,
     "p6_known": P6_KNOWN_SQL,
 }
