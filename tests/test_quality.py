@@ -2,6 +2,7 @@ import random
 from datetime import date, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tidemark.functions.missing import Reading
@@ -9,6 +10,7 @@ from tidemark.operators.hot_deck import hot_deck, marked_cells
 from tidemark.operators.known_at import Tree, known_at
 from tidemark.operators.profile import Check, column_states, merge_states, out_of_control, state_metrics
 from tidemark.operators.regrid import calendar_cells, regrid
+from tidemark.operators import spikes
 from tidemark.operators.spikes import Measure, implausible, robust_pca
 from tidemark.operators.trailing import trailing
 
@@ -286,6 +288,54 @@ def test_faults_in_odd_tables(spark):
     assert {r["id"] for r in implausible(df, [Measure("v")], source="k", date="date", row_id="id").collect()} == {1, 3}
 
 
+def planted(sources=12, n=300):
+    """Walks of very different liveliness with lone and double spikes, lasting levels and three-day stays; the spikes' places."""
+    g = np.random.default_rng(5)
+    rows, want = [], set()
+    for k in range(sources):
+        s = 0.002 * 1.5**k
+        x = np.cumsum(g.normal(0, s, n))
+        x[150:] += 25 * s  # a level that lasts
+        x[200:203] += 20 * s  # three days are no spike
+        for at, length, size in ((40, 1, 12), (90, 2, -12), (250, 1, -15)):
+            x[at : at + length] += size * s
+            want |= {(k, at + j) for j in range(length)}
+        rows.append(np.exp(x))
+    return rows, want
+
+
+def spikes_of(rows):
+    none = [np.zeros(len(x)) for x in rows]
+    f = spikes._flags("level", pd.Series(rows), pd.Series(none), pd.Series(none), None, 4.0, 5, 4)
+    return {(k, i) for k, x in enumerate(f) for i in np.flatnonzero(x & spikes.SPIKE)}
+
+
+def test_the_decomposition_decides(monkeypatch):
+    rows, want = planted()
+    assert spikes_of(rows) == want
+    monkeypatch.setattr(spikes, "robust_pca", lambda d, w=None: (d, np.zeros_like(d)))  # all is normal
+    assert spikes_of(rows) == set()
+    monkeypatch.setattr(spikes, "robust_pca", lambda d, w=None: (np.zeros_like(d), d))  # nothing is
+    assert spikes_of(rows) != want
+
+
+def test_returns_against_their_witness_in_the_decomposition():
+    g = np.random.default_rng(6)
+    x = g.normal(0, 1, (1, 256))
+    shown = x + g.normal(0, 0.1, x.shape)
+    x[0, 20] = shown[0, 20] = 15.0  # seen by both
+    x[0, 60], x[0, 90], shown[0, 120] = 12.0, -14.0, np.nan
+    off = spikes._off_witness(x, shown)
+    assert set(np.flatnonzero(off[0] > 4)) == {60, 90}
+
+
+def test_one_source_by_itself_and_few(spark):
+    x = walk(1)
+    x[300] *= 1.2
+    for k in (1, 2, 3, 6):
+        assert faults(spark, {"a": x, **{f"s{i}": walk(10 + i) for i in range(k - 1)}}) == {("a", 300, "spike")}
+
+
 def test_robust_pca_parts():
     g = np.random.default_rng(0)
     low = g.normal(size=(3, 60, 1)) @ g.normal(size=(3, 1, 8))

@@ -27,15 +27,15 @@ class Measure:
     witness: str | None = None
 
 
-def robust_pca(d: np.ndarray, steps: int = 30, tol: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+def robust_pca(d: np.ndarray, weight: float | None = None, steps: int = 30, tol: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Principal component pursuit of each matrix of the stack d (b, m, n): d = low + sparse.
 
-    Minimises the nuclear norm of low plus 1/sqrt(max(m, n)) times the sum of
-    absolutes of sparse, by augmented Lagrange multipliers. n should be small:
+    Minimises the nuclear norm of low plus ``weight`` (1/sqrt(max(m, n)) if not
+    given) times the sum of absolutes of sparse, by augmented Lagrange multipliers. n should be small:
     singular values come from the n x n Gram matrices of the whole stack at once.
     """
     b, m, n = d.shape
-    lam = 1 / np.sqrt(max(m, n))
+    lam = weight or 1 / np.sqrt(max(m, n))
     norm = np.sqrt(np.maximum(np.linalg.eigvalsh(np.swapaxes(d, 1, 2) @ d)[:, -1], 1e-30))
     y = d / np.maximum(norm, np.abs(d).max((1, 2)) / lam)[:, None, None]
     mu = 1.25 / norm
@@ -71,39 +71,72 @@ def _scale(x: np.ndarray) -> np.ndarray:
     return 1.4826 * np.nanmedian(np.abs(x), axis=1)
 
 
-def _outside(e: np.ndarray, scale: np.ndarray, width: int, threshold: float) -> np.ndarray:
-    """Entries of the sparse part: rows of e (NaN only at their ends) are cut into profiles of ``width`` readings."""
-    b, n = e.shape
-    m = -(-n // width)
-    mid = np.nanmedian(np.where(np.isnan(e).all(1)[:, None], 0.0, e), axis=1)
-    x = np.zeros((b, m * width))
-    x[:, :n] = np.where(np.isnan(e), 0.0, e - mid[:, None])
-    low, sparse = robust_pca(x.reshape(b, m, width) / scale[:, None, None])
-    low, sparse = low.reshape(b, -1)[:, :n], sparse.reshape(b, -1)[:, :n]
-    return (np.abs(sparse) > 0) & (np.abs(x[:, :n] / scale[:, None] - low) > threshold)
+def _held(e: np.ndarray) -> np.ndarray:
+    """Rows of e, NaN only at their ends, with the last value held on; 0 where there is none."""
+    size = (~np.isnan(e)).sum(1)
+    at = np.minimum(np.arange(e.shape[1])[None, :], np.maximum(size - 1, 0)[:, None])
+    return np.nan_to_num(np.take_along_axis(e, at, 1))
 
 
-def _brief(e: np.ndarray, scale: np.ndarray, threshold: float) -> np.ndarray:
-    """One or two readings further than threshold from those on both sides, which agree."""
-    b, n = e.shape
+def _off_level(z: np.ndarray, half: int) -> np.ndarray:
+    """The sparse part of each reading of the rows of z (NaN only at their ends): how far it is from its row's low-rank normal behaviour.
+
+    The profile of a reading is itself with the ``half`` readings before and
+    after; a row's profiles are one matrix, whose low-rank part follows levels
+    and slopes. Where a new level begins, the lesser part of a profile is the
+    sparse one, never its middle; a reading that leaves its level briefly is
+    sparse in the middle of its own profile.
+
+    The weight: a lone reading that is x off stands on a diagonal of 2 half + 1
+    profiles, and weighs that many times x in the low-rank part. In the sparse
+    part it weighs 1.5 times x with a weight of 1.5 to that number; usual
+    movement, of which each profile has its share, weighs less in the low-rank one.
+    """
+    x = _held(z)
+    x = np.pad(x - np.median(x, axis=1)[:, None], ((0, 0), (half, half)), mode="edge")
+    profiles = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(x, 2 * half + 1, axis=1))
+    return robust_pca(profiles, 1.5 / (2 * half + 1))[1][:, :, half]
+
+
+def _off_witness(x: np.ndarray, shown: np.ndarray) -> np.ndarray:
+    """How far each change x is off, by the sparse part of a matrix of a row's days with what was read and what the witness shows: of rank one where both are sound.
+
+    Great changes that both have may stand in the sparse part on both sides; what
+    counts is what only the reading has. What no witness shows is taken as shown.
+    """
+    d = np.stack([np.nan_to_num(x), np.nan_to_num(np.where(np.isnan(shown), x, shown))], axis=2)
+    sparse = robust_pca(d)[1]
+    own = np.abs(sparse[:, :, 0])
+    return np.minimum(own, np.abs(sparse[:, :, 0] - sparse[:, :, 1]))
+
+
+def _returns(z: np.ndarray, off: np.ndarray, threshold: float) -> np.ndarray:
+    """Of readings whose sparse part ``off`` is beyond threshold, one or two in a row that leave a level and are followed by it.
+
+    The readings before and after are nearer to each other than 0.6 of the way
+    to those between, and this way is at least half of what these are off by
+    (else the readings before and after are off themselves).
+    """
+    b, n = z.shape
     out = np.zeros((b, n), dtype=bool)
-    z = e / scale[:, None]
+    off = np.abs(off)
     for r in (1, 2):
         if n < r + 2:
             continue
         a, c = z[:, : n - r - 1], z[:, r + 1 :]
-        far = np.full(a.shape, np.inf)
+        far, least, most = np.full(a.shape, np.inf), np.full(a.shape, np.inf), np.zeros(a.shape)
         for j in range(r):
-            x = z[:, 1 + j : n - r + j]
+            x, s = z[:, 1 + j : n - r + j], off[:, 1 + j : n - r + j]
             far = np.minimum(far, np.minimum(np.abs(x - a), np.abs(x - c)))
+            least, most = np.minimum(least, s), np.maximum(most, s)
         with np.errstate(invalid="ignore"):
-            hit = (far > threshold) & (np.abs(a - c) < np.maximum(threshold / 2, 0.6 * far))
+            hit = (least > threshold) & (np.abs(a - c) < 0.6 * far) & (far > 0.5 * most)
         for j in range(r):
             out[:, 1 + j : n - r + j] |= hit
     return out
 
 
-def _flags(kind: str, v: pd.Series, market: pd.Series, group: pd.Series, witness: pd.Series | None, threshold: float, run: int, width: int) -> list[np.ndarray]:
+def _flags(kind: str, v: pd.Series, market: pd.Series, group: pd.Series, witness: pd.Series | None, threshold: float, run: int, half: int) -> list[np.ndarray]:
     n = max(map(len, v))
     raw, mk = _stack(v, n), _stack(market, n, 0.0)
     size = np.array([len(x) for x in v])
@@ -122,7 +155,8 @@ def _flags(kind: str, v: pd.Series, market: pd.Series, group: pd.Series, witness
         if kind == "level":
             scale = np.maximum(_scale(np.diff(e, axis=1)), _scale(np.diff(x, axis=1))) if n > 1 else np.zeros(len(x))
             scale = np.maximum(scale, 1e-5)
-            hit = _brief(e, scale, threshold) & _outside(e, scale, width, threshold / 2)
+            z = e / scale[:, None]
+            hit = _returns(z, _off_level(z, half), threshold)
         else:
             scale = np.maximum(_scale(x), 1e-5)
             w = np.take_along_axis(_stack(witness, n), order, 1)
@@ -130,9 +164,8 @@ def _flags(kind: str, v: pd.Series, market: pd.Series, group: pd.Series, witness
             # the witness's last value of an earlier date
             first = np.maximum.accumulate(np.where(np.diff(g, axis=1, prepend=-9) != 0, np.arange(n)[None, :], 0), axis=1)
             before = np.where(first > 0, np.take_along_axis(w, np.maximum(first - 1, 0), 1), np.nan)
-            shown = w / before - 1
-            unseen = np.abs(x - shown) > threshold * scale[:, None]  # not so where there is nothing to show it
-            hit = (np.abs(x) > threshold * scale[:, None]) & (np.abs(e) > threshold * scale[:, None]) & unseen & _outside(e, scale, width, threshold / 2)
+            off = _off_witness(x / scale[:, None], (w / before - 1) / scale[:, None]) > threshold
+            hit = off & (np.abs(e) > threshold * scale[:, None])
     back = np.zeros_like(hit)
     np.put_along_axis(back, order, hit, 1)
     flags[back] |= SPIKE
@@ -153,27 +186,30 @@ def implausible(
     source: str,
     date: str,
     row_id: str,
-    threshold: float = 6.0,
+    threshold: float = 4.0,
     run: int = 5,
     block: int = 256,
-    width: int = 8,
-    least_sources: int = 5,
+    half: int = 4,
 ) -> DataFrame:
     """One row for each faulty reading: row_id, field, out_of_range, spike, stuck.
 
-    The readings of a source, in order of date and row_id, are cut into
-    profiles of ``width``; robust principal components split the matrix of
-    profiles into a low-rank part, the normal behaviour, and a sparse one.
-    Readings in the sparse part, further from the low-rank part than half of
-    ``threshold`` usual movements (1.4826 medians of absolute change), are
-    looked at closely. A level is a spike if one or two readings lie beyond
-    threshold from those on either side and these agree; a return if it is
-    beyond threshold and the witness's change since an earlier date isn't
-    within threshold of it (without an earlier date it can't be judged).
-    What all sources share, the median move of a day with at least
-    ``least_sources``, is taken off first. Range (levels at or below zero,
-    returns at or below -1, infinities) and runs of more than ``run`` equal
-    readings (every one but the first) are tested apart.
+    Robust principal components split the matrix of a source's daily profiles
+    into a low-rank part, the normal behaviour, and a sparse one; what lies in
+    the sparse part by more than ``threshold`` usual movements of its source
+    (1.4826 medians of absolute change) is off. The profile of a day's level is
+    its log with those of the ``half`` readings before and after; of a return,
+    itself and what ``witness``, a sound level, shows since an earlier date
+    (without an earlier date it can't be judged). An exact check follows: a
+    level is a spike if one or two readings are off and the levels before and
+    after are nearer to each other than 0.6 of the way to them, which is half of
+    what they are off by or more; a return if it
+    is beyond threshold of what all sources share.
+
+    What all sources share, the median move of a day, is taken off first; two
+    moves of 0 are counted with those of a day, so that the move of a source by
+    itself isn't taken for everyone's. Range (levels at or below zero, returns
+    at or below -1, infinities) and runs of more than ``run`` equal readings
+    (every one but the first) are tested apart.
 
     Scale: a source's readings are numbered (counts per source and day, summed
     along the days, plus the number within the day) and cut into blocks of
@@ -185,7 +221,7 @@ def implausible(
     over when neighbours are compared. Rows without source or date are not
     judged, but for range. Repeated rows are judged each. No rows, no faults.
     """
-    halo = max(run + 2, 8)
+    halo = max(run + 2, 2 * half)
     names = [f"v{i}" for i in range(len(measures))]
     base = df.select(
         F.col(source).alias("k"), F.col(date).cast("date").alias("d"), F.col(row_id).alias("id"),
@@ -202,7 +238,8 @@ def implausible(
         "k", "d", (F.sum("n").over(w) - F.col("n")).alias("before"), F.sum("n").over(whole).alias("total"),
         *[(F.log(n) - F.log(F.lag(n).over(w)) if m.kind == "level" else F.col(n)).alias(n) for m, n in zip(measures, names)],
     )
-    shared = daily.groupBy("d").agg(*[F.when(F.count(n) >= least_sources, F.percentile_approx(n, 0.5)).alias(n) for n in names])
+    still = daily.select("d").distinct().select("d", F.explode(F.array(F.lit(0.0), F.lit(0.0))).alias("zero")).select("d", *[F.col("zero").alias(n) for n in names])
+    shared = daily.select("d", *names).unionByName(still).groupBy("d").agg(*[F.percentile_approx(n, 0.5).alias(n) for n in names])
     days = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0)  # a row a calendar day
     shared = shared.select("d", *[(F.sum(F.coalesce(n, F.lit(0.0))).over(days) if m.kind == "level" else F.coalesce(n, F.lit(0.0))).alias(f"m{n}") for m, n in zip(measures, names)])
     at = placed.join(daily.select("k", "d", "before", "total"), on=["k", "d"]).join(F.broadcast(shared), on="d")
@@ -217,7 +254,7 @@ def implausible(
             out: list[np.ndarray] = []
             for i in range(0, len(v), 128):  # so many blocks at a time
                 part = slice(i, i + 128)
-                out += _flags(m.kind, v.iloc[part], market.iloc[part], group.iloc[part], witness.iloc[part], threshold, run, width)
+                out += _flags(m.kind, v.iloc[part], market.iloc[part], group.iloc[part], witness.iloc[part], threshold, run, half)
             return pd.Series(out)
 
         arr = lambda c: F.transform("x", lambda r: F.coalesce(r[c], F.lit(float("nan"))))
