@@ -39,9 +39,10 @@ def hot_deck(
     of ``block_days``) only; the last and first donor of every block, one row
     each, are carried over the blocks and joined back by the same keys. Groups
     with more than ``rows_per_block`` rows in a block get blocks of fewer days,
-    one at least; the list of these groups, which has at most a row for every
-    rows_per_block of the table, is broadcast. Donors of the further levels are
-    first reduced to one record a day.
+    one at least; the list of these groups has at most a row for every
+    rows_per_block of the table, and is broadcast where the table's count makes
+    that a million rows at most. Donors of the further levels are first reduced
+    to one record a day, and only rows that still lack something meet them.
 
     Nulls: a NULL group is a group of its own; a record without a date can be
     no donor and is filled only from records of its own group without a date.
@@ -57,7 +58,9 @@ def hot_deck(
     fair = F.floor(F.greatest(F.coalesce("span", F.lit(1)), F.lit(block_days)) * rows_per_block / F.col("n"))
     big = groups.where(fair < block_days).select(f"{P}big", F.greatest(fair, F.lit(1)).alias(f"{P}len"))
     columns = df.columns
-    df = df.join(F.broadcast(big), on=F.col(within).eqNullSafe(F.col(f"{P}big")), how="left")
+    if df.count() / rows_per_block <= 1_000_000:  # each of the list's groups has more than rows_per_block rows
+        big = F.broadcast(big)
+    df = df.join(big, on=F.col(within).eqNullSafe(F.col(f"{P}big")), how="left")
     block = F.floor(day / F.coalesce(F.col(f"{P}len"), F.lit(block_days)))
     names = {f: f"{P}{i}_" for i, f in enumerate(rules)}
     base = df.select(*columns, day.alias(f"{P}day"), block.alias(f"{P}block"))
@@ -105,8 +108,13 @@ def hot_deck(
     for n in names.values():
         picked = picked.withColumn(f"{n}x", nearest(F.coalesce(F.col(f"{n}p"), F.col(f"{n}cp")), F.coalesce(F.col(f"{n}q"), F.col(f"{n}cq"))))
         picked = picked.withColumn(f"{n}lv", F.when(F.col(f"{n}x").isNotNull(), F.lit(within)))
-    for level in levels:
-        picked = _from_level(picked, base, level, list(names.values()), row_id)
+    if levels:
+        # only the few rows that lack something go on
+        lacking = reduce(or_, [F.col(f"{n}x").isNull() for n in names.values()])
+        rest = picked.where(lacking)
+        for level in levels:
+            rest = _from_level(rest, base, level, list(names.values()), row_id)
+        picked = picked.where(~lacking).unionByName(rest)
     cols = [F.col(x) for x in columns]
     for f, n in names.items():
         x, miss = F.col(f"{n}x"), F.col(n).isNull()
