@@ -8,7 +8,7 @@ import pytest
 from tidemark.functions.missing import Reading
 from tidemark.operators.hot_deck import hot_deck, marked_cells
 from tidemark.operators.known_at import Tree, known_at
-from tidemark.operators.profile import Check, column_states, merge_states, out_of_control, state_metrics
+from tidemark.operators.profile import Check, add_loads, column_states, merge_states, out_of_control, state_metrics
 from tidemark.operators.regrid import calendar_cells, regrid
 from tidemark.operators import spikes
 from tidemark.operators.spikes import Measure, implausible, robust_pca
@@ -155,6 +155,28 @@ def test_broken_loads_are_out_of_control(spark):
     assert got == {(3, "v"), (5, "v"), (7, "v"), (9, "v"), (11, "v"), (13, "q")}
 
 
+def test_kept_states_of_deliveries(spark, tmp_path):
+    r = random.Random(13)
+    rows = [(load, -1.0 if load == 12 else r.gauss(0.5, 0.1), "x" if load == 15 and r.random() < 0.1 else "FY2024Q1") for load in range(20) for _ in range(200)]
+    df = spark.createDataFrame(rows, "load int, v double, q string")
+    checks, at = {"q": Check(pattern=r"^FY")}, str(tmp_path / "states")
+    assert add_loads(df.where("load < 9"), "load", at, None, checks).count() == 18
+    # loads that are kept aren't read again: what has become of them since doesn't count
+    kept = add_loads(df.withColumn("v", df["v"] + (df["load"] < 9).cast("int") * 100), "load", at, None, checks)
+    assert kept.count() == 40 and kept.where("field = 'v' and part < 9").agg({"high": "max"}).first()[0] < 5
+    got = {(x["part"], x["field"]) for x in out_of_control(state_metrics(kept), memory=10).collect()}
+    assert got == {(12, "v"), (15, "q")}
+    once = {(x["part"], x["field"]): x for x in state_metrics(column_states(df, "load", None, checks)).collect()}
+    for x in state_metrics(kept).collect():
+        assert x["mean"] == once[x["part"], x["field"]]["mean"] and x["n_distinct"] == once[x["part"], x["field"]]["n_distinct"]
+
+
+def test_few_violations_where_there_are_none(spark):
+    rows = [(load, "x" if load == 4 and i < 30 or load == 5 and i < 10 else "FY2024Q1") for load in range(10) for i in range(1000)]
+    s = column_states(spark.createDataFrame(rows, "part int, q string"), "part", None, {"q": Check(pattern=r"^FY")})
+    assert {x["part"] for x in out_of_control(state_metrics(s)).where("metric = 'off_pattern_rate'").collect()} == {4}  # three in a hundred, not one
+
+
 def test_texts_are_watched_by_value(spark, tmp_path):
     from tidemark.plans.quality_queries import p3_alarms, p3_found
 

@@ -112,6 +112,24 @@ def column_states(df: DataFrame, part: str, columns: Sequence[str] | None = None
     return wide.select("part", F.explode(F.array(*cells)).alias("s")).select("part", "s.*")
 
 
+def add_loads(df: DataFrame, part: str, path: str, columns: Sequence[str] | None = None, checks: Mapping[str, Check] | None = None) -> DataFrame:
+    """The states kept at ``path``, after those of the loads of ``df`` that it doesn't hold yet were added.
+
+    Only new loads are profiled: their rows alone go through ``column_states``,
+    and their states are appended, one directory a load. ``path`` must lie where all
+    executors can write. A load that is kept stays as it was kept; loads by
+    whose value nothing is known (NULL) are kept under Spark's name for it.
+    """
+    spark = df.sparkSession
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    some = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs)
+    held = spark.read.parquet(path).select(F.col("part").alias("__held")).distinct() if some else None
+    new = df if held is None else df.join(F.broadcast(held), on=F.col(part).eqNullSafe(F.col("__held").cast(df.schema[part].dataType)), how="left_anti")  # a row a load
+    column_states(new, part, columns, checks).write.mode("append").partitionBy("part").parquet(path)
+    kept = spark.read.parquet(path)
+    return kept.select(F.col("part").cast(df.schema[part].dataType).alias("part"), *[c for c in kept.columns if c != "part"])
+
+
 def merge_states(states: DataFrame, *by: str) -> DataFrame:
     """States of the same ``by`` (field among them) made one, as if their rows had been profiled together."""
     sums = ("n", "nulls", "nans", "stand_ins", "off_pattern", "off_domain", "off_range", "used", "measured")
@@ -187,6 +205,10 @@ def state_metrics(states: DataFrame, pooled: DataFrame | None = None) -> DataFra
     return x.drop("__f", "__q", "q", "__s", "__near", "shares")
 
 
+#: Rates of what a sound load has none of: where the others have (nearly) none, a load's
+#: limit is what chance makes of so few, between these shares.
+VIOLATIONS, LEAST_RATE = ("nans_rate", "stand_ins_rate", "off_pattern_rate", "off_domain_rate", "off_range_rate"), 0.02
+
 #: Metric, how it is compared, and the change that matters in practice whatever
 #: the history's spread: "rate" by difference, "log" by difference of logs,
 #: "shift" in units of the usual standard deviation
@@ -199,11 +221,15 @@ LIMITS = (
 )
 
 
-def out_of_control(metrics: DataFrame, *, by: Sequence[str] = ("field",), width: float = 5.0, least_history: int = 5, least_rows: int = 1) -> DataFrame:
+def out_of_control(
+    metrics: DataFrame, *, by: Sequence[str] = ("field",), width: float = 5.0, least_history: int = 5, least_rows: int = 1, memory: int | None = None
+) -> DataFrame:
     """One row for each metric of a state that is out of line with the same column's other states: part, by, metric, value, centre, limit.
 
     Centre and spread are median and 1.4826 median absolute deviations over all
-    states of the column, which a minority of broken loads can't move. Out of
+    states of the column, which a minority of broken loads can't move; with
+    ``memory`` over the so many states before each, by ``part``, as when loads
+    are judged on arrival (the distances, which look both ways, are left out). Out of
     line is what lies further from the centre than ``width`` spreads and than
     the metric's own least change in LIMITS. Columns with fewer than
     ``least_history`` states are not judged. Metrics that are NULL aren't.
@@ -222,20 +248,37 @@ def out_of_control(metrics: DataFrame, *, by: Sequence[str] = ("field",), width:
     is_log = F.col("metric").isin([m for m in names if how[m][0] == "log"])
     is_shift = F.col("metric").isin([m for m in names if how[m][0] == "shift"])
     w = Window.partitionBy(*keys, "metric")
+    if memory is not None:
+        long = long.where(~F.col("metric").endswith("distance"))
+        w = w.orderBy("part").rowsBetween(-memory, -1)
+
+    def mid(c: Column, about: Column | None = None) -> Column:
+        """Median over the history of c, or of its distances from ``about``."""
+        if memory is None:
+            return F.median(c if about is None else F.abs(c - about)).over(w)
+        values = F.collect_list(c).over(w)
+        values = F.array_sort(values if about is None else F.transform(values, lambda v: F.abs(v - about)))
+        n = F.size(values)
+        return (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2
+
     # a column that hardly varies is measured against its size
-    unit = F.greatest(F.coalesce(F.median("sd").over(w), F.lit(0.0)), 0.05 * F.abs(F.coalesce(F.median("__mean").over(w), F.lit(0.0))), F.lit(1e-12))
+    unit = F.greatest(F.coalesce(mid(F.col("sd")), F.lit(0.0)), 0.05 * F.abs(F.coalesce(mid(F.col("__mean")), F.lit(0.0))), F.lit(1e-12))
     # the median of a column of few values may lie on either of two of them
-    unit = F.when(F.col("metric") == "q50", F.greatest(unit, 0.85 * F.coalesce(F.median("__iqr").over(w), F.lit(0.0)))).otherwise(unit)
+    unit = F.when(F.col("metric") == "q50", F.greatest(unit, 0.85 * F.coalesce(mid(F.col("__iqr")), F.lit(0.0)))).otherwise(unit)
     long = long.withColumn("unit", unit).withColumn("history", F.count("*").over(w))
     floor = F.when(F.col("metric") == "sd", 0.1 * F.col("unit")).otherwise(F.lit(1e-12))
     long = long.withColumn("x", F.when(is_log, F.log(F.greatest(F.col("value"), floor))).otherwise(F.col("value")))
-    long = long.withColumn("centre", F.median("x").over(w))
-    long = long.withColumn("spread", 1.4826 * F.median(F.abs(F.col("x") - F.col("centre"))).over(w))
+    long = long.withColumn("centre", mid(F.col("x")))
+    long = long.withColumn("spread", 1.4826 * mid(F.col("x"), F.col("centre")))
     least = F.coalesce(*[F.when(F.col("metric") == m, F.lit(how[m][1])) for m in names])
+    # violations: what chance alone makes of the usual rate in a load of this size, one more and one less taken as seen
+    usual = (F.col("centre") * F.col("n") + 1) / (F.col("n") + 2)
+    chance = F.greatest(F.lit(LEAST_RATE), width * F.sqrt(usual * (1 - usual) / F.greatest(F.col("n"), F.lit(1))))
+    least = F.when(F.col("metric").isin(*VIOLATIONS), F.least(least, chance)).otherwise(least)
     limit = F.greatest(width * F.col("spread"), F.when(is_shift, least * F.col("unit")).otherwise(least))
     off = F.col("x") - F.col("centre")
     per_value = F.col("x") - F.log(F.greatest(F.col("used"), F.lit(1)).cast("double"))
-    long = long.withColumn("__per", per_value).withColumn("__per", F.col("__per") - F.median("__per").over(w))
+    long = long.withColumn("__per", per_value).withColumn("__per", F.col("__per") - mid(F.col("__per")))
     # the lesser of the two changes, none if they go different ways
     lesser = F.when(off * F.col("__per") > 0, F.least(F.abs(off), F.abs(F.col("__per")))).otherwise(0.0)
     # a load that is nearer to the others than usual isn't out of line

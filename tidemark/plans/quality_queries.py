@@ -13,12 +13,12 @@ from tidemark.functions.missing import Reading, usable
 from tidemark.functions.scalar import fiscal_quarter, quarter_label
 from tidemark.operators.hot_deck import hot_deck, marked_cells
 from tidemark.operators.known_at import known_at
-from tidemark.operators.profile import Check, column_states, merge_states, out_of_control, state_metrics
+from tidemark.operators.profile import Check, add_loads, column_states, merge_states, out_of_control, state_metrics
 from tidemark.operators.regrid import calendar_cells, regrid
 from tidemark.operators.spikes import Measure, implausible
 from tidemark.operators.trailing import clean_key, latest_per, trailing, windows_of_rows
 from tidemark.plans.base import BARS, bars
-from tidemark.session import table
+from tidemark.session import shared_folder, table
 
 MATRIX = "model_features_daily"
 
@@ -177,7 +177,7 @@ def _loads(spark: SparkSession, d: str, columns: list[str] | None = None) -> Dat
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    x = _loads(spark, d, ["framing_gap_ffill", "td_return_5d_fwd", "is_news_burst", "fiscal_quarter"])
+    x = _loads(spark, d, list(_P3_FIELDS))
     return out_of_control(x).select(F.col("part").cast("long").alias("load_id"), "field").distinct()
 
 
@@ -221,6 +221,28 @@ def p3_table_alarms(spark: SparkSession, d: str) -> DataFrame:
     return out_of_control(_profiles(spark, d), by=("table_name", "field"), least_rows=30).withColumnRenamed("part", "load")
 
 
+def p3_watch(spark: SparkSession, d: str) -> DataFrame:
+    """Every column of the matrix, each load judged by the up to 100 before it, from states kept load by load.
+
+    The states are written in the shared folder in two deliveries, of which the
+    second profiles only the loads that the first hadn't.
+    """
+    m, at = table(spark, d, MATRIX), shared_folder(spark, "states")
+    half = m.where(F.col("load_id") <= m.agg(F.floor((F.min("load_id") + F.max("load_id")) / 2)).first()[0])
+    add_loads(half, "load_id", at, None, _checks(F.col("date")))
+    kept = add_loads(m, "load_id", at, None, _checks(F.col("date")))
+    return out_of_control(state_metrics(kept), memory=100).withColumnRenamed("part", "load_id")
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The exact part of p3_found, for comparison with SQL: rates of loads that are out of line."""
+    x = column_states(table(spark, d, MATRIX), "load_id", list(_P3_FIELDS), CHECKS)
+    got = out_of_control(state_metrics(x)).where(F.col("metric").endswith("_rate"))
+    return got.select(F.col("part").cast("long").alias("load_id"), "field", "metric", F.round("value", 9).alias("value"), F.round("centre", 9).alias("centre"))
+
+
+_P3_FIELDS = ("framing_gap_ffill", "td_return_5d_fwd", "is_news_burst", "fiscal_quarter")
+
 PROFILE = (
     "field", "n", "nulls", "nans", "stand_ins", "off_pattern", "off_domain", "off_range", "used", "low", "high", "mean", "sd", "n_distinct", "q25", "q50", "q75", "mode_share",
     "top_share", "distance", "mix_distance", "step_distance",
@@ -251,6 +273,14 @@ P3_COUNTS_SQL = " UNION ALL ".join([
 ])
 
 
+P3_RATES_SQL = f"""WITH s AS ({P3_COUNTS_SQL}),
+x AS (SELECT load_id, field, n, metric || '_rate' AS metric, c / CAST(n AS DOUBLE) AS value FROM s UNPIVOT (c FOR metric IN (nulls, nans, stand_ins, off_pattern, off_domain, off_range))),
+c AS (SELECT *, median(value) OVER w AS centre, count(*) OVER w AS history FROM x WINDOW w AS (PARTITION BY field, metric)),
+m AS (SELECT *, 1.4826 * median(abs(value - centre)) OVER (PARTITION BY field, metric) AS spread, (centre * n + 1) / (n + 2) AS usual FROM c)
+SELECT load_id, field, metric, round(value, 9) AS value, round(centre, 9) AS centre FROM m
+WHERE history >= 5 AND abs(value - centre) > greatest(5 * spread, CASE WHEN metric = 'nulls_rate' THEN 0.05 ELSE least(0.05, greatest(0.02, 5 * sqrt(usual * (1 - usual) / n))) END)"""
+
+
 # p4 -----------------------------------------------------------------------------------------------------------
 def p4_faults(spark: SparkSession, d: str) -> DataFrame:
     """Faulty readings, each with what is wrong about it."""
@@ -416,6 +446,8 @@ QUERIES = {
     "p3_alarms": p3_alarms,
     "p3_profile": p3_profile,
     "p3_table_alarms": p3_table_alarms,
+    "p3_watch": p3_watch,
+    "p3_rates": p3_rates,
     "p3_counts": p3_counts,
     "p4_found": p4_found,
     "p4_faults": p4_faults,
@@ -432,6 +464,7 @@ ORACLE = {
     "p2_found": P2_SQL,
     "p2_windows": P2_WINDOWS_SQL,
     "p3_counts": P3_COUNTS_SQL,
+    "p3_rates": P3_RATES_SQL,
     "p5_found": P5_SQL,
     "p5_grid": P5_GRID_SQL,
     "p5_turnover": P5_TURNOVER_SQL,

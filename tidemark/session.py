@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,18 +27,29 @@ def session(app: str = "tidemark", master: str | None = None, **conf: str) -> Sp
     return b.getOrCreate()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own, not yet made, in the session's ``spark.checkpoint.dir``.
+
+    Only where that is unset (tests, a single machine) a temporary folder stands in for it.
+    """
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder all executors share")
+        root = tempfile.mkdtemp(prefix="tidemark-")
+    return f"{root.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and read back from the shared checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is
-    unset (tests, a single machine) a temporary folder stands in for it.
+    The folder is the session's ``spark.checkpoint.dir``; where only the
+    setting is there, the session is told to use it.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        set_to = sc.getConf().get("spark.checkpoint.dir")
-        if not set_to and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is unset: name a folder all executors share")
-        sc.setCheckpointDir(set_to or tempfile.mkdtemp(prefix="tidemark-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession, "cuts"))
     return df.checkpoint(eager=True)
 
 
