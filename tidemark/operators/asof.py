@@ -27,27 +27,34 @@ def exact_then_fill(spine: DataFrame, facts: DataFrame, *, entity: Sequence[str]
 def asof(spine: DataFrame, facts: DataFrame, *, entity: Sequence[str], date: str, fact_date: str, columns: Sequence[str], distance: str | None = None) -> DataFrame:
     """``spine`` with, column by column, the last value that isn't NULL of the facts dated on or before each row; ``distance``: days since the last fact.
 
-    One union and one sort per entity, no join: each spine row passes once. A
-    fact on the row's own date is seen. Of facts on one date the one that is
+    A fact on the row's own date is seen. Of facts on one date the one that is
     greatest by ``columns`` counts. Rows without entity see facts without one;
     rows without date see none. Columns the spine has already are replaced.
+
+    Scale: values are carried on among the facts alone; then facts and rows are
+    reduced to one per entity and day, so that the one sort of both holds no
+    more than the calendar has days, however many rows the entity has, and
+    moves one struct. Rows meet their day's values by entity and day.
     """
     out = [c for c in spine.columns if c not in columns and c != distance]
-    keys = [F.col(c).alias(f"{P}k{i}") for i, c in enumerate(entity)]
-    f = facts.where(F.col(fact_date).isNotNull()).select(*keys, F.unix_date(F.col(fact_date).cast("date")).alias(f"{P}d"), F.lit(0).alias(f"{P}o"), *[F.col(c).alias(f"{P}{i}") for i, c in enumerate(columns)])
-    s = spine.select(*keys, F.unix_date(F.col(date).cast("date")).alias(f"{P}d"), F.lit(1).alias(f"{P}o"), F.struct(*out).alias(f"{P}row"))
-    line = f.unionByName(s, allowMissingColumns=True)
     n = [f"{P}{i}" for i in range(len(columns))]
-    w = Window.partitionBy(*[f"{P}k{i}" for i in range(len(entity))]).orderBy(f"{P}d", f"{P}o", *n).rowsBetween(Window.unboundedPreceding, 0)
-    seen = [F.last(c, ignorenulls=True).over(w).alias(c) for c in n]
-    if distance:
-        seen.append(F.last(F.when(F.col(f"{P}o") == 0, F.col(f"{P}d")), ignorenulls=True).over(w).alias(f"{P}at"))
-    x = line.select(f"{P}row", f"{P}d", f"{P}o", *seen).where(F.col(f"{P}o") == 1)
-    dated = F.col(f"{P}d").isNotNull()
-    cols = [F.when(dated, F.col(a)).alias(c) for a, c in zip(n, columns)]
+    ks = [f"{P}k{i}" for i in range(len(entity))]
+    keys = [F.col(c).alias(k) for c, k in zip(entity, ks)]
+    day = lambda c: F.unix_date(F.col(c).cast("date")).alias(f"{P}d")
+    f = facts.where(F.col(fact_date).isNotNull()).select(*keys, day(fact_date), *[F.col(c).alias(a) for c, a in zip(columns, n)])
+    order = Window.partitionBy(*ks).orderBy(f"{P}d", *n)
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    f = f.select(*ks, f"{P}d", *[F.last(c, ignorenulls=True).over(so_far).alias(c) for c in n], F.lead(f"{P}d").over(order).alias(f"{P}next"))
+    f = f.where(~F.col(f"{P}d").eqNullSafe(F.col(f"{P}next"))).select(*ks, f"{P}d", F.lit(0).alias(f"{P}o"), F.struct(F.col(f"{P}d").alias("at"), *n).alias(f"{P}v"))
+    s = spine.select(*keys, day(date)).where(F.col(f"{P}d").isNotNull()).distinct().withColumn(f"{P}o", F.lit(1))
+    line = f.unionByName(s, allowMissingColumns=True)
+    w = Window.partitionBy(*ks).orderBy(f"{P}d", f"{P}o").rowsBetween(Window.unboundedPreceding, 0)
+    x = line.select(*ks, f"{P}d", f"{P}o", F.last(f"{P}v", ignorenulls=True).over(w).alias(f"{P}v")).where(F.col(f"{P}o") == 1)
+    on = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(entity, ks)] + [F.unix_date(F.col(date).cast("date")) == F.col(f"{P}d")]
+    cols = [F.col(f"{P}v.{a}").alias(c) for a, c in zip(n, columns)]
     if distance:
-        cols.append(F.when(dated, F.col(f"{P}d") - F.col(f"{P}at")).alias(distance))
-    return x.select(*[F.col(f"{P}row.{c}").alias(c) for c in out], *cols)
+        cols.append((F.col(f"{P}d") - F.col(f"{P}v.at")).alias(distance))
+    return spine.select(*out).join(x, on=on, how="left").select(*[F.col(c) for c in out], *cols)
 
 
 def with_intervals(starts: DataFrame, *, entity: Sequence[str], start: str, end: str = "end_date") -> DataFrame:

@@ -28,31 +28,45 @@ def project_daily(spine: DataFrame, quarters: DataFrame, *, entity: Sequence[str
     return x.withColumn("is_earnings_week", F.coalesce((F.col("days_since_call") <= 5).cast("int"), F.lit(0)))
 
 
+#: The signals of ``event_signals``, in its order.
+EVENTS = (
+    "evt_ceo_tone", "evt_cfo_tone", "evt_framing_gap", "evt_aml_pressure", "evt_aml_shift", "evt_guidance_strength", "evt_guidance_shift", "evt_macro_topic", "evt_topic_entropy", "evt_news_tone", "evt_news_flow",
+    "evt_broad_topic_signal", "evt_broad_topic_shift", "evt_cfo_lead", "evt_ceo_surprise", "evt_analyst_qa_tone", "evt_exec_scripted_gap", "evt_source_dispersion", "evt_transcript_reliability",
+    "evt_exec_tone", "evt_guidance_topic", "evt_guidance_sentiment", "evt_aml_topic", "evt_aml_sentiment",
+)
+
+
 def event_signals(
     df: DataFrame,
     *,
-    ceo: str,
-    cfo: str,
-    gap: str,
     pressure: tuple[str, str],
     guidance: tuple[str, str],
     outlook: tuple[str, str],
     broad: Sequence[tuple[str, str]],
-    entropy: str,
-    news_mean: str,
-    news_count: str,
+    ceo: str = "transcript_ceo_prep_sentiment_mean",
+    cfo: str = "transcript_cfo_prep_sentiment_mean",
+    answers: str = "transcript_exec_qa_sentiment_mean",
+    questions: str = "transcript_analyst_qa_sentiment_mean",
+    spread: str = "transcript_sentiment_std",
+    news: str = "news_sentiment_mean",
+    report: str = "report_sentiment_mean",
+    gap: str = "framing_gap",
+    entropy: str = "topic_entropy",
+    news_mean: str = "news_sent_mean_30d",
+    news_count: str = "news_count_30d",
     days_since_call: str = "days_since_call",
     days_since_news: str = "days_since_last_news",
     call_scale: float = 20.0,
     news_scale: float = 15.0,
 ) -> DataFrame:
-    """``df`` with 13 signals that fade from the last call, or the last news, on.
+    """``df`` with EVENTS, signals that fade from the last call, or the last news, on, and exec_tone_ffill.
 
-    Names are of quarterly columns without suffix; of each df has _ffill and,
-    for topics (pairs of share and sentiment), _delta. A signal is NULL where a
-    part of it is; broad ones are means over the pairs that have a value.
+    Names are of quarterly columns without suffix; of each df has _ffill, of
+    ceo _surprise too and, for topics (pairs of share and sentiment), _delta. A
+    signal is NULL where a part of it is; broad ones are means over the pairs
+    that have a value, dispersion and executives' tone over the sources that do.
     """
-    call, news = decay(F.col(days_since_call), call_scale), decay(F.col(days_since_news), news_scale)
+    call, recent = decay(F.col(days_since_call), call_scale), decay(F.col(days_since_news), news_scale)
     level, delta = (lambda c: F.col(f"{c}_ffill")), (lambda c: F.col(f"{c}_delta"))
 
     def tilt(p: tuple[str, str]) -> Column:
@@ -61,29 +75,46 @@ def event_signals(
     def shift(p: tuple[str, str]) -> Column:
         return F.abs(delta(p[0])) + F.abs(delta(p[1]))
 
+    executives = row_mean(level(ceo), level(cfo))
+    since_call = {
+        "ceo_tone": level(ceo),
+        "cfo_tone": level(cfo),
+        "framing_gap": level(gap),
+        "aml_pressure": level(pressure[0]) * (1 - level(pressure[1])),
+        "aml_shift": shift(pressure),
+        "guidance_strength": level(guidance[0]) * level(guidance[1]),
+        "guidance_shift": delta(guidance[0]) + delta(guidance[1]),
+        "macro_topic": tilt(outlook),
+        "topic_entropy": level(entropy),
+        "broad_topic_signal": row_mean(*map(tilt, broad)),
+        "broad_topic_shift": row_mean(*map(shift, broad)),
+        "cfo_lead": level(cfo) - level(ceo),
+        "ceo_surprise": F.col(f"{ceo}_surprise"),
+        "analyst_qa_tone": level(questions),
+        "exec_scripted_gap": level(answers) - level(ceo),
+        "source_dispersion": row_std(level(ceo), level(news), level(report)),
+        "transcript_reliability": 1 / (1 + level(spread)),
+        "exec_tone": executives,
+        "guidance_topic": level(guidance[0]),
+        "guidance_sentiment": level(guidance[1]),
+        "aml_topic": level(pressure[0]),
+        "aml_sentiment": level(pressure[1]),
+    }
+    since_news = {"news_tone": F.col(news_mean), "news_flow": F.log1p(F.col(news_count).cast("double"))}
     return df.withColumns({
-        "evt_ceo_tone": level(ceo) * call,
-        "evt_cfo_tone": level(cfo) * call,
-        "evt_framing_gap": level(gap) * call,
-        "evt_aml_pressure": level(pressure[0]) * (1 - level(pressure[1])) * call,
-        "evt_aml_shift": shift(pressure) * call,
-        "evt_guidance_strength": level(guidance[0]) * level(guidance[1]) * call,
-        "evt_guidance_shift": (delta(guidance[0]) + delta(guidance[1])) * call,
-        "evt_macro_topic": tilt(outlook) * call,
-        "evt_topic_entropy": level(entropy) * call,
-        "evt_news_tone": F.col(news_mean) * news,
-        "evt_news_flow": F.log1p(F.col(news_count).cast("double")) * news,
-        "evt_broad_topic_signal": row_mean(*map(tilt, broad)) * call,
-        "evt_broad_topic_shift": row_mean(*map(shift, broad)) * call,
+        **{f"evt_{k}": v * call for k, v in since_call.items()},
+        **{f"evt_{k}": v * recent for k, v in since_news.items()},
+        "exec_tone_ffill": executives,
     })
 
 
-def tone(df: DataFrame, sources: Sequence[str]) -> DataFrame:
-    """``df`` with exec_tone (mean of the first two sources) and source_dispersion (sample deviation over all), of those that have a value."""
-    return df.withColumns({"exec_tone": row_mean(*map(F.col, sources[:2])), "source_dispersion": row_std(*map(F.col, sources))})
-
-
 def flips(df: DataFrame, s: Series, c: str, w: int, name: str = "flips") -> DataFrame:
     """``df`` with the number of sign changes of c over the last w rows, NULL where one is unknown."""
     x = df.withColumn("__turn", (F.signum(F.col(c)) != F.signum(s.lag(c))).cast("int"))
     return x.withColumn(name, s.sum("__turn", w)).drop("__turn")
+
+
+def persistence(df: DataFrame, s: Series, c: str, w: int, name: str = "autocorrelation") -> DataFrame:
+    """``df`` with the correlation of c with its own value a row before, over the last w such pairs; NULL where one is missing or nothing varies."""
+    x = df.withColumn("__before", s.lag(c))
+    return x.withColumn(name, s.corr(c, "__before", w)).drop("__before")

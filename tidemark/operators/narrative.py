@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 TOPICS = ("NIM", "credit_quality", "capital", "US_retail", "Canadian_personal", "wealth_wholesale", "regulatory_AML", "macro_outlook", "cost_efficiency", "guidance", "M_and_A", "other")
 
 
-def conditional_means(notes: DataFrame, by: Sequence[str], score: str, conditions: Mapping[str, Column], topics: str, labels: Sequence[str] = TOPICS, aside: Sequence[str] = ("other",)) -> DataFrame:
+def conditional_means(notes: DataFrame, by: Sequence[str], score: str, conditions: Mapping[str, Column], topics: str, labels: Sequence[str] = TOPICS, aside: Sequence[str] = ("other",), extra: Mapping[str, Column] | None = None) -> DataFrame:
     """One row per ``by``: n, the mean score under each condition, and for each label its share, mean score, and the entropy over labels.
 
     A label's share is its mentions over all rows, to four places (a label
@@ -19,6 +19,8 @@ def conditional_means(notes: DataFrame, by: Sequence[str], score: str, condition
     mentions. Entropy is in bits over the mentions of labels not ``aside``, to
     four places, 0 without any. Means are NULL where nothing qualifies.
 
+    ``extra`` aggregates by name come along.
+
     One aggregation, combined before the shuffle; arrays are not exploded.
     NULL scores count as rows but enter no mean, NULL arrays mention nothing.
     """
@@ -27,10 +29,11 @@ def conditional_means(notes: DataFrame, by: Sequence[str], score: str, condition
     mentions = {t: F.size(held) - F.size(F.array_remove(held, t)) for t in labels}
     aggs = [F.count("*").alias("n")]
     aggs += [F.avg(F.when(c, F.col(score))).alias(k) for k, c in conditions.items()]
+    aggs += [c.alias(k) for k, c in (extra or {}).items()]
     for i, t in enumerate(labels):
         aggs += [F.sum(mentions[t]).alias(f"__c{i}"), F.sum(F.when(has, mentions[t])).alias(f"__k{i}"), F.sum(F.when(has, mentions[t] * F.col(score))).alias(f"__s{i}")]
     x = notes.groupBy(*by).agg(*aggs)
-    cols = [*by, "n", *conditions]
+    cols = [*by, "n", *conditions, *(extra or {})]
     for i, t in enumerate(labels):
         cols += [F.bround(F.col(f"__c{i}") / F.col("n"), 4).alias(f"topic_{t}_share"), F.try_divide(f"__s{i}", f"__k{i}").alias(f"topic_{t}_sentiment")]
     counted = [F.col(f"__c{i}") for i, t in enumerate(labels) if t not in aside]
@@ -60,10 +63,9 @@ def quarterly(notes: DataFrame, by: Sequence[str], last_quarter: str | None = No
     }
     n = notes if last_quarter is None else notes.where(F.col("quarter") <= last_quarter)
     n = n.where(F.col("quarter").isNotNull())
-    x = conditional_means(n, by, "score", conditions, "topics", labels)
     t = F.when(call, F.col("score"))
-    spread = n.groupBy(*by).agg(F.when(F.count(t) > 1, F.stddev_pop(t)).alias("transcript_sentiment_std"))
-    x = x.join(spread, on=list(by)).withColumn("report_sentiment_mean", F.coalesce("report_quarterly_sentiment_mean", "report_40f_sentiment_mean"))
+    spread = {"transcript_sentiment_std": F.when(F.count(t) > 1, F.stddev_pop(t))}
+    x = conditional_means(n, by, "score", conditions, "topics", labels, extra=spread).withColumn("report_sentiment_mean", F.coalesce("report_quarterly_sentiment_mean", "report_40f_sentiment_mean"))
     return x.withColumn("framing_gap", F.col("transcript_ceo_prep_sentiment_mean") - F.col("report_sentiment_mean")).withColumnRenamed("n", "n_chunks_annotated")
 
 

@@ -94,6 +94,16 @@ class Series:
         return F.pmod(self.number() - 1, F.lit(n))
 
 
+def by_entity(df: DataFrame, s: Series) -> DataFrame:
+    """``df`` dealt out by entity to as many tasks as the session shuffles to.
+
+    Many windows over few bytes keep a task busy for long; adaptive execution
+    goes by bytes, and would put small tables into one task. The windows of
+    ``s`` that follow need no other exchange.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *s.entity)
+
+
 def average_rank(c: str, by: Sequence[str] = (), descending: bool = False) -> Column:
     """Rank where equal values share the mean of their ranks. NULLs rank last, alike."""
     key = F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_last()

@@ -84,3 +84,43 @@ def feature_schema(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     x = df.sparkSession.createDataFrame([(c,) for c in names], "feature string").withColumn("family", feature_group(F.col("feature")))
     often = F.when(F.col("family") == "quarterly text", "quarterly").when(F.col("family").isin("event", "news"), "daily, fading or rolling").when(F.col("feature").startswith("cpi"), "monthly").otherwise("daily")
     return x.withColumn("changes", often).withColumn("has_sentinel", F.col("feature").rlike("(_delta|_surprise)$"))
+
+
+#: What each family of features comes from, how often it changes, from when it is known.
+LINEAGE = {
+    "event": ("quarterly text and news, faded", "daily, fading", "end of day"),
+    "quarterly text": ("annotations of calls and reports", "quarterly, carried to days", "from the call on"),
+    "news": ("annotations of news", "daily, rolling", "end of day"),
+    "timing": ("call dates", "daily", "end of day"),
+    "fear": ("macro series", "daily", "end of day"),
+    "currency": ("macro series", "daily", "end of day"),
+    "rates and prices": ("macro series", "daily", "end of day"),
+    "volume and technical": ("prices", "daily", "end of day"),
+    "price": ("prices", "daily", "end of day"),
+    "other": ("daily matrix", "daily", "end of day"),
+}
+
+
+def feature_lineage(spark, features: Sequence[str], fixed: Sequence[str] = (), reduced: Sequence[str] = (), ranking: DataFrame | None = None) -> DataFrame:  # noqa: ANN001
+    """One row per feature: family, source, construction, changes, known, missing, role, in_reduced_set, is_event and, of ``ranking`` (a row per feature), its statistics, NULL where it has none.
+
+    Features are few; the ranking's columns other than feature come out as they are, but for those named like an output, which are dropped.
+    """
+    x = spark.createDataFrame([(c,) for c in features], "feature string")
+    f = F.col("feature")
+    x = x.withColumn("family", feature_group(f))
+    of = lambda i: F.coalesce(*[F.when(F.col("family") == k, v[i]) for k, v in LINEAGE.items()])
+    built = (
+        F.when(f.startswith("evt_"), "a quarterly or rolling signal times its decay").when(f.endswith("_ffill"), "the last quarter's value").when(f.endswith("_delta"), "change from the quarter before")
+        .when(f.endswith("_surprise"), "difference from the mean of the four quarters before").when(f.rlike("_mean_\\d+d$"), "mean over the trailing days").when(f.rlike("_count_\\d+d$"), "count over the trailing days")
+        .when(f.startswith("days_since_"), "calendar days since the last one").when(f.startswith("is_"), "flag").when(f.contains("_vs_"), "difference of returns").when(f.rlike("_return_\\d+d$"), "relative change over rows")
+        .when(f.endswith("_level"), "last reading carried forward").when(f.contains("volatility"), "deviation of daily changes").otherwise("ordered function of the series")
+    )
+    missing = F.when(f.rlike("(_delta|_surprise)$"), "sentinel").when(f.rlike("_(beta|rsqr|resi)_"), "0").otherwise("NULL")
+    x = x.select(
+        "feature", "family", of(0).alias("source"), built.alias("construction"), F.when(f.startswith("cpi"), "monthly, carried to days").otherwise(of(1)).alias("changes"), of(2).alias("known"), missing.alias("missing"),
+        F.when(f.isin(*fixed), "fixed").otherwise("candidate").alias("role"), f.isin(*reduced).alias("in_reduced_set"), f.startswith("evt_").alias("is_event"),
+    )
+    if ranking is None:
+        return x
+    return x.join(ranking.drop(*[c for c in ranking.columns if c in x.columns and c != "feature"]), on="feature", how="left")

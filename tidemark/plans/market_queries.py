@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import band, decay, row_mean, row_std
 from tidemark.operators.asof import around, asof, exact_then_fill, in_interval
-from tidemark.operators.rolling import Series, adjusted, average_rank, latest_row, technical, trend
+from tidemark.operators.rolling import Series, adjusted, average_rank, by_entity, latest_row, technical, trend
 from tidemark.operators.trailing import trailing, windows_of_rows
 from tidemark.plans.base import BARS, MARKET, NOTES, TICKER, annotations, bars, macro, macro_sql, market, with_
 from tidemark.session import table
@@ -33,7 +33,7 @@ def r6(c: str) -> Column:
 
 
 def _tech(spark: SparkSession, d: str) -> DataFrame:
-    return technical(adjusted(bars(spark, d)), TICKER)
+    return technical(by_entity(adjusted(bars(spark, d)), TICKER), TICKER)
 
 
 def _pick(*names: str):  # noqa: ANN202
@@ -75,7 +75,7 @@ def rolling_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ols_trend(spark: SparkSession, d: str) -> DataFrame:
-    x = trend(bars(spark, d), TICKER, "adj_close", (5, 20, 60))
+    x = trend(by_entity(bars(spark, d), TICKER), TICKER, "adj_close", (5, 20, 60))
     return x.select("ticker", "date", *[r6(f"{k}_{w}d") for w in (5, 20, 60) for k in ("beta", "rsqr", "resi")])
 
 

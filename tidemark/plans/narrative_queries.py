@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import content_key, quarter_of
 from tidemark.operators.narrative import agreement, conditional_means, counts_over, extreme_quotes, label_table, quarterly, shares_by_row, stratified
-from tidemark.operators.features import event_signals, project_daily, tone, with_changes
+from tidemark.operators.features import project_daily, with_changes
 from tidemark.operators.rolling import Series
 from tidemark.plans.base import BARS, NOTES, annotations, bars, with_
 from tidemark.plans.market_queries import NEWS_SQL, news_windows
@@ -19,7 +19,7 @@ CUTOFF = "FY2026Q1"
 TOPICS = ("margins", "credit_quality", "capital", "wealth", "insurance", "regulatory_AML", "macro", "expenses", "guidance", "mergers", "technology", "other")
 
 
-def _notes(spark: SparkSession, d: str) -> DataFrame:
+def notes_with_quarter(spark: SparkSession, d: str) -> DataFrame:
     return annotations(spark, d).withColumn("quarter", quarter_of(F.col("quarter"), F.col("hint")))
 
 
@@ -32,7 +32,7 @@ def _six(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def quarterly_nlp(spark: SparkSession, d: str) -> DataFrame:
-    return _six(quarterly(_notes(spark, d), ["issuer", "quarter"], CUTOFF, TOPICS))
+    return _six(quarterly(notes_with_quarter(spark, d), ["issuer", "quarter"], CUTOFF, TOPICS))
 
 
 def _mean(cond: str) -> str:
@@ -72,14 +72,14 @@ QUARTERLY_SQL = with_(QNOTES) + "SELECT issuer, quarter, count(*) AS n_chunks_an
 
 def topic_share(spark: SparkSession, d: str) -> DataFrame:
     """Shares, sentiments and entropy of topics by source."""
-    return _six(conditional_means(_notes(spark, d), ["source_type"], "score", {"mean": F.lit(True)}, "topics", TOPICS))
+    return _six(conditional_means(notes_with_quarter(spark, d), ["source_type"], "score", {"mean": F.lit(True)}, "topics", TOPICS))
 
 
 TOPIC_SQL = with_(QNOTES) + f"SELECT source_type, count(*) AS n, round(avg(score) + 1e-10, 6) AS mean, {', '.join(map(_topic_sql, TOPICS))}, {_ENTROPY} FROM qnotes GROUP BY source_type"
 
 
 def topic_pivot(spark: SparkSession, d: str) -> DataFrame:
-    return label_table(_notes(spark, d).where("quarter is not null"), "quarter", "topics", TOPICS)
+    return label_table(notes_with_quarter(spark, d).where("quarter is not null"), "quarter", "topics", TOPICS)
 
 
 _PIVOT = ", ".join(f"CAST(sum({_mentions(t)}) AS BIGINT) AS \"{t}\"" for t in TOPICS)
@@ -99,7 +99,7 @@ LABELS = ("positive", "neutral", "negative")
 
 def source_by_quarter(spark: SparkSession, d: str) -> DataFrame:
     """Mean score by quarter, a column per source."""
-    x = _notes(spark, d).where("quarter is not null").groupBy("quarter").pivot("source_type", list(SOURCES)).agg(F.avg("score"))
+    x = notes_with_quarter(spark, d).where("quarter is not null").groupBy("quarter").pivot("source_type", list(SOURCES)).agg(F.avg("score"))
     return _six(x)
 
 
@@ -108,7 +108,7 @@ SOURCE_SQL = with_(QNOTES) + "SELECT quarter, " + ", ".join(f"round(avg(score) F
 
 def label_mix(spark: SparkSession, d: str) -> DataFrame:
     """Share of each label within a source."""
-    x = _notes(spark, d).groupBy("source_type").pivot("sentiment", list(LABELS)).count().na.fill(0)
+    x = notes_with_quarter(spark, d).groupBy("source_type").pivot("sentiment", list(LABELS)).count().na.fill(0)
     return _six(shares_by_row(x, LABELS))
 
 
@@ -117,14 +117,14 @@ LABEL_SQL = with_(QNOTES) + "SELECT source_type, " + ", ".join(f"round(count(*)
 
 def label_counts(spark: SparkSession, d: str) -> DataFrame:
     """Rows per label, those that never occur included."""
-    return counts_over(_notes(spark, d), "sentiment", [*LABELS, "mixed"])
+    return counts_over(notes_with_quarter(spark, d), "sentiment", [*LABELS, "mixed"])
 
 
 COUNTS_SQL = with_(QNOTES) + "SELECT l AS sentiment, count(n.chunk_id) AS n FROM (VALUES ('positive'), ('neutral'), ('negative'), ('mixed')) v(l) LEFT JOIN qnotes n ON n.sentiment = l GROUP BY l"
 
 
 def topic_quotes(spark: SparkSession, d: str) -> DataFrame:
-    return extreme_quotes(_notes(spark, d), "topics", "score", "quote", "chunk_id")
+    return extreme_quotes(notes_with_quarter(spark, d), "topics", "score", "quote", "chunk_id")
 
 
 QUOTES_SQL = with_(QNOTES, "t AS (SELECT DISTINCT chunk_id, score, quote, unnest(topics) AS label FROM qnotes)", "r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score, chunk_id) AS lo, row_number() OVER (PARTITION BY label ORDER BY score DESC, chunk_id) AS hi FROM t)") + """
@@ -150,7 +150,7 @@ SELECT source_type, count(*) AS n, count(*) FILTER (sx <> 0 AND sy <> 0) AS n_si
 
 def score_summary(spark: SparkSession, d: str) -> DataFrame:
     """Mean, median, deviation, range and share of positive scores by source, and the number of tickers."""
-    n = _notes(spark, d)
+    n = notes_with_quarter(spark, d)
     x = n.groupBy("source_type").agg(
         F.count("*").alias("n"), F.countDistinct("ticker").alias("n_tickers"), F.avg("score").alias("mean"), F.median("score").alias("median"), F.stddev_samp("score").alias("sd"),
         F.min("score").alias("low"), F.max("score").alias("high"), F.percentile("score", F.lit(0.8)).alias("p80"), F.avg((F.col("score") > 0).cast("int")).alias("positive"),
@@ -164,7 +164,7 @@ SUMMARY_SQL = with_(QNOTES) + """SELECT source_type, count(*) AS n, count(DISTIN
 
 def spot_check(spark: SparkSession, d: str) -> DataFrame:
     """Ten chunks of each source, picked by hash, with the beginning of their quote."""
-    x = stratified(_notes(spark, d), "source_type", "chunk_id", 10)
+    x = stratified(notes_with_quarter(spark, d), "source_type", "chunk_id", 10)
     return x.select("source_type", "chunk_id", F.substring(F.coalesce("quote", F.lit("")), 1, 80).alias("preview"))
 
 
@@ -181,7 +181,7 @@ SELECT doc_id, cache_key FROM k WHERE cache_key NOT IN (SELECT cache_key FROM k
 def _daily(spark: SparkSession, d: str) -> DataFrame:
     """Every ticker's trading day with the topic and sentiment features of its issuer's quarters as known by then, and its news of the last 30 days."""
     s = Series(["issuer"], ["call_date"])
-    q = quarterly(_notes(spark, d), ["issuer", "quarter"], None, TOPICS)
+    q = quarterly(notes_with_quarter(spark, d), ["issuer", "quarter"], None, TOPICS)
     cols = ["transcript_ceo_prep_sentiment_mean", "transcript_cfo_prep_sentiment_mean", "report_sentiment_mean", "framing_gap", "topic_entropy", *[f"topic_{t}_{k}" for t in TOPICS if t != "other" for k in ("share", "sentiment")]]
     calls = table(spark, d, "call_dates").select("issuer", F.col("fiscal_quarter").alias("quarter"), "call_date")
     q = with_changes(q.join(calls, on=["issuer", "quarter"]), s, cols)
@@ -193,17 +193,6 @@ def quarterly_to_daily(spark: SparkSession, d: str) -> DataFrame:
     return _six(_daily(spark, d))
 
 
-def event_features(spark: SparkSession, d: str) -> DataFrame:
-    """Signals that fade from the last call or news on, tone and dispersion over sources."""
-    topic = lambda t: (f"topic_{t}_share", f"topic_{t}_sentiment")
-    x = event_signals(
-        _daily(spark, d), ceo="transcript_ceo_prep_sentiment_mean", cfo="transcript_cfo_prep_sentiment_mean", gap="framing_gap", pressure=topic("regulatory_AML"), guidance=topic("guidance"),
-        outlook=topic("macro"), broad=[topic(t) for t in ("credit_quality", "capital", "wealth", "insurance", "margins")], entropy="topic_entropy", news_mean="news_sent_mean_30d", news_count="news_count_30d",
-    )
-    x = tone(x, ["transcript_ceo_prep_sentiment_mean_ffill", "transcript_cfo_prep_sentiment_mean_ffill", "report_sentiment_mean_ffill"])
-    return _six(x.select("ticker", "date", *[c for c in x.columns if c.startswith("evt_")], "exec_tone", "source_dispersion"))
-
-
 _KEPT = ("transcript_ceo_prep_sentiment_mean", "transcript_cfo_prep_sentiment_mean", "report_sentiment_mean", "framing_gap", "topic_entropy", *[f"topic_{t}_{k}" for t in TOPICS if t != "other" for k in ("share", "sentiment")])
 _UNSIX = QUARTERLY_SQL.replace(" + 1e-10, 6)", ", 14)").replace(f"WHERE quarter <= '{CUTOFF}'", "WHERE quarter IS NOT NULL")
 _DAILY = f"""WITH q AS ({_UNSIX}), c AS (SELECT q.*, call_date FROM q JOIN call_dates d ON d.issuer = q.issuer AND d.fiscal_quarter = q.quarter),
@@ -219,7 +208,6 @@ DAILY_SQL = _DAILY + "SELECT ticker, issuer, date, days_since_call, is_earnings_
 
 QUERIES = {
     "quarterly_to_daily": quarterly_to_daily,
-    "event_features": event_features,
     "quarterly_nlp": quarterly_nlp,
     "topic_share": topic_share,
     "topic_pivot": topic_pivot,

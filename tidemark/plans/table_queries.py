@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.rolling import technical, trend, adjusted
-from tidemark.operators.tables import constant_columns, feature_schema, grid, null_profile, with_sentinel
-from tidemark.plans import market_queries as mq
-from tidemark.plans.base import BARS, TICKER, bars, with_
+from tidemark.operators.tables import constant_columns, feature_schema, grid, null_profile
+from tidemark.plans.base import BARS, bars, with_
 from tidemark.session import table
 from tidemark.sources.files import new_only, observations, parse_json, union_tagged
 
@@ -95,35 +93,6 @@ def new_rows(spark: SparkSession, d: str) -> DataFrame:
 NEW_SQL = with_(BARS) + "SELECT ticker || '|' || date AS key FROM bars b WHERE NOT EXISTS (SELECT 1 FROM model_features_daily m WHERE m.ticker = b.ticker AND m.date = b.date)"
 
 
-def daily_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """The assembled daily matrix: price, currency, rates, prices, fear, quarterly and news blocks on the tickers' trading days.
-
-    Days before the issuer's first call and without a five-day forward return
-    are left out; missing deltas and surprises become the sentinel, missing trends 0.
-    """
-    b = bars(spark, d)
-    price = trend(technical(adjusted(b), TICKER), TICKER, "close", (5, 20, 60)).withColumn("return_5d_fwd", TICKER.forward_change("close", 5))
-    trends = [f"{k}_{w}d" for w in (5, 20, 60) for k in ("beta", "rsqr", "resi")]
-    price = price.select("ticker", "date", *[F.round(c, 6).alias(c) for c in ("return_5d", "volatility_20d", "rsi_14", "corr_pv_20d", "return_5d_fwd")], *[F.coalesce(F.round(c, 6), F.lit(0.0)).alias(c) for c in trends])
-    x = price
-    for block in (mq.fx_block, mq.rates_block, mq.cpi_block, mq.fear_block):
-        x = x.join(F.broadcast(block(spark, d)), on="date", how="left")  # a row a calendar day each
-    x = x.join(mq.asof_quarter(spark, d), on=["ticker", "date"], how="left").join(mq.news_windows(spark, d), on=["ticker", "date"], how="left")
-    x = x.where("days_since_call is not null and return_5d_fwd is not null")
-    return with_sentinel(x, ["framing_gap_delta", "framing_gap_surprise"])
-
-
-def _sub(key: str) -> str:
-    return f"({mq.ORACLE[key]})"
-
-
-_TRENDS = [f"{k}_{w}d" for w in (5, 20, 60) for k in ("beta", "rsqr", "resi")]
-MATRIX_SQL = f"""SELECT r.ticker, r.date, r.return_5d, v.volatility_20d, o.rsi_14, c.corr_pv_20d, f.forward_5d AS return_5d_fwd, {', '.join(f'coalesce(t.{k}, 0.0) AS {k}' for k in _TRENDS)},
-  fx.* EXCLUDE (date), rt.* EXCLUDE (date), cp.* EXCLUDE (date), fe.* EXCLUDE (date), q.* EXCLUDE (ticker, date) REPLACE (coalesce(q.framing_gap_delta, -9999.0) AS framing_gap_delta, coalesce(q.framing_gap_surprise, -9999.0) AS framing_gap_surprise), n.* EXCLUDE (ticker, date)
-FROM {_sub('returns')} r JOIN {_sub('volatility_zscore')} v USING (ticker, date) JOIN {_sub('rsv_rsi_boll')} o USING (ticker, date) JOIN {_sub('corr_pv')} c USING (ticker, date) JOIN {_sub('forward_return')} f USING (ticker, date)
-JOIN {_sub('ols_trend')} t USING (ticker, date) LEFT JOIN {_sub('fx_block')} fx USING (date) LEFT JOIN {_sub('rates_block')} rt USING (date) LEFT JOIN {_sub('cpi_block')} cp USING (date) LEFT JOIN {_sub('fear_block')} fe USING (date)
-LEFT JOIN {_sub('asof_quarter')} q USING (ticker, date) LEFT JOIN {_sub('news_windows')} n USING (ticker, date) WHERE q.days_since_call IS NOT NULL AND f.forward_5d IS NOT NULL"""
-
 QUERIES = {
     "null_counts": null_counts,
     "constant_cols": constant_cols,
@@ -134,7 +103,6 @@ QUERIES = {
     "event_props": event_props,
     "rest_observations": rest_observations,
     "new_rows": new_rows,
-    "daily_matrix": daily_matrix,
 }
 
 ORACLE = {
@@ -146,5 +114,4 @@ ORACLE = {
     "event_props": PROPS_SQL,
     "rest_observations": OBS_SQL,
     "new_rows": NEW_SQL,
-    "daily_matrix": MATRIX_SQL,
 }
