@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import evaluation as ev
 from tidemark.operators import models as md
-from tidemark.operators.features import event_signals, flips, project_daily, tone, with_changes
+from tidemark.operators.features import EVENTS, event_signals, flips, persistence, project_daily, with_changes
 from tidemark.operators.narrative import agreement, conditional_means, counts_over, extreme_quotes, label_table, quarterly, shares_by_row, stratified
 from tidemark.operators.rolling import Series
 
@@ -28,16 +28,25 @@ def test_changes_and_projection(spark):
 
 
 def test_event_signals(spark):
-    names = ["ceo", "cfo", "gap", "ps", "pm", "gs", "gm", "os", "om", "bs", "bm", "cs", "cm", "en"]
-    row = {f"{n}_{k}": 0.1 * (i + 1) for i, n in enumerate(names) for k in ("ffill", "delta")} | {"cm_ffill": None, "days_since_call": 10, "days_since_last_news": None, "nm": 0.5, "nc": 3}
+    names = ["ceo", "cfo", "gap", "ps", "pm", "gs", "gm", "os", "om", "bs", "bm", "cs", "cm", "en", "qa", "an", "sd", "nw", "rp"]
+    row = {f"{n}_{k}": 0.1 * (i + 1) for i, n in enumerate(names) for k in ("ffill", "delta", "surprise")} | {"cm_ffill": None, "nw_ffill": None, "days_since_call": 10, "days_since_last_news": None, "nm": 0.5, "nc": 3}
     df = spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {'int' if k in ('days_since_call', 'days_since_last_news', 'nc') else 'double'}" for k in row))
-    r = event_signals(df, ceo="ceo", cfo="cfo", gap="gap", pressure=("ps", "pm"), guidance=("gs", "gm"), outlook=("os", "om"), broad=[("bs", "bm"), ("cs", "cm")], entropy="en", news_mean="nm", news_count="nc").first()
+    named = {"ceo": "ceo", "cfo": "cfo", "gap": "gap", "entropy": "en", "answers": "qa", "questions": "an", "spread": "sd", "news": "nw", "report": "rp", "news_mean": "nm", "news_count": "nc"}
+    r = event_signals(df, pressure=("ps", "pm"), guidance=("gs", "gm"), outlook=("os", "om"), broad=[("bs", "bm"), ("cs", "cm")], **named).first()
+    assert set(EVENTS) <= set(r.asDict()) and len(EVENTS) == 24
     c, n = math.exp(-0.5), math.exp(-999 / 15)
     assert r["evt_ceo_tone"] == pytest.approx(0.1 * c) and r["evt_aml_pressure"] == pytest.approx(0.4 * 0.5 * c) and r["evt_aml_shift"] == pytest.approx(0.9 * c)
     assert r["evt_guidance_shift"] == pytest.approx(1.3 * c) and r["evt_macro_topic"] == pytest.approx(0.8 * 0.4 * c) and r["evt_news_flow"] == pytest.approx(math.log(4) * n)
     assert r["evt_broad_topic_signal"] == pytest.approx(1.0 * 0.6 * c)  # the other pair has no value
-    t = tone(df, ["ceo_ffill", "cm_ffill", "gap_ffill"]).first()
-    assert t["exec_tone"] == pytest.approx(0.1) and t["source_dispersion"] == pytest.approx(0.2 / math.sqrt(2))
+    assert r["evt_cfo_lead"] == pytest.approx(0.1 * c) and r["evt_ceo_surprise"] == pytest.approx(0.1 * c) and r["evt_exec_scripted_gap"] == pytest.approx(1.4 * c)
+    assert r["evt_source_dispersion"] == pytest.approx(1.8 / math.sqrt(2) * c)  # of two sources, the news having none
+    assert r["evt_transcript_reliability"] == pytest.approx(1 / 2.7 * c) and r["exec_tone_ffill"] == pytest.approx(0.15)
+
+
+def test_persistence(spark):
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate([1.0, 2.0, 1.0, 2.0, 5.0, None])], "k string, d int, v double")
+    got = [r["autocorrelation"] for r in persistence(df, Series(["k"], ["d"]), "v", 3).orderBy("d").collect()]
+    assert got[:3] == [None] * 3 and got[3] == pytest.approx(-1) and got[4] is not None and got[5] is None
 
 
 def test_flips(spark):

@@ -150,7 +150,7 @@ def test_annotation_is_incremental(spark):
     got = {r["id"]: r["output"] for r in an.annotate(first, "chunk", model).collect()}
     assert all((o is None) == (i % 4 == 2) for i, o in got.items())
     ask = one(spark, an.prompt(t("news"), t(None), t("body"), t(None), t(None), t("TEXT")))
-    assert "TEXT" in ask and "Speaker" not in ask and ask.startswith("Document type: news  Quarter:   Section: body")
+    assert "TEXT" in ask and "Said by" not in ask and ask.startswith("Excerpt of news, , part body.")
 
 
 def test_inherit(spark):
@@ -175,3 +175,30 @@ def test_addresses(spark):
 def test_second_annotator(spark):
     r = one(spark, an.second_score(F.lit(0.5), F.lit(0.2), F.lit(0.3)))
     assert (r["label"], r["score"]) == ("positive", 0.3) and one(spark, an.second_score(F.lit(0.1), F.lit(0.4), F.lit(0.4)))["label"] == "negative"
+
+
+# builders ---------------------------------------------------------------------------------------------------
+def test_three_builders(spark):
+    from tidemark.text.builders import release_chunks, report_chunks, transcript_chunks
+
+    docs = spark.createDataFrame([(1, "Bank gains", "First words.\n\nPage 2 of 9\n\nSecond words."), (2, None, "Alone."), (3, "Empty", "- 4 -"), (4, "Nothing", None)], "doc_id long, headline string, text string")
+    got = {r["chunk_id"]: r["chunk"] for r in release_chunks(docs).collect()}
+    assert got == {"news:1:press_release:000": "Bank gains\n\nFirst words.\n\nSecond words.", "news:2:press_release:000": "Alone."}
+    long = "word " * 150
+    docs = spark.createDataFrame([(1, f"{long}\n\nCredit risk\n\n{long}"), (2, "too short"), (3, long), (4, None)], "doc_id long, text string")
+    got = {(r["doc_id"], r["section"], r["chunk_no"]) for r in report_chunks(docs).collect()}
+    assert got == {(1, "preamble", 0), (1, "credit risk", 0), (3, "body", 0)}
+    call = "Jane Doe - Chief Executive Officer\nGood morning.\n\nWe grew.\nQuestion and Answer\nJohn Roe - Analyst, \nNo.\nOperator\nNext."
+    docs = spark.createDataFrame([(1, call, 7), (2, "nobody speaks", 8), (3, None, 9)], "doc_id long, text string, chunk int")
+    rows = transcript_chunks(docs).orderBy("turn").collect()
+    assert [(r["section"], r["speaker"]["name"], r["speaker"]["role"], r["chunk"]) for r in rows if r["doc_id"] == 1][0] == ("prepared_remarks", "Jane Doe", "ceo", "Good morning.\n\nWe grew.") or rows[0]["speaker"]["role"] == "ceo"
+    assert {r["doc_id"] for r in rows} == {1} and rows[0]["chunk_id"].startswith("transcripts:1:prepared_remarks:t0:")
+
+
+def test_questions_that_begin_the_text(spark):
+    from pyspark.sql import functions as F
+    from tidemark.text.turns import split_questions
+
+    rows = spark.createDataFrame([("We'll now take questions from the telephone lines.",), ("a\nQ & A\nb",), ("a\nb",), (None,), ("x\nWe will now take questions from the telephone.\ny",)], "t string")
+    got = [tuple(r[0]) for r in rows.select(split_questions(F.col("t"))).collect()]
+    assert got == [("", "We'll now take questions from the telephone lines."), ("a\n", "\nb"), ("a\nb", ""), ("", ""), ("x\n", "We will now take questions from the telephone.\ny")]

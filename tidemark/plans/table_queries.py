@@ -31,6 +31,13 @@ def feature_families(spark: SparkSession, d: str) -> DataFrame:
     return feature_schema(table(spark, d, MATRIX), ["row_id", "date", "ticker", "issuer", "fiscal_quarter", "load_id", "loaded_at"])
 
 
+FAMILIES_SQL = f"""WITH c AS (SELECT column_name AS feature FROM (DESCRIBE SELECT * EXCLUDE (row_id, date, ticker, issuer, fiscal_quarter, load_id, loaded_at) FROM model_features_daily)),
+f AS (SELECT feature, CASE WHEN feature LIKE 'evt\\_%' ESCAPE '\\' THEN 'event' WHEN regexp_matches(feature, '^(transcript_|report_|topic_|framing_gap)') THEN 'quarterly text' WHEN regexp_matches(feature, '^news_|^days_since_last_news$|^is_news_burst$') THEN 'news'
+  WHEN feature IN ('days_since_call', 'is_earnings_week') THEN 'timing' WHEN regexp_matches(feature, '^(vix_|gold_|dxy_)') THEN 'fear' WHEN contains(feature, 'fx_') THEN 'currency' WHEN regexp_matches(feature, 'rate_|yield_|cpi') THEN 'rates and prices'
+  WHEN regexp_matches(feature, 'volume|corr_pv|wvma|cntd|sumd|rsv_|beta_|rsqr|resi_|^td_rsi|^td_bb_|^td_dist_') THEN 'volume and technical' WHEN regexp_matches(feature, '^(td_return_|td_vs_|td_volatility_)') THEN 'price' ELSE 'other' END AS family FROM c)
+SELECT feature, family, CASE WHEN family = 'quarterly text' THEN 'quarterly' WHEN family IN ('event', 'news') THEN 'daily, fading or rolling' WHEN feature LIKE 'cpi%' THEN 'monthly' ELSE 'daily' END AS changes, regexp_matches(feature, '(_delta|_surprise)$') AS has_sentinel FROM f"""
+
+
 def parameter_grid(spark: SparkSession, d: str) -> DataFrame:
     return grid(spark, {"depth": [2, 3, 4], "rate": [0.05, 0.1], "trees": [50, 100, 200]})
 
@@ -108,6 +115,7 @@ QUERIES = {
 ORACLE = {
     "null_counts": "SELECT name AS \"column\", n - c AS n_null, round(100.0 * (n - c) / nullif(n, 0), 6) AS pct_null FROM (SELECT count(*) AS n FROM model_features_daily), (UNPIVOT (SELECT count(COLUMNS(*)) FROM model_features_daily) ON COLUMNS(*) INTO NAME name VALUE c)",
     "constant_cols": CONSTANT_SQL,
+    "feature_families": FAMILIES_SQL,
     "parameter_grid": GRID_SQL,
     "ticker_sets": SETS_SQL,
     "union_sources": UNION_SQL,

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import content_key, fiscal_quarter, quarter_label, rough_tokens, slug, written_date
 from tidemark.session import table
 from tidemark.text import annotate as an
+from tidemark.text.builders import release_chunks, report_chunks, transcript_chunks
 from tidemark.text.chunks import chunk, sentences, with_chunk_ids
 from tidemark.text.clean import BOILERPLATE, PAGE_LINES, any_of, clean_text, is_administrative, is_table_heavy, sections_or_body
 from tidemark.text.html import article_links, html_to_text, parse_article
@@ -64,28 +65,79 @@ LABELS_SQL = """SELECT doc_id, 'FY' || (year(doc_date) + CAST(month(doc_date) >=
   sha256(CAST(encode(text) || '\\x00'::BLOB || encode('v1') || '\\x00'::BLOB || encode('m') AS BLOB)) AS key FROM documents"""
 
 
+#: Lines that stand alone in these documents; those of reports proper don't occur in them.
+STANDING = ("table of contents", "skip to content", "back to newsroom", "share this release", "click here to unsubscribe")
+
+
 def section_islands(spark: SparkSession, d: str) -> DataFrame:
-    """Sections of every text, headings being here the phrases that stand alone on a line in these documents."""
-    x = _docs(spark, d).select("doc_id", sections_or_body(F.col("text")).alias("s"))
+    """Sections of every text, headings being here the lines that stand alone in these documents."""
+    x = _docs(spark, d).select("doc_id", sections_or_body(F.col("text"), STANDING).alias("s"))
     return x.select("doc_id", F.posexplode("s").alias("n", "s")).select("doc_id", "n", "s.section", F.length("s.text").alias("n_chars"))
 
 
+_MARKED = "string_split(regexp_replace(text, '(?im)^[ \\t]*(" + "|".join(STANDING) + ")[ \\t]*$', chr(1) || '\\1' || chr(2), 'g'), chr(1))"
+SECTIONS_SQL = f"""WITH p AS (SELECT doc_id, text, {_MARKED} AS parts FROM documents),
+s AS (SELECT doc_id, unnest(range(0, len(parts))) AS i, unnest(parts) AS part FROM p),
+t AS (SELECT doc_id, i, CASE WHEN i = 0 THEN 'preamble' ELSE lower({_strip("split_part(part, chr(2), 1)")}) END AS section, {_strip("CASE WHEN i = 0 THEN part ELSE split_part(part, chr(2), 2) END")} AS body FROM s),
+f AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS k, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n FROM t WHERE body <> '')
+SELECT doc_id, CAST(n AS INTEGER) AS n, section, CAST(length(body) AS INTEGER) AS n_chars FROM f WHERE k > 1
+UNION ALL SELECT doc_id, 0, 'body', CAST(length(text) AS INTEGER) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM f WHERE k > 1)"""
+
+
+def _speaker_lines() -> Column:
+    """Texts whose "name, bank, title" lines are put as "name - title"; of a title in two parts the comma goes."""
+    return F.regexp_replace("text", r"(?m)^([A-Z][\w'-]+(?: [A-Z][\w'-]+)+), [^,\n]+, ([^,\n]+)(?:,( [^,\n]+))?$", "$1 - $2$3")
+
+
 def turns_roles(spark: SparkSession, d: str) -> DataFrame:
-    """Speaker turns of the transcripts; their "name, bank, title" lines are first put as "name - title"."""
-    lines = F.regexp_replace("text", r"(?m)^([A-Z][\w'-]+(?: [A-Z][\w'-]+)+), [^,\n]+, ([^,\n]+)$", "$1 - $2")
-    x = _docs(spark, d).where("source = 'transcripts'").select("doc_id", F.posexplode(transcript(lines)).alias("n", "t"))
+    """Speaker turns of the transcripts; speaker lines are first put as the parser knows them."""
+    x = _docs(spark, d).where("source = 'transcripts'").select("doc_id", F.posexplode(transcript(_speaker_lines())).alias("n", "t"))
     return x.select("doc_id", "n", "t.section", "t.speaker_name", "t.affiliation", "t.role", F.length("t.text").alias("n_chars"))
 
 
 def question_split(spark: SparkSession, d: str) -> DataFrame:
-    x = _docs(spark, d).select("doc_id", split_questions(F.col("text")).alias("p"))
+    """Texts parted where the answers begin: at the first paragraph that thanks for a question."""
+    x = _docs(spark, d).select("doc_id", split_questions(F.col("text"), begin="(?m)(?=^Thank you for the question)").alias("p"))
     return x.select("doc_id", F.length("p.prepared").alias("prepared"), F.length("p.questions").alias("questions"))
 
 
+QUESTIONS_SQL = """WITH p AS (SELECT doc_id, length(text) AS n, length(string_split_regex(text, '(?m)^Thank you for the question')[1]) AS k FROM documents)
+SELECT doc_id, CAST(k AS INTEGER) AS prepared, CAST(n - k AS INTEGER) AS questions FROM p"""
+
+
 def sentence_counts(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.size(sentences(F.col("text"))).alias("n_sentences"))
 
 
+SENTENCES_SQL = """SELECT doc_id, CAST(CASE WHEN trim(text, ' ') = '' THEN 0 ELSE 1 + len(regexp_extract_all(text, '[.!?][ \\t\\n\\x{0B}\\f\\r]+[A-Z0-9"''\u201c]')) END AS INTEGER) AS n_sentences FROM documents"""
+
+
+def source_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunk records of all documents by what they are: releases headed by issuer and quarter, reports of 500 characters or more by section, calls turn by turn."""
+    x = _docs(spark, d)
+    release = release_chunks(x.where("source = 'news'").withColumn("headline", F.concat_ws(" ", "issuer", "fiscal_quarter")), keep=["fiscal_quarter"])
+    reports = [report_chunks(x.where(F.col("source") == s), source=s, headings=STANDING, keep=["fiscal_quarter"]) for s in ("reports_quarterly", "reports_40f")]
+    calls = transcript_chunks(x.where("source = 'transcripts'").withColumn("text", _speaker_lines()), keep=["fiscal_quarter"])
+    out = release
+    for c in [*reports, calls]:
+        out = out.unionByName(c, allowMissingColumns=True)
+    return out.select("chunk_id", "source_type", "doc_id", "section", "fiscal_quarter", "chunk_no", "token_count", "speaker.role", F.md5("chunk").alias("digest"))
+
+
+def source_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that make chunks, by source, with the characters of their cleaned texts: what source_chunks has to hold."""
+    x = _docs(spark, d).where("source <> 'transcripts'").select("doc_id", "source", "text")
+    parts = [release_chunks(x.where("source = 'news'").withColumn("headline", F.lit(None).cast("string")))]
+    parts += [report_chunks(x.where(F.col("source") == s), source=s, headings=("no such heading",)) for s in ("reports_quarterly", "reports_40f")]
+    c = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    # between chunks of paragraphs lie two line breaks; between those of sentences one blank, which doesn't count here
+    return c.groupBy("source_type").agg(F.countDistinct("doc_id").alias("n_docs"), F.sum(F.length(F.regexp_replace("chunk", r"(?U)\s", ""))).alias("n_chars"))
+
+
+TOTALS_SQL = f"""WITH c AS (SELECT doc_id, source, {_FLAT} AS t FROM documents WHERE source <> 'transcripts')
+SELECT source AS source_type, count(DISTINCT doc_id) AS n_docs, CAST(sum(length(regexp_replace(t, '{_S}', '', 'g'))) AS BIGINT) AS n_chars FROM c WHERE t <> '' AND (source = 'news' OR length(t) >= 500) GROUP BY source"""
+
+
 def chunk_records(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of every section of every cleaned text, with their ids."""
     x = _docs(spark, d).select("doc_id", "source", "speaker_role", "fiscal_quarter", clean_text(F.col("text")).alias("t"))
@@ -147,6 +199,8 @@ QUERIES = {
     "turns_roles": turns_roles,
     "question_split": question_split,
     "sentence_counts": sentence_counts,
+    "source_chunks": source_chunks,
+    "source_totals": source_totals,
     "chunk_records": chunk_records,
     "pending_chunks": pending_chunks,
     "annotated_chunks": annotated_chunks,
@@ -154,4 +208,4 @@ QUERIES = {
     "written_dates": written_dates,
 }
 
-ORACLE = {"clean_paragraphs": CLEAN_SQL, "text_flags": FLAGS_SQL, "document_labels": LABELS_SQL, "written_dates": DATES_SQL}
+ORACLE = {"clean_paragraphs": CLEAN_SQL, "text_flags": FLAGS_SQL, "document_labels": LABELS_SQL, "written_dates": DATES_SQL, "section_islands": SECTIONS_SQL, "question_split": QUESTIONS_SQL, "sentence_counts": SENTENCES_SQL, "source_totals": TOTALS_SQL}

@@ -42,12 +42,16 @@ def plausible_name(name: Column) -> Column:
     return (n == "operator") | ((n != "") & person)
 
 
-def split_questions(text: Column) -> Column:
-    """STRUCT<prepared, questions>: parted at the first head line, which is dropped, else where the questions begin, which is kept; else all is prepared."""
+def split_questions(text: Column, head: str = QUESTIONS_HEAD, begin: str = QUESTIONS_BEGIN) -> Column:
+    """STRUCT<prepared, questions>: parted at the first ``head`` line, which is dropped, else before the first ``begin``; else all is prepared.
+
+    ``begin`` matches a place, not text. It may be the very beginning of the text.
+    """
     t = F.coalesce(text, F.lit(""))
-    head, begin = F.split(t, QUESTIONS_HEAD, 2), F.split(t, QUESTIONS_BEGIN, 2)
-    # a split at a place of no width may leave it at the very beginning
-    parts = F.when(F.size(head) == 2, head).when(F.size(begin) == 2, begin).when(t.rlike(r"^(?i)(?:Thank you[,.]?\s+)?We(?:'ll| will) now take questions from the telephone"), F.array(F.lit(""), t)).otherwise(F.array(t, F.lit("")))
+    # a character in front, so that a place at the beginning parts too
+    first = F.split(F.concat(F.lit("\n"), t), begin, 2)
+    parts = F.split(t, head, 2)
+    parts = F.when(F.size(parts) == 2, parts).when(F.size(first) == 2, F.transform(first, lambda p, i: F.when(i == 0, F.substring(p, 2, 1 << 30)).otherwise(p))).otherwise(F.array(t, F.lit("")))
     return F.struct(F.get(parts, F.lit(0)).alias("prepared"), F.get(parts, F.lit(1)).alias("questions"))
 
 
