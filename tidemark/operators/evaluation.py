@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.rolling import average_rank
+from tidemark.operators.ranks import placed, quantiles, ranked
 
 CLASSES = (-1, 0, 1)
 
@@ -141,9 +141,9 @@ def regression_metrics(df: DataFrame, by: Sequence[str], *, actual: str, predict
 
 
 def rank_ic(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
-    """Spearman correlation per group, ties with mean ranks."""
+    """Spearman correlation per group, ties with mean ranks; a group is ranked in parts."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    d = d.select(*by, average_rank(x, by).alias("p"), average_rank(y, by).alias("q"))
+    d = ranked(ranked(d.select(*by, F.col(x).alias("x"), F.col(y).alias("y")), by, "x", "p"), by, "y", "q")
     return d.groupBy(*by).agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("p", "q"), F.stddev_pop("p") * F.stddev_pop("q")).alias("ic"))
 
 
@@ -160,8 +160,60 @@ def majority_class(df: DataFrame, by: Sequence[str], label: str) -> DataFrame:
 
 
 def train_medians(rows: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Exact median of each column per group."""
-    return rows.groupBy(*by).agg(*[F.median(c).alias(c) for c in columns])
+    """Exact median of each column per group, NULL where it has no value; a column at a time, each group in parts."""
+    out = rows.select(*by).distinct()
+    for c in columns:
+        m = quantiles(rows, by, c, {c: 0.5})
+        out = out.join(m, on=list(by), how="left")
+    return out
+
+
+def class_strides(df: DataFrame, by: Sequence[str], order: str, *, actual: str, predicted: str, outcome: str, stride: int = 5) -> DataFrame:
+    """Per class the precision, recall and sign accuracy (share of its calls whose sign is that of ``outcome``; of class 0, of nonzero outcomes none) and the number of calls, averaged over ``stride`` interleaved samples of each group.
+
+    A sample without calls, or cases, of a class doesn't count for it; rows need all of actual, predicted and outcome.
+    """
+    d = df.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull() & F.col(outcome).isNotNull())
+    d = d.withColumn("__o", F.pmod(F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1, F.lit(stride)))
+    sign = F.signum(F.col(outcome).cast("double"))
+    cells = []
+    for c in CLASSES:
+        a, p = F.col(actual) == c, F.col(predicted) == c
+        cells.append(F.struct(
+            F.lit(c).alias("label"), F.avg(F.when(p, a.cast("int"))).alias("precision"), F.avg(F.when(a, p.cast("int"))).alias("recall"), F.avg(F.when(p, (sign == c).cast("int"))).alias("sign_accuracy"), F.sum(p.cast("long")).alias("n_calls"),
+        ))
+    per = d.groupBy(*by, "__o").agg(F.array(*cells).alias("__c")).select(*by, F.inline("__c"))
+    return per.groupBy(*by, "label").agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "sign_accuracy", "n_calls")])
+
+
+def experiment_summary(folds: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """Mean over folds of each measure by experiment (mean_...), with uplift_vs_majority_pp and uplift_vs_momentum_pp in points where accuracy and the baseline are among the measures. NULL keys are keys."""
+    g = folds.groupBy(*keys).agg(*[F.avg(m).alias(f"mean_{m}") for m in measures])
+    for base in ("majority", "momentum"):
+        if {"accuracy", f"{base}_accuracy"} <= set(measures):
+            g = g.withColumn(f"uplift_vs_{base}_pp", 100 * (F.col("mean_accuracy") - F.col(f"mean_{base}_accuracy")))
+    return g
+
+
+def random_rounds(df: DataFrame, row_id: Sequence[str], rounds: int = 20, share: float = 0.7, seed: int = 42) -> DataFrame:
+    """``df`` once for each of ``rounds`` random splits, with round and is_fit for about ``share`` of the rows, by a digest of seed, round and id: the same on every run.
+
+    Rows are multiplied within their task; aggregate them by round before anything is shuffled.
+    """
+    x = df.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "round", *row_id)), 1, 8), 16, 10).cast("long")
+    return x.withColumn("is_fit", digest < int(share * 2**32))
+
+
+def correlation_scores(df: DataFrame, by: Sequence[str], features: Sequence[str], outcome: str) -> DataFrame:
+    """by, feature, importance: the absolute correlation of each feature with the outcome in each group; 0 where one doesn't vary. One aggregation; NULL and NaN values are left out pair by pair."""
+    v = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    cells = []
+    for f in features:
+        a = F.when(v(outcome).isNotNull(), v(f))
+        b = F.when(v(f).isNotNull(), v(outcome))
+        cells.append(F.struct(F.lit(f).alias("feature"), F.coalesce(F.abs(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))), F.lit(0.0)).alias("importance")))
+    return df.groupBy(*by).agg(F.array(*cells).alias("__c")).select(*by, F.inline("__c"))
 
 
 def stability(importances: DataFrame, core: int = 15) -> DataFrame:
@@ -185,7 +237,12 @@ def stability(importances: DataFrame, core: int = 15) -> DataFrame:
 
 def vote_selection(hits: DataFrame, rounds: int, share: float = 0.5, most: int = 30) -> DataFrame:
     """From (feature, top_hits, importance): features in at least ``share`` of the rounds first, others after them, up to ``most`` selected."""
-    x = hits.withColumn("frequency", F.col("top_hits") / F.lit(rounds)).withColumn("stable", F.col("top_hits") / F.lit(rounds) >= share)
+    return by_vote(hits.withColumn("frequency", F.col("top_hits") / F.lit(rounds)), share, most)
+
+
+def by_vote(hits: DataFrame, share: float = 0.5, most: int = 30) -> DataFrame:
+    """As ``vote_selection``, from (feature, frequency, importance)."""
+    x = hits.withColumn("stable", F.col("frequency") >= share)
     order = [F.col("stable").desc(), F.col("frequency").desc(), F.col("importance").desc(), F.col("feature").asc()]
     x = x.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))  # a row a feature
     return x.withColumn("selected", F.col("place") <= most)
@@ -221,10 +278,10 @@ def fixed_folds(spark, folds: Sequence[tuple[str, str, str, str]]) -> DataFrame:
     return x.select("fold_id", *[F.col(c).cast("date").alias(c) for c in ("train_end", "test_start", "test_end")])
 
 
-def offset_interval(df: DataFrame, by: Sequence[str], order: str, *, predicted: str, outcome: str, stride: int = 5, t: float = 2.776) -> DataFrame:
-    """Mean over ``stride`` interleaved samples of the share of right signs among nonzero outcomes, with its 95 % interval (t of stride - 1 degrees)."""
+def offset_interval(df: DataFrame, by: Sequence[str], order: Column, ties: Sequence[str] = (), *, predicted: str, outcome: str, stride: int = 5, t: float = 2.776) -> DataFrame:
+    """Mean over ``stride`` interleaved samples of the share of right signs among nonzero outcomes, with its 95 % interval (t of stride - 1 degrees); order is a number."""
     d = df.where(F.col(predicted).isNotNull() & F.col(outcome).isNotNull())
-    d = d.withColumn("__o", F.pmod(F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1, F.lit(stride)))
+    d = placed(d, by, order, "__o", ties).withColumn("__o", F.pmod(F.col("__o") - 1, F.lit(stride)))
     hit = F.when(F.col(outcome) != 0, (F.signum(F.col(predicted).cast("double")) == F.signum(F.col(outcome).cast("double"))).cast("int"))
     per = d.groupBy(*by, "__o").agg(F.avg(hit).alias("share"))
     g = per.groupBy(*by).agg(F.avg("share").alias("share"), F.stddev_samp("share").alias("sd"), F.count("share").alias("k"))
@@ -258,12 +315,20 @@ def tier(count: Column, strong: int, some: int) -> Column:
     return F.when(count >= strong, "stable").when(count >= some, "frequent").when(count > 0, "rare").otherwise("never")
 
 
-def grid_search(configurations: Sequence[dict], folds: Sequence, score) -> list[tuple[float, dict]]:  # noqa: ANN001
-    """(0.6 sign accuracy + 0.4 macro F1, configuration) of each, averaged over folds, the best first; score(configuration, fold) gives both numbers, None where there were no calls."""
+def grid_search(configurations: Sequence[dict], folds: Sequence, score, parallel: int = 4) -> list[tuple[float, dict]]:  # noqa: ANN001
+    """(0.6 sign accuracy + 0.4 macro F1, configuration) of each, averaged over folds, the best first; score(configuration, fold) gives both numbers, None where there were no calls.
+
+    ``parallel`` fits are submitted at a time; each is a job of its own on the cluster.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    pairs = [(i, f) for i in range(len(configurations)) for f in folds]
+    with ThreadPoolExecutor(parallel) as pool:
+        got = list(pool.map(lambda p: score(configurations[p[0]], p[1]), pairs))
     out = []
-    for c in configurations:
-        got = [x for f in folds if (x := score(c, f)) is not None]
-        out.append((sum(0.6 * a + 0.4 * b for a, b in got) / len(got) if got else float("-inf"), c))
+    for i, c in enumerate(configurations):
+        have = [g for (k, _), g in zip(pairs, got) if k == i and g is not None]
+        out.append((sum(0.6 * a + 0.4 * b for a, b in have) / len(have) if have else float("-inf"), c))
     return sorted(out, key=lambda p: -p[0])
 
 

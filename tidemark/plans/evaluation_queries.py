@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import evaluation as ev
 from tidemark.operators.asof import in_ranges
+from tidemark.operators.features import flips, persistence
+from tidemark.operators.ranks import quantiles
 from tidemark.operators.rolling import rank_correlations
-from tidemark.plans.base import BARS, bars, with_
+from tidemark.plans.base import BARS, TICKER, bars, with_
 from tidemark.plans.market_queries import EXCESS, _excess
+from tidemark.session import table
 
 TRAIN, TEST, GAP = 120, 40, 5
 
@@ -170,7 +173,7 @@ SELECT g.fold_id, n_calls, round(share + 1e-10, 6) AS share, round(share - 1.96
 def median_impute(spark: SparkSession, d: str) -> DataFrame:
     """Per fold the median momentum of its training rows and the volatility cutoff by a percentile."""
     tr = in_ranges(_calls(spark, d), folds_rolling(spark, d), date="date", low="train_start", high="train_end")
-    g = tr.groupBy("fold_id").agg(F.median("momentum").alias("median"), F.percentile("momentum", F.lit(0.8)).alias("p80"))
+    g = quantiles(tr, ["fold_id"], "momentum", {"median": 0.5, "p80": 0.8})
     return g.select("fold_id", F.round(F.col("median") + 1e-10, 6).alias("median"), F.round(F.col("p80") + 1e-10, 6).alias("p80"))
 
 
@@ -266,7 +269,7 @@ QUALIFY row_number() OVER (PARTITION BY fold_id ORDER BY CAST(coverage >= 0.7 AS
 def sign_interval(spark: SparkSession, d: str) -> DataFrame:
     """Share of right signs of the momentum by fold with its interval over five interleaved samples, strict and abstaining accuracy of the vote."""
     x = _in_folds(spark, d)
-    a = ev.offset_interval(x.withColumn("place", F.struct("date", "ticker")), ["fold_id"], "place", predicted="momentum", outcome="outcome")
+    a = ev.offset_interval(x, ["fold_id"], F.unix_date("date"), ["ticker"], predicted="momentum", outcome="outcome")
     m = x.groupBy("fold_id").agg(F.avg((F.col("vote") != 0).cast("int")).alias("cov"), F.avg(F.when(F.col("vote") != 0, (F.signum(F.col("vote").cast("double")) == F.signum("outcome")).cast("int"))).alias("asa"))
     six = lambda c, n: F.round(c + 1e-10, 6).alias(n)
     y = a.join(m, on="fold_id")
@@ -289,7 +292,119 @@ def issuer_share(spark: SparkSession, d: str) -> DataFrame:
 SHARE_SQL = with_(BARS) + """, g AS (SELECT issuer, CAST(sum(volume) AS BIGINT) AS total FROM bars WHERE volume IS NOT NULL GROUP BY issuer), p AS (SELECT *, round(100.0 * total / sum(total) OVER (), 1) AS percent FROM g)
 SELECT issuer, total, percent, CASE WHEN floor(percent) >= 10 THEN 'stable' WHEN floor(percent) >= 5 THEN 'frequent' WHEN floor(percent) > 0 THEN 'rare' ELSE 'never' END AS tier FROM p"""
 
+def class_strides(spark: SparkSession, d: str) -> DataFrame:
+    """Precision, recall and sign accuracy of each class, averaged over five interleaved samples, by ticker and fold."""
+    x = ev.class_strides(_in_folds(spark, d), ["ticker", "fold_id"], "date", actual="actual", predicted="vote", outcome="outcome")
+    return x.select("ticker", "fold_id", "label", *[F.round(F.col(c) + 1e-10, 6).alias(c) for c in ("precision", "recall", "sign_accuracy", "n_calls")])
+
+
+CLASS_STRIDES_SQL = FOLD_CALLS + """, o AS (SELECT *, (row_number() OVER (PARTITION BY ticker, fold_id ORDER BY date) - 1) % 5 AS off FROM fc), k AS (SELECT unnest([-1, 0, 1]) AS label),
+per AS (SELECT ticker, fold_id, off, label, avg(CASE WHEN vote = label THEN CAST(actual = label AS INT) END) AS precision, avg(CASE WHEN actual = label THEN CAST(vote = label AS INT) END) AS recall,
+  avg(CASE WHEN vote = label THEN CAST(sign(outcome) = label AS INT) END) AS sign_accuracy, count(*) FILTER (vote = label) AS n_calls FROM o, k GROUP BY ALL)
+SELECT ticker, fold_id, label, round(avg(precision) + 1e-10, 6) AS precision, round(avg(recall) + 1e-10, 6) AS recall, round(avg(sign_accuracy) + 1e-10, 6) AS sign_accuracy, round(avg(n_calls) + 1e-10, 6) AS n_calls FROM per GROUP BY ticker, fold_id, label"""
+
+
+def experiment_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The voters as experiments: means over folds of accuracy, shares, and the baselines of each fold, with the uplift over these."""
+    x = _in_folds(spark, d)
+    voters = F.array(*[F.struct(F.lit(v).alias("exp_id"), F.lit(k).alias("model_kind"), F.col(v).alias("call")) for v, k in (("v1", "momentum"), ("v2", "calendar"), ("v3", "calendar"), ("vote", "hard vote"), ("soft", "soft vote"))])
+    long = x.select("fold_id", "actual", "outcome", "momentum", F.inline(voters))
+    hit = lambda c, k: F.avg((F.col(c) == k).cast("int"))
+    right = (F.signum(F.col("call").cast("double")) == F.signum("outcome")).cast("int")
+    g = long.groupBy("exp_id", "model_kind", "fold_id").agg(
+        F.avg((F.col("call") == F.col("actual")).cast("int")).alias("accuracy"), F.avg(F.when(F.col("call") != 0, right)).alias("active_sign_acc"), F.avg((F.col("call") != 0).cast("int")).alias("active_coverage"),
+        *[hit("actual", c).alias(f"actual_{n}_share") for c, n in _NAMES], *[hit("call", c).alias(f"pred_{n}_share") for c, n in _NAMES],
+        F.avg((F.signum("momentum") == F.signum("outcome")).cast("int")).alias("momentum_accuracy"),
+    )
+    tr = in_ranges(_calls(spark, d), folds_rolling(spark, d), date="date", low="train_start", high="train_end")
+    maj = x.join(F.broadcast(ev.majority_class(tr, ["fold_id"], "actual")), on="fold_id").groupBy("fold_id").agg(F.avg((F.col("actual") == F.col("majority")).cast("int")).alias("majority_accuracy"))  # a row a fold
+    measures = ["accuracy", "active_sign_acc", "active_coverage", *[f"{k}_{n}_share" for k in ("actual", "pred") for _, n in _NAMES], "momentum_accuracy", "majority_accuracy"]
+    y = ev.experiment_summary(g.join(maj, on="fold_id"), ["exp_id", "model_kind"], measures)
+    return y.select("exp_id", "model_kind", *[F.round(F.col(c) + 1e-10, 6).alias(c) for c in y.columns[2:]])
+
+
+_MEASURES = ["accuracy", "active_sign_acc", "active_coverage", *[f"{k}_{n}_share" for k in ("actual", "pred") for _, n in _NAMES], "momentum_accuracy", "majority_accuracy"]
+EXPERIMENTS_SQL = FOLD_CALLS + """, t AS (SELECT fold_id, actual, count(*) AS n FROM calls JOIN folds ON date BETWEEN train_start AND train_end GROUP BY ALL),
+mm AS (SELECT fold_id, actual AS majority FROM t QUALIFY row_number() OVER (PARTITION BY fold_id ORDER BY n DESC, actual) = 1), ma AS (SELECT fc.fold_id, avg(CAST(actual = majority AS INT)) AS majority_accuracy FROM fc JOIN mm ON mm.fold_id = fc.fold_id GROUP BY fc.fold_id),
+l AS (""" + " UNION ALL ".join(f"SELECT '{v}' AS exp_id, '{k}' AS model_kind, fold_id, actual, outcome, momentum, {v} AS call FROM fc" for v, k in (("v1", "momentum"), ("v2", "calendar"), ("v3", "calendar"), ("vote", "hard vote"), ("soft", "soft vote"))) + """),
+g AS (SELECT exp_id, model_kind, fold_id, avg(CAST(call = actual AS INT)) AS accuracy, avg(CASE WHEN call <> 0 THEN CAST(sign(call) = sign(outcome) AS INT) END) AS active_sign_acc, avg(CAST(call <> 0 AS INT)) AS active_coverage, """ + ", ".join(
+    f"avg(CAST({c} = {k} AS INT)) AS {p}_{n}_share" for p, c in (("actual", "actual"), ("pred", "call")) for k, n in _NAMES
+) + """, avg(CAST(sign(momentum) = sign(outcome) AS INT)) AS momentum_accuracy FROM l GROUP BY ALL)
+SELECT exp_id, model_kind, """ + ", ".join(f"round(avg({m}) + 1e-10, 6) AS mean_{m}" for m in _MEASURES) + """, round(100 * (avg(accuracy) - avg(majority_accuracy)) + 1e-10, 6) AS uplift_vs_majority_pp, round(100 * (avg(accuracy) - avg(momentum_accuracy)) + 1e-10, 6) AS uplift_vs_momentum_pp
+FROM g JOIN ma USING (fold_id) GROUP BY exp_id, model_kind"""
+
+FEATURES = (
+    "td_return_1d", "td_return_5d", "td_return_20d", "td_volatility_20d", "td_dist_52w_high", "td_volume_change_1d", "fx_usdcad_level", "yield_10y_level", "vix_level", "transcript_ceo_prep_sentiment_mean_ffill",
+    "report_sentiment_mean_ffill", "framing_gap_ffill", "news_sent_mean_7d", "news_sent_mean_30d", "news_count_30d", "days_since_call",
+)
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix's features and forward return where they can be readings: what lies beyond 1000 is a stand-in or a fault."""
+    m = table(spark, d, "model_features_daily")
+    return m.select("row_id", F.year("date").alias("fold"), *[F.when(F.abs(F.col(c).cast("double")) < 1000, F.col(c).cast("double")).alias(c) for c in (*FEATURES, "td_return_5d_fwd")])
+
+
+def feature_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """How steadily each feature of the matrix goes with the forward return, over years."""
+    return _ranking_out(ev.stability(ev.correlation_scores(_scored(spark, d), ["fold"], FEATURES, "td_return_5d_fwd"), core=5))
+
+
+def _ranking_out(x: DataFrame) -> DataFrame:
+    six = [F.round(F.col(c) + 1e-10, 6).alias(c) for c in ("mean_norm", "median_norm", "mean_rank", "median_rank", "top10_share", "top20_share")]
+    return x.select("feature", *six, "fold_count", "stable_rank", "selected")
+
+
+_OK = lambda c: f"CASE WHEN abs(CAST({c} AS DOUBLE)) < 1000 THEN CAST({c} AS DOUBLE) END"
+_SCORED = f"m AS (SELECT row_id, CAST(year(date) AS INTEGER) AS fold, {', '.join(f'{_OK(c)} AS {c}' for c in (*FEATURES, 'td_return_5d_fwd'))} FROM model_features_daily)"
+_LONG = f"long AS (SELECT * FROM (SELECT * FROM m) UNPIVOT (v FOR feature IN ({', '.join(FEATURES)})))"
+_IC = "coalesce(abs(covar_pop(v, td_return_5d_fwd) / nullif(stddev_pop(v) FILTER (td_return_5d_fwd IS NOT NULL) * stddev_pop(td_return_5d_fwd), 0)), 0.0)"
+RANKING_SQL = STABILITY_SQL.replace(IMP, f"WITH {_SCORED}, {_LONG}, imp AS (SELECT fold, feature, {_IC} AS importance FROM long GROUP BY fold, feature) ").replace("stable_rank <= 15", "stable_rank <= 5")
+
+
+def bootstrap_vote(spark: SparkSession, d: str) -> DataFrame:
+    """In how many of 20 random splits of every year a feature is among the five that go best with the forward return, and which are selected by vote."""
+    from pyspark.sql import Window
+
+    x = ev.random_rounds(_scored(spark, d), ["row_id"], rounds=20).where("is_fit")
+    imp = ev.correlation_scores(x, ["fold", "round"], FEATURES, "td_return_5d_fwd")
+    imp = imp.withColumn("r", F.row_number().over(Window.partitionBy("fold", "round").orderBy(F.round("importance", 9).desc(), "feature")))
+    hits = imp.groupBy("feature").agg(F.sum((F.col("r") <= 5).cast("long")).alias("top_hits"), F.round(F.avg("importance"), 9).alias("importance"), F.countDistinct("fold", "round").alias("n"))
+    rounds = hits.agg(F.max("n").alias("rounds"))
+    y = hits.join(F.broadcast(rounds), on=F.lit(True))  # one row
+    y = y.withColumn("frequency", F.col("top_hits") / F.col("rounds"))
+    return ev.by_vote(y, most=8).select("feature", "top_hits", F.round("frequency", 6).alias("frequency"), "stable", "place", "selected")
+
+
+BOOTSTRAP_SQL = f"""WITH {_SCORED}, r AS (SELECT m.*, round FROM m, (SELECT unnest(range(1, 21)) AS round) WHERE ('0x' || substr(md5('42|' || round || '|' || row_id), 1, 8))::BIGINT < {int(0.7 * 2**32)}),
+long AS (SELECT * FROM r UNPIVOT (v FOR feature IN ({', '.join(FEATURES)}))), imp AS (SELECT fold, round, feature, {_IC} AS importance FROM long GROUP BY ALL),
+every AS (SELECT fold, round, f.feature, coalesce(importance, 0.0) AS importance FROM (SELECT DISTINCT fold, round FROM r) CROSS JOIN (SELECT unnest([{', '.join(f"'{f}'" for f in FEATURES)}]) AS feature) f LEFT JOIN imp USING (fold, round, feature)),
+k AS (SELECT *, row_number() OVER (PARTITION BY fold, round ORDER BY round(importance, 9) DESC, feature) AS r FROM every),
+h AS (SELECT feature, count(*) FILTER (r <= 5) AS top_hits, round(avg(importance), 9) AS importance, count(*) AS n FROM k GROUP BY feature), s AS (SELECT *, top_hits / CAST(max(n) OVER () AS DOUBLE) AS frequency FROM h),
+p AS (SELECT *, frequency >= 0.5 AS stable, row_number() OVER (ORDER BY frequency >= 0.5 DESC, frequency DESC, importance DESC, feature) AS place FROM s)
+SELECT feature, top_hits, round(frequency, 6) AS frequency, stable, place, place <= 8 AS selected FROM p"""
+
+
+def regime_signs(spark: SparkSession, d: str) -> DataFrame:
+    """Sign changes of the daily return over ten days, and its correlation with the day before's over twenty."""
+    b = bars(spark, d)
+    b = b.select("ticker", "date", TICKER.change("adj_close").alias("r"))
+    x = persistence(flips(b, TICKER, "r", 10), TICKER, "r", 20)
+    return x.select("ticker", "date", "flips", F.round(F.col("autocorrelation") + 1e-10, 6).alias("autocorrelation"))
+
+
+REGIME_SQL = with_(BARS, "r AS (SELECT ticker, date, adj_close / nullif(lag(adj_close) OVER w, 0) - 1 AS r FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date))",
+    "b AS (SELECT *, lag(r) OVER w AS b FROM r WINDOW w AS (PARTITION BY ticker ORDER BY date))", "t AS (SELECT *, CAST(sign(r) <> sign(b) AS INTEGER) AS turn FROM b)") + """
+SELECT ticker, date, CASE WHEN count(turn) OVER ten = 10 THEN CAST(sum(turn) OVER ten AS BIGINT) END AS flips,
+  round(CASE WHEN count(turn) OVER twenty = 20 THEN covar_pop(r, b) OVER twenty / nullif(stddev_pop(CASE WHEN b IS NOT NULL THEN r END) OVER twenty * stddev_pop(CASE WHEN r IS NOT NULL THEN b END) OVER twenty, 0) END + 1e-10, 6) AS autocorrelation
+FROM t WINDOW ten AS (PARTITION BY ticker ORDER BY date ROWS 9 PRECEDING), twenty AS (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING)"""
+
 QUERIES = {
+    "class_strides": class_strides,
+    "experiment_summary": experiment_summary,
+    "feature_ranking": feature_ranking,
+    "bootstrap_vote": bootstrap_vote,
+    "regime_signs": regime_signs,
     "sign_interval": sign_interval,
     "issuer_share": issuer_share,
     "folds_rolling": folds_rolling,
@@ -312,6 +427,11 @@ QUERIES = {
 }
 
 ORACLE = {
+    "class_strides": CLASS_STRIDES_SQL,
+    "experiment_summary": EXPERIMENTS_SQL,
+    "feature_ranking": RANKING_SQL,
+    "bootstrap_vote": BOOTSTRAP_SQL,
+    "regime_signs": REGIME_SQL,
     "sign_interval": INTERVAL_SQL,
     "issuer_share": SHARE_SQL,
     "folds_rolling": FOLDS + "SELECT * FROM folds",

@@ -13,6 +13,7 @@ from tidemark.operators.tables import feature_lineage, with_sentinel
 from tidemark.operators.trailing import trailing, windows_of_rows
 from tidemark.operators.asof import asof
 from tidemark.plans import market_queries as mq
+from tidemark.plans.evaluation_queries import FEATURES, feature_ranking
 from tidemark.plans.base import BARS, TICKER, annotations, bars, with_
 from tidemark.plans.narrative_queries import QNOTES, QUARTERLY_SQL, TOPICS, notes_with_quarter
 from tidemark.session import table
@@ -139,9 +140,9 @@ def event_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def matrix_lineage(spark: SparkSession, d: str) -> DataFrame:
-    """Of every feature of the matrix its family, source, construction, timing and missing values, with its place among the matrix's columns by stability of traded volume's importance, where it has one."""
+    """Of every feature of the matrix its family, source, construction, timing and missing values, and how steadily it goes with the forward return, where that was ranked."""
     names = [c for c in daily_matrix(spark, d).columns if c not in ("ticker", "issuer", "date", "td_return_5d_fwd")]
-    return feature_lineage(spark, [*names, *EVENTS], fixed=("td_return_5d", "td_volatility_20d", "days_since_call"))
+    return feature_lineage(spark, [*names, *EVENTS], fixed=("td_return_5d", "td_volatility_20d", "days_since_call"), reduced=FEATURES, ranking=feature_ranking(spark, d))
 
 
 # the same in SQL ------------------------------------------------------------------------------------------------

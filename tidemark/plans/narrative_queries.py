@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import content_key, quarter_of
 from tidemark.operators.narrative import agreement, conditional_means, counts_over, extreme_quotes, label_table, quarterly, shares_by_row, stratified
 from tidemark.operators.features import project_daily, with_changes
+from tidemark.operators.ranks import quantiles
 from tidemark.operators.rolling import Series
 from tidemark.plans.base import BARS, NOTES, annotations, bars, with_
 from tidemark.plans.market_queries import NEWS_SQL, news_windows
@@ -152,10 +153,10 @@ def score_summary(spark: SparkSession, d: str) -> DataFrame:
     """Mean, median, deviation, range and share of positive scores by source, and the number of tickers."""
     n = notes_with_quarter(spark, d)
     x = n.groupBy("source_type").agg(
-        F.count("*").alias("n"), F.countDistinct("ticker").alias("n_tickers"), F.avg("score").alias("mean"), F.median("score").alias("median"), F.stddev_samp("score").alias("sd"),
-        F.min("score").alias("low"), F.max("score").alias("high"), F.percentile("score", F.lit(0.8)).alias("p80"), F.avg((F.col("score") > 0).cast("int")).alias("positive"),
+        F.count("*").alias("n"), F.countDistinct("ticker").alias("n_tickers"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd"),
+        F.min("score").alias("low"), F.max("score").alias("high"), F.avg((F.col("score") > 0).cast("int")).alias("positive"),
     )
-    return _six(x)
+    return _six(x.join(quantiles(n, ["source_type"], "score", {"median": 0.5, "p80": 0.8}), on="source_type"))
 
 
 SUMMARY_SQL = with_(QNOTES) + """SELECT source_type, count(*) AS n, count(DISTINCT ticker) AS n_tickers, round(avg(score) + 1e-10, 6) AS mean, round(median(score) + 1e-10, 6) AS median, round(stddev_samp(score) + 1e-10, 6) AS sd,
