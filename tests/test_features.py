@@ -161,3 +161,65 @@ def test_scans_are_pruned(spark):
     for name in ("p1_found", "p2_found", "p3_found", "p4_found", "p5_found", "p6_found"):
         plan = entry.queries()[name](spark, entry.SMOKE)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan, name
+
+
+def test_attributions_are_shapley_values(spark):
+    import itertools
+    import random
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    r = random.Random(2)
+    rows = [(i, a := r.gauss(0, 1), b := r.gauss(0, 1), c := r.gauss(0, 1), (1 if a + b * c > 0.4 else -1 if a < -0.6 else 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, label int")
+    names = ["a", "b", "c"]
+    m = md.fit(df, names, "label", "forest", {"numTrees": 3, "maxDepth": 3})
+    paths = md.tree_paths(m)
+    x = np.array([row[1:4] for row in rows[:40]])
+    phi = md.attributions(x, paths)
+    prob = np.array([row["prob"] for row in md.predict(m, df.where("id < 40")).orderBy("id").collect()])
+    base = sum(v * np.prod([s for *_, s in way]) for v, way in paths)
+    assert np.allclose(phi.sum(1) + base, prob)
+
+    def worth(row, known):
+        return sum(v * np.prod([float(lo < row[f] <= hi) if f in known else s for f, lo, hi, s in way]) for v, way in paths)
+
+    for row, got in zip(x[:5], phi):
+        for j in range(3):
+            want = 0
+            for order in itertools.permutations(range(3)):
+                before = set(order[: order.index(j)])
+                want = want + (worth(row, before | {j}) - worth(row, before)) / 6
+            assert np.allclose(got[j], want)
+    imp = {(q["feature"], q["output"]): q["importance"] for q in md.attribution_importance(m, df.where(F.col("id") < 40), names).collect()}
+    assert imp["a", 1] == pytest.approx(np.abs(phi[:, 0, 2]).mean()) and len(imp) == 9
+
+
+def test_places_ranks_and_quantiles_in_parts(spark):
+    import random
+
+    import numpy as np
+    from pyspark.sql import functions as F
+    from tidemark.operators.ranks import placed, quantiles, ranked
+
+    r = random.Random(4)
+    rows = [(i, r.choice(["a", "a", "b", None]), r.choice([None, float("nan"), 1.0, 2.0, 2.0, r.gauss(0, 3), float(r.randint(0, 9))])) for i in range(600)] + [(600 + i, "hot", 5.0) for i in range(50)] + [(700, "none", None)]
+    df = spark.createDataFrame(rows, "id long, k string, v double")
+    for cuts in (1, 7, 64):
+        got = {x["k"]: (x["m"], x["p"]) for x in quantiles(df, ["k"], "v", {"m": 0.5, "p": 0.83}, cuts=cuts).collect()}
+        for k in ("a", "b", None, "hot"):
+            v = [x[2] for x in rows if x[1] == k and x[2] is not None and x[2] == x[2]]
+            assert got[k] == pytest.approx((np.quantile(v, 0.5), np.quantile(v, 0.83)))
+        assert "none" not in got
+        some = df.where("v is not null and not isnan(v)")
+        w = {x["id"]: x["r"] for x in ranked(some, ["k"], "v", "r", cuts=cuts).collect()}
+        for i, k, v in rows:
+            if i in w:
+                same = [x[2] for x in rows if x[0] in w and x[1] == k]
+                assert w[i] == sum(y < v for y in same) + (sum(y == v for y in same) + 1) / 2
+        p = placed(df, ["k"], F.col("id") % 13, "v", ["id"], cuts=cuts).collect()
+        for k in ("a", "hot"):
+            mine = sorted((x for x in p if x["k"] == k), key=lambda x: x["v"])
+            assert [x["v"] for x in mine] == list(range(1, len(mine) + 1)) and [x["id"] for x in mine] == [i for _, i in sorted((x["id"] % 13, x["id"]) for x in mine)]
+    assert quantiles(df.where("false"), ["k"], "v", {"m": 0.5}).count() == 0

@@ -278,7 +278,7 @@ def fixed_folds(spark, folds: Sequence[tuple[str, str, str, str]]) -> DataFrame:
     return x.select("fold_id", *[F.col(c).cast("date").alias(c) for c in ("train_end", "test_start", "test_end")])
 
 
-def offset_interval(df: DataFrame, by: Sequence[str], order: Column, ties: Sequence[str] = (), *, predicted: str, outcome: str, stride: int = 5, t: float = 2.776) -> DataFrame:
+def offset_interval(df: DataFrame, by: Sequence[str], order: Column | str, ties: Sequence[str] = (), *, predicted: str, outcome: str, stride: int = 5, t: float = 2.776) -> DataFrame:
     """Mean over ``stride`` interleaved samples of the share of right signs among nonzero outcomes, with its 95 % interval (t of stride - 1 degrees); order is a number."""
     d = df.where(F.col(predicted).isNotNull() & F.col(outcome).isNotNull())
     d = placed(d, by, order, "__o", ties).withColumn("__o", F.pmod(F.col("__o") - 1, F.lit(stride)))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
+
+import numpy as np
+import pandas as pd
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
@@ -11,6 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+
+from tidemark.operators.ranks import quantiles
 from tidemark.sources.files import read_document, write_document
 
 P = "__md_"
@@ -19,11 +25,13 @@ P = "__md_"
 def imputed(train: DataFrame, *others: DataFrame, features: Sequence[str]) -> list[DataFrame]:
     """The frames with missing features (NULL or NaN) put to the training frame's exact medians, 0 where it has none.
 
-    The medians, one number a feature, are fetched once and written into the plans.
+    The medians, one number a feature, are fetched once and written into the
+    plans; no task holds all values of a feature.
     """
     v = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-    m = train.agg(*[F.median(v(c)).alias(c) for c in features]).first()
-    fill = {c: F.coalesce(v(c), F.lit(float(m[c]) if m[c] is not None else 0.0)) for c in features}
+    long = train.select(F.inline(F.array(*[F.struct(F.lit(c).alias("f"), v(c).alias("v")) for c in features])))
+    m = {r["f"]: r["m"] for r in quantiles(long, ["f"], "v", {"m": 0.5}).collect()}
+    fill = {c: F.coalesce(v(c), F.lit(float(m.get(c) or 0.0))) for c in features}
     return [x.withColumns(fill) for x in (train, *others)]
 
 
@@ -76,13 +84,86 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 
 def importances(model: PipelineModel, features: Sequence[str]) -> list[tuple[str, float]]:
-    """Share of each feature in the reduction of impurity, of a tree ensemble; a stand-in for attributions by game theory, which MLlib hasn't."""
+    """Share of each feature in the reduction of impurity, of a tree ensemble."""
     last = model.stages[-1]
     trees = last.models if hasattr(last, "models") else [last]
     total = sum((t.featureImportances.toArray() for t in trees)) / len(trees)
     return sorted(zip(features, map(float, total)), key=lambda p: (-p[1], p[0]))
 
 
+def _paths(node, held: dict[int, tuple[float, float, float]], value, out: list) -> None:  # noqa: ANN001
+    """All leaves under a node: its value and, for every feature asked on the way, the interval that leads there and the share of training rows that went that way."""
+    if node.getClass().getSimpleName() == "LeafNode":
+        out.append((value(node), [(f, *x) for f, x in sorted(held.items())]))
+        return
+    f, cut, whole = node.split().featureIndex(), node.split().threshold(), float(node.impurityStats().count())
+    low, high, share = held.get(f, (-np.inf, np.inf, 1.0))
+    for child, a, z in ((node.leftChild(), low, min(high, cut)), (node.rightChild(), max(low, cut), high)):
+        _paths(child, held | {f: (a, z, share * float(child.impurityStats().count()) / whole)}, value, out)
+
+
+def tree_paths(model: PipelineModel) -> list[tuple[np.ndarray, list[tuple[int, float, float, float]]]]:
+    """The leaves of a forest of continuous features, weighted as the forest does: class shares of a classifier, the outcome of a regression."""
+    last = model.stages[-1]
+    weights = np.asarray(last.treeWeights, dtype=float)
+    if "Regression" in type(last).__name__:
+        value = lambda n: np.array([float(n.prediction())])
+    else:
+        value = lambda n: np.asarray(list(n.impurityStats().stats()), dtype=float) / max(float(n.impurityStats().count()), 1e-300)
+    out: list = []
+    scale = weights if type(last).__name__.startswith("GBT") else weights / weights.sum()
+    for t, w in zip(last.trees, scale):
+        mine: list = []
+        _paths(t._java_obj.rootNode(), {}, value, mine)
+        out += [(w * v, way) for v, way in mine]
+    return out
+
+
+def attributions(x: np.ndarray, paths: Sequence[tuple[np.ndarray, list[tuple[int, float, float, float]]]]) -> np.ndarray:
+    """Shapley values (rows, features, outputs) of the forest with these leaves, a feature that is left out going either way by the shares of training rows.
+
+    A leaf is a product over the features asked on its way, of 1 or 0 for those
+    that are known and of a share for the others; its Shapley values are sums
+    over the subsets of these few features. Over all features they add up to the
+    forest's output less its mean.
+    """
+    phi = np.zeros((*x.shape, len(paths[0][0]) if paths else 0))
+    for value, way in paths:
+        d = len(way)
+        share = [r for *_, r in way]
+        inside = [((x[:, f] > a) & (x[:, f] <= z)).astype(float) for f, a, z, _ in way]
+        for j in range(d):
+            rest = [i for i in range(d) if i != j]
+            total = np.zeros(len(x))
+            for subset in range(1 << len(rest)):
+                known = [i for k, i in enumerate(rest) if subset >> k & 1]
+                weight = math.factorial(len(known)) * math.factorial(d - len(known) - 1) / math.factorial(d)
+                term = np.full(len(x), weight * math.prod(share[i] for i in rest if i not in known))
+                for i in known:
+                    term *= inside[i]
+                total += term
+            phi[:, way[j][0]] += (total * (inside[j] - share[j]))[:, None] * value
+    return phi
+
+
+def attribution_importance(model: PipelineModel, rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """feature, output (class -1, 0, 1; 0 for a regression), importance: the mean absolute Shapley value over the rows.
+
+    The leaves, bounded by the forest's size, go with the plan; every batch is
+    summed where it is, so that a row a batch, feature and output is shuffled.
+    """
+    paths, names = tree_paths(model), list(features)
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            phi = np.abs(attributions(f[names].to_numpy(dtype=float), paths)).sum(0)
+            k = phi.shape[1]
+            yield pd.DataFrame({"feature": np.repeat(names, k), "output": np.tile(np.arange(k) - (k > 1), len(names)), "total": phi.ravel(), "n": len(f)})
+
+    x = rows.select(*[F.col(c).cast("double").alias(c) for c in names]).mapInPandas(sums, "feature string, output long, total double, n long")
+    return x.groupBy("feature", F.col("output").cast("int").alias("output")).agg(F.try_divide(F.sum("total"), F.sum("n")).alias("importance"))
+
+
 def permutation_importance(model: PipelineModel, rows: DataFrame, features: Sequence[str], label: str, row_id: str) -> list[tuple[str, float]]:
     """How much accuracy falls when a feature's values are dealt to other rows: those of the row next by a hash.
 

@@ -43,12 +43,13 @@ def _clean(d: DataFrame) -> DataFrame:
     return d.drop(*[c for c in d.columns if c.startswith(P)])
 
 
-def placed(df: DataFrame, by: Sequence[str], order: Column, name: str, ties: Sequence[str] = (), cuts: int = 64) -> DataFrame:
+def placed(df: DataFrame, by: Sequence[str], order: Column | str, name: str, ties: Sequence[str] = (), cuts: int = 64) -> DataFrame:
     """``df`` with the row's place (from 1) in its group by ``order``, a number, then ``ties``; rows that tie in both come in any order.
 
     Scale: a group is sorted in parts of about a ``cuts``-th of it; rows of one
     order value stay together. NULL orders come first, NULL groups are groups.
     """
+    order = F.col(order) if isinstance(order, str) else order
     d, n = _cut(df.drop(name), by, order.cast("double"), cuts)
     x = _with_parts(d, n)
     ks = [c for c in d.columns if c.startswith(f"{P}k")]

@@ -26,8 +26,8 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "model_features_daily").select("row_id", "ticker", "date", "load_id", *ALL, "td_return_5d_fwd")
     m = latest_row(m, ["ticker", "date"], ["load_id", "row_id"])
     m = without_sentinel(m, [*ALL, "td_return_5d_fwd"])
-    m = m.withColumns({c: F.when(F.abs(c) < 1e6, F.col(c)) for c in [*ALL, "td_return_5d_fwd"]})
-    return m.where("td_return_5d_fwd between -1 and 1").withColumn("label", band(F.col("td_return_5d_fwd"), 0.01))
+    m = m.withColumns({c: F.when(F.abs(c) < float("inf"), F.col(c)) for c in [*ALL, "td_return_5d_fwd"]})
+    return m.where("td_return_5d_fwd > -1").withColumn("label", band(F.col("td_return_5d_fwd"), 0.01))
 
 
 def _split(spark: SparkSession, d: str, share: float = 0.8, gap_days: int = 7) -> tuple[DataFrame, DataFrame]:
@@ -42,7 +42,6 @@ def model_ensemble(spark: SparkSession, d: str) -> DataFrame:
     """A model per block, their hard and soft vote, each with its metrics."""
     train, test = _split(spark, d)
     train, test = md.imputed(train, test, features=ALL)
-    train, test = train.cache(), test.cache()
     joined = test.select("row_id", "ticker", "date", "label", "td_return_5d_fwd")
     kinds = {"price": "forest", "transcript": "logistic", "news": "forest"}
     for name, features in BLOCKS.items():
@@ -92,19 +91,27 @@ def model_importances(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "model string, feature string, importance double")
 
 
-def model_grid(spark: SparkSession, d: str) -> DataFrame:
-    """A small grid of forests, scored by sign accuracy and macro F1 on the later part of the rows."""
+def model_shap(spark: SparkSession, d: str) -> DataFrame:
+    """Mean absolute Shapley value of every feature for every class of a forest, over the test rows."""
     train, test = md.imputed(*_split(spark, d), features=ALL)
+    return md.attribution_importance(md.fit(train, ALL, "label", "forest", {"numTrees": 20, "maxDepth": 4}), test, ALL)
+
+
+def model_grid(spark: SparkSession, d: str) -> DataFrame:
+    """A small grid of forests, scored by sign accuracy and macro F1 over the middle folds of a walk forward."""
+    r = _rows(spark, d)
+    folds = ev.tuning_folds(ev.walk_forward(r, "date", train=120, test=40, gap=5)).orderBy("fold_id").collect()  # a row a fold
 
-    def score(c: dict, rows: tuple[DataFrame, DataFrame]) -> tuple[float, float] | None:
-        p = md.predict(md.fit(rows[0], ALL, "label", "forest", c), rows[1])
-        g = ev.stride_metrics(p.withColumn("all", F.lit(1)), ["all"], "row_id", actual="label", predicted="prediction", outcome="td_return_5d_fwd").first()
-        return None if g is None or g["sign_accuracy"] is None else (g["sign_accuracy"], g["macro_f1"])
+    def score(c: dict, f) -> tuple[float, float] | None:  # noqa: ANN001
+        train, test = md.imputed(r.where(F.col("date").between(f["train_start"], f["train_end"])), r.where(F.col("date").between(f["test_start"], f["test_end"])), features=ALL)
+        p = md.predict(md.fit(train, ALL, "label", "forest", c), test)
+        g = ev.stride_metrics(p, ["ticker"], "date", actual="label", predicted="prediction", outcome="td_return_5d_fwd").agg(F.avg("sign_accuracy").alias("sign_accuracy"), F.avg("macro_f1").alias("macro_f1")).first()
+        return None if g["sign_accuracy"] is None else (g["sign_accuracy"], g["macro_f1"])
 
     grid = [{"numTrees": n, "maxDepth": k} for n in (5, 15) for k in (2, 4)]
-    rows = [(i + 1, c["numTrees"], c["maxDepth"], float(s)) for i, (s, c) in enumerate(ev.grid_search(grid, [(train, test)], score))]
-    return spark.createDataFrame(rows, "place int, trees int, depth int, score double")
+    rows = [(i + 1, c["numTrees"], c["maxDepth"], float(s), len(folds)) for i, (s, c) in enumerate(ev.grid_search(grid, folds, score))]
+    return spark.createDataFrame(rows, "place int, trees int, depth int, score double, folds int")
 
 
-QUERIES = {"model_grid": model_grid, "model_ensemble": model_ensemble, "model_regression": model_regression, "model_calibration": model_calibration, "model_importances": model_importances}
+QUERIES = {"model_grid": model_grid, "model_shap": model_shap, "model_ensemble": model_ensemble, "model_regression": model_regression, "model_calibration": model_calibration, "model_importances": model_importances}
 ORACLE: dict[str, str] = {}
