@@ -41,20 +41,20 @@ def asof(spine: DataFrame, facts: DataFrame, *, entity: Sequence[str], date: str
     ks = [f"{P}k{i}" for i in range(len(entity))]
     keys = [F.col(c).alias(k) for c, k in zip(entity, ks)]
     day = lambda c: F.unix_date(F.col(c).cast("date")).alias(f"{P}d")
-    f = facts.where(F.col(fact_date).isNotNull()).select(*keys, day(fact_date), *[F.col(c).alias(a) for c, a in zip(columns, n)])
-    order = Window.partitionBy(*ks).orderBy(f"{P}d", *n)
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    f = f.select(*ks, f"{P}d", *[F.last(c, ignorenulls=True).over(so_far).alias(c) for c in n], F.lead(f"{P}d").over(order).alias(f"{P}next"))
+    # as text: a call to the driver's JVM for each column, not for each part of it
+    f = facts.where(F.col(fact_date).isNotNull()).selectExpr(*[f"`{c}` AS `{k}`" for c, k in zip(entity, ks)], f"unix_date(CAST(`{fact_date}` AS DATE)) AS `{P}d`", *[f"`{c}` AS `{a}`" for c, a in zip(columns, n)])
+    order = (f"PARTITION BY {', '.join(ks)} " if ks else "") + f"ORDER BY {', '.join([f'{P}d', *n])}"
+    f = f.selectExpr(*ks, f"{P}d", *[f"last({c}, true) OVER ({order} ROWS UNBOUNDED PRECEDING) AS {c}" for c in n], f"lead({P}d) OVER ({order}) AS {P}next")
     f = f.where(~F.col(f"{P}d").eqNullSafe(F.col(f"{P}next"))).select(*ks, f"{P}d", F.lit(0).alias(f"{P}o"), F.struct(F.col(f"{P}d").alias("at"), *n).alias(f"{P}v"))
     s = spine.select(*keys, day(date)).where(F.col(f"{P}d").isNotNull()).distinct().withColumn(f"{P}o", F.lit(1))
     line = f.unionByName(s, allowMissingColumns=True)
     w = Window.partitionBy(*ks).orderBy(f"{P}d", f"{P}o").rowsBetween(Window.unboundedPreceding, 0)
     x = line.select(*ks, f"{P}d", f"{P}o", F.last(f"{P}v", ignorenulls=True).over(w).alias(f"{P}v")).where(F.col(f"{P}o") == 1)
     on = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(entity, ks)] + [F.unix_date(F.col(date).cast("date")) == F.col(f"{P}d")]
-    cols = [F.col(f"{P}v.{a}").alias(c) for a, c in zip(n, columns)]
+    cols = [f"{P}v.{a} AS `{c}`" for a, c in zip(n, columns)]
     if distance:
-        cols.append((F.col(f"{P}d") - F.col(f"{P}v.at")).alias(distance))
-    return spine.select(*out).join(x, on=on, how="left").select(*[F.col(c) for c in out], *cols)
+        cols.append(f"{P}d - {P}v.at AS `{distance}`")
+    return spine.select(*out).join(x, on=on, how="left").selectExpr(*[f"`{c}`" for c in out], *cols)
 
 
 def with_intervals(starts: DataFrame, *, entity: Sequence[str], start: str, end: str = "end_date") -> DataFrame:

@@ -14,7 +14,12 @@ from tidemark.operators.rolling import Series
 
 def with_changes(quarters: DataFrame, s: Series, columns: Sequence[str], memory: int = 4) -> DataFrame:
     """Each column's difference from the quarter before (_delta) and from the mean of up to ``memory`` quarters before (_surprise)."""
-    return quarters.select("*", *[s.diff(c).alias(f"{c}_delta") for c in columns], *[(F.col(c) - s.mean_before(c, memory)).alias(f"{c}_surprise") for c in columns])
+    by = f"PARTITION BY {', '.join(s.entity)} " if s.entity else ""
+    over = f"{by}ORDER BY {', '.join(s.order)}"
+    # as text: a call to the driver's JVM for each column, not for each part of it
+    deltas = [f"`{c}` - lag(`{c}`) OVER ({over}) AS `{c}_delta`" for c in columns]
+    surprises = [f"`{c}` - avg(`{c}`) OVER ({over} ROWS BETWEEN {memory} PRECEDING AND 1 PRECEDING) AS `{c}_surprise`" for c in columns]
+    return quarters.selectExpr("*", *deltas, *surprises)
 
 
 def project_daily(spine: DataFrame, quarters: DataFrame, *, entity: Sequence[str], date: str, known: str, columns: Sequence[str]) -> DataFrame:

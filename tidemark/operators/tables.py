@@ -33,7 +33,8 @@ def without_sentinel(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def with_sentinel(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """NULL made -9999."""
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(SENTINEL).cast(df.schema[c].dataType)) for c in columns})
+    these = set(columns)
+    return df.selectExpr(*[f"coalesce(`{c}`, CAST({SENTINEL} AS {t})) AS `{c}`" if c in these else f"`{c}`" for c, t in df.dtypes])
 
 
 def grid(spark, parameters: Mapping[str, Sequence[object]]) -> DataFrame:  # noqa: ANN001

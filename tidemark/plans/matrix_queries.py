@@ -107,7 +107,7 @@ def _matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _six(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(F.col(c) + 1e-10, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.selectExpr(*[f"round(`{c}` + 1e-10D, 6) AS `{c}`" if t == "double" else f"`{c}`" for c, t in df.dtypes])
 
 
 def daily_matrix(spark: SparkSession, d: str) -> DataFrame:

@@ -29,7 +29,7 @@ QNOTES = NOTES + f", qnotes AS (SELECT * REPLACE (coalesce({_Q.format('quarter')
 
 
 def _six(df: DataFrame, *keys: str) -> DataFrame:
-    return df.select(*[F.round(F.col(c) + 1e-10, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.selectExpr(*[f"round(`{c}` + 1e-10D, 6) AS `{c}`" if t == "double" else f"`{c}`" for c, t in df.dtypes])
 
 
 def quarterly_nlp(spark: SparkSession, d: str) -> DataFrame:
