@@ -347,7 +347,8 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 
 def feature_ranking(spark: SparkSession, d: str) -> DataFrame:
     """How steadily each feature of the matrix goes with the forward return, over years."""
-    return _ranking_out(ev.stability(ev.correlation_scores(_scored(spark, d), ["fold"], FEATURES, "td_return_5d_fwd"), core=5))
+    scores = ev.correlation_scores(_scored(spark, d), ["fold"], FEATURES, "td_return_5d_fwd")
+    return _ranking_out(ev.stability(scores.withColumn("importance", F.round("importance", 9)), core=5))  # so that features that go alike tie
 
 
 def _ranking_out(x: DataFrame) -> DataFrame:
@@ -359,7 +360,9 @@ _OK = lambda c: f"CASE WHEN abs(CAST({c} AS DOUBLE)) < 1000 THEN CAST({c} AS DOU
 _SCORED = f"m AS (SELECT row_id, CAST(year(date) AS INTEGER) AS fold, {', '.join(f'{_OK(c)} AS {c}' for c in (*FEATURES, 'td_return_5d_fwd'))} FROM model_features_daily)"
 _LONG = f"long AS (SELECT * FROM (SELECT * FROM m) UNPIVOT (v FOR feature IN ({', '.join(FEATURES)})))"
 _IC = "coalesce(abs(covar_pop(v, td_return_5d_fwd) / nullif(stddev_pop(v) FILTER (td_return_5d_fwd IS NOT NULL) * stddev_pop(td_return_5d_fwd), 0)), 0.0)"
-RANKING_SQL = STABILITY_SQL.replace(IMP, f"WITH {_SCORED}, {_LONG}, imp AS (SELECT fold, feature, {_IC} AS importance FROM long GROUP BY fold, feature) ").replace("stable_rank <= 15", "stable_rank <= 5")
+_EVERY = "(SELECT unnest([" + ", ".join(f"'{f}'" for f in FEATURES) + "]) AS feature)"
+RANKING_SQL = STABILITY_SQL.replace(IMP, f"""WITH {_SCORED}, {_LONG}, had AS (SELECT fold, feature, {_IC} AS importance FROM long GROUP BY fold, feature),
+imp AS (SELECT fold, f.feature, round(coalesce(importance, 0.0), 9) AS importance FROM (SELECT DISTINCT fold FROM m) CROSS JOIN {_EVERY} f LEFT JOIN had USING (fold, feature)) """).replace("stable_rank <= 15", "stable_rank <= 5")
 
 
 def bootstrap_vote(spark: SparkSession, d: str) -> DataFrame:
