@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -76,9 +77,9 @@ def leaks(
     and the last one's end (NULL in the rare text whose parts fold otherwise
     than the whole).
 
-    Scale: documents stay where they are read; no shuffle. Items go to the
-    tasks in blocks of up to ``block_chars``, one scan of the documents for
-    each: a set of test items is one block.
+    Scale: documents stay where they are read; no shuffle. Items are broadcast
+    in blocks of up to ``block_chars``, one scan of the documents for each: a
+    set of test items is one block. A worker builds a block's automaton once.
 
     Nulls: NULL and empty texts, and items of fewer words, have no match.
     Repeated items match each under its own id, repeated documents too.
@@ -94,13 +95,14 @@ def leaks(
     return out
 
 
-def _scan(docs: DataFrame, items: list[tuple[object, str]], doc_id: str, text: str, item_kind: str, least: int) -> DataFrame:
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, item_id {item_kind}, n_words int, char_start int, char_end int"
+_BUILT: dict[str, object] = {}
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
 
+def automaton(of: str, items: list[tuple[object, str]], least: int):  # noqa: ANN201
+    """The automaton of all runs of ``least`` words of the items, None without any; a worker process keeps the last one it built, by the items' digest ``of``."""
+    import ahocorasick
+
+    if of not in _BUILT:
         patterns: dict[str, list[tuple[object, int]]] = {}
         for i, t in items:
             w = words(t)
@@ -111,9 +113,23 @@ def _scan(docs: DataFrame, items: list[tuple[object, str]], doc_id: str, text: s
             auto.add_word(p, held)
         if patterns:
             auto.make_automaton()
+        _BUILT.clear()
+        _BUILT[of] = auto if patterns else None
+    return _BUILT[of]
+
+
+def _scan(docs: DataFrame, items: list[tuple[object, str]], doc_id: str, text: str, item_kind: str, least: int) -> DataFrame:
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, item_id {item_kind}, n_words int, char_start int, char_end int"
+
+    sent = d.sparkSession.sparkContext.broadcast(items)  # of block_chars at most
+    of = hashlib.md5(repr((least, items)).encode("utf-8", "surrogatepass")).hexdigest()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = automaton(of, sent.value, least)
         for batch in batches:
             rows: dict[str, list] = {"n": [], "item_id": [], "n_words": [], "char_start": [], "char_end": []}
-            for n, t in enumerate(batch.column(1).to_pylist() if patterns else ()):
+            for n, t in enumerate(batch.column(1).to_pylist() if auto is not None else ()):
                 if not t:
                     continue
                 w = words(t)
