@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemark.llm.spans import chunk_keys, keys_of, parts_of_documents, shared_parts, shared_share, shared_spans, sharing_documents
+from tidemark.llm.spans import chunk_keys, keys_of, parts_of_documents, recurring_parts, shared_parts, shared_share, shared_spans, sharing_documents
 
 LEAST = 80
 
@@ -66,6 +66,8 @@ def test_crowds_give_the_same_pairs(spark, seed):
         assert crowd == 0 or parts == last
         last = parts
     assert got[0] == got[3] == got[10**6] == brute(texts)
+    alone, members = recurring_parts(frame(spark, texts), least=LEAST)
+    assert {tuple(x) for x in parts_of_documents(alone, members).select("doc_id", "char_start", "char_end").collect()} == last
 
 
 def test_runs_of_one_character_and_periods(spark):
@@ -94,6 +96,18 @@ def test_parts_merge_overlaps(spark):
     spans, members = shared_spans(frame(spark, texts), least=LEAST)
     parts = parts_of_documents(shared_parts(spans, members), members)
     assert {(p["char_start"], p["char_end"]) for p in parts.where("doc_id = 0").collect()} == {(0, 260), (300, 400)}
+    alone = parts_of_documents(*recurring_parts(frame(spark, texts), least=LEAST))
+    assert {tuple(x) for x in alone.collect()} == {tuple(x) for x in parts.collect()}
+
+
+def test_one_passage_in_every_text(spark):
+    r = random.Random(8)
+    passage = "".join(r.choice("abcdefgh") for _ in range(120))
+    texts = ["".join(r.choice("abcdefgh") for _ in range(r.randint(0, 60))) + passage + "".join(r.choice("ijkl") for _ in range(30)) for _ in range(60)]
+    parts = parts_of_documents(*recurring_parts(frame(spark, texts), least=LEAST)).collect()
+    assert len(parts) == 60 and all(texts[p["doc_id"]][p["char_start"] : p["char_end"]].find(passage) >= 0 for p in parts)
+    empty, members = recurring_parts(frame(spark, []), least=LEAST)
+    assert empty.count() == 0 and members.count() == 0
 
 
 def test_empty_table(spark):

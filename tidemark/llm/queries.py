@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.leakage import leaks
 from tidemark.llm.packing import pack, public_vocabulary
-from tidemark.llm.spans import parts_of_documents, shared_parts, shared_share, shared_spans, sharing_documents
+from tidemark.llm.spans import parts_of_documents, recurring_parts, shared_share, shared_spans, sharing_documents
 from tidemark.session import table
 
 
@@ -50,14 +50,14 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_parts(spark: SparkSession, d: str) -> DataFrame:
     """The stretches of each document that recur in others."""
-    spans, members = shared_spans(table(spark, d, "documents"))
-    return parts_of_documents(shared_parts(spans, members), members)
+    parts, members = recurring_parts(table(spark, d, "documents"))
+    return parts_of_documents(parts, members)
 
 
 def p9_share(spark: SparkSession, d: str) -> DataFrame:
     """For each document, how much of its text is found in others."""
     docs = table(spark, d, "documents")
-    return shared_share(shared_parts(*shared_spans(docs)), docs)
+    return shared_share(recurring_parts(docs)[0], docs)
 
 
 QUERIES = {"p7_packed": p7_packed, "p7_placed": p7_placed, "p7_room": p7_room, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_parts": p9_parts, "p9_share": p9_share}

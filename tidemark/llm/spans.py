@@ -16,6 +16,8 @@ from tidemark.session import cut
 GEAR = 32
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
+_BASE2 = np.uint64(0xC2B2AE3D27D4EB4F)
+_INVERSE2 = np.uint64(pow(int(_BASE2), -1, 2**64))
 
 
 def _gear(code: np.ndarray) -> np.ndarray:
@@ -52,14 +54,14 @@ def _window_minima(h: np.ndarray, w: int) -> np.ndarray:
     return top[:n] == h
 
 
-def _digests(codes: np.ndarray):  # noqa: ANN202
+def _digests(codes: np.ndarray, base: np.uint64 = _BASE, inverse: np.uint64 = _INVERSE):  # noqa: ANN202
     """A function that digests codes[a:b] for arrays a, b: polynomials modulo 2^64, from sums along the text."""
     n = len(codes)
     powers = np.ones(n + 1, dtype=np.uint64)
-    powers[1:] = _BASE
+    powers[1:] = base
     powers = np.cumprod(powers, dtype=np.uint64)
     down = np.ones(n + 1, dtype=np.uint64)
-    down[1:] = _INVERSE
+    down[1:] = inverse
     down = np.cumprod(down, dtype=np.uint64)
     sums = np.zeros(n + 1, dtype=np.uint64)
     sums[1:] = np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers[:-1], dtype=np.uint64)
@@ -103,27 +105,34 @@ def _meet(rows: DataFrame) -> DataFrame:
     return a.join(b, on="key").where("text_a < text_b").select("text_a", "text_b", "at_a", "at_b")
 
 
-def _telling(crowded: DataFrame, least: int, w: int) -> DataFrame:
-    """(text, key, at) of whole stretches of ``least`` characters around the cuts of (text, ats, body), as few as tell the pairs.
-
-    Of the stretches that lie around a cut as the first one after their
-    beginning, each is hashed as a whole: texts that don't share one never
-    meet. One that the same texts have as the stretch a character before tells
-    nothing new and is left out, unless some text has it as its first.
-    """
+def _stretches(cuts: DataFrame, least: int, w: int) -> DataFrame:
+    """text, key, key2, at of every stretch of ``least`` characters of (text, ats, body) that has one of the cuts ``ats`` in its beginning."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, at, key = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            rows, at, key, key2 = ([np.empty(0, np.int64)] for _ in range(4))
             for i, (ats, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
                 near = np.unique(np.asarray(ats, dtype=np.int64)[:, None] - GEAR + 1 - np.arange(w)[None, :])
                 near = near[(near >= 0) & (near + least <= len(codes))]
                 rows.append(np.full(len(near), i)), at.append(near), key.append(_digests(codes)(near, near + least).view(np.int64))
+                key2.append(_digests(codes, _BASE2, _INVERSE2)(near, near + least).view(np.int64))
             of = batch.column(0).take(pa.array(np.concatenate(rows)))
-            yield pa.RecordBatch.from_arrays([of, pa.array(np.concatenate(key)), pa.array(np.concatenate(at).astype(np.int32))], names=["text", "key", "at"])
+            yield pa.RecordBatch.from_arrays([of, *[pa.array(np.concatenate(k)) for k in (key, key2)], pa.array(np.concatenate(at).astype(np.int32))], names=["text", "key", "key2", "at"])
+
+    return cuts.select("text", "ats", "body").mapInArrow(hashes, "text binary, key long, key2 long, at int")
+
+
+def _telling(crowded: DataFrame, least: int, w: int) -> DataFrame:
+    """(text, key, at) of whole stretches of ``least`` characters around the cuts of (text, ats, body), as few as tell the pairs.
 
-    x = crowded.select("text", "ats", "body").mapInArrow(hashes, "text binary, key long, at int")
+    Of the stretches that lie around a cut as the first one after their
+    beginning, each is hashed as a whole: texts that don't share one never
+    meet. One that the same texts have as the stretch a character before tells
+    nothing new and is left out, unless some text has it as its first.
+    """
+
+    x = _stretches(crowded, least, w).drop("key2")
     h = F.xxhash64("text")
     who = x.groupBy("key").agg(F.count("*").alias("n"), F.sum(h.cast("double")).alias("s"), F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo < hi")
     who = who.select("key", F.xxhash64("n", "s", "lo", "hi").alias("who"))
@@ -150,31 +159,8 @@ def keys_of(codes: np.ndarray, w: int, chunk: int, reach: int, segment: int = 1
     return np.concatenate(at), np.concatenate(key)
 
 
-def shared_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = 400, crowd: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Stretches of at least ``least`` characters (code points) that different texts share, and which documents have which text.
-
-    The first table, spans, has text_a < text_b (digests), start_a, start_b and
-    length, for every pair of texts and every alignment found the whole of the
-    matching stretch. The second, members, has text, doc_id, n_chars for every
-    document of at least ``least`` characters: copies of one text are one text.
-
-    Cuts are placed by a gear rolling hash alone, so that they move with the
-    text when something is inserted before it: any two stretches of ``least``
-    equal characters have a cut in common whose digest lies wholly within them.
-    Texts that share a digest are compared character by character; so nothing
-    depends on a digest's being unique.
-
-    Scale: one row per cut (two in w + 1 characters) is shuffled by digest, and
-    those that only one text has are dropped there, counts combined before the
-    shuffle. Copies meet as one text, never in pairs. A pair of texts is
-    compared once for each alignment, not for each digest. A digest that more
-    than ``crowd`` texts have forms no pairs: around it whole stretches of
-    ``least`` characters are hashed, so that of a crowd only those texts meet
-    that share one. These pairs are the result and all come out.
-
-    Nulls: NULL, empty and shorter texts are in neither table. Repeated rows
-    are members each.
-    """
+def _shared_cuts(docs: DataFrame, doc_id: str, text: str, least: int) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
+    """The texts (doc_id, body, text), members, and the cuts (text, key, at) whose digest more than one text has; w and reach of the cuts."""
     # A stretch has a cut within its first w positions where the hash is its own, and at least reach characters after it.
     # A chunk ends w - 1 to 2 w - 2 after its cut, and whether there is a cut depends on w - 1 more on either side:
     # with reach = 3 (w - 1) all of that lies within the stretch, so that every text that has it has this chunk.
@@ -201,6 +187,70 @@ def shared_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     h = F.xxhash64("text")
     shared = cuts.groupBy("key").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo < hi").select("key")
     held = cut(cuts.join(shared, on="key").distinct())
+    return d, members, held, w, reach
+
+
+def recurring_parts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = 400) -> tuple[DataFrame, DataFrame]:
+    """text, char_start, char_end: the parts of each text that recur in other documents in stretches of at least ``least`` characters, and members as of ``shared_spans``.
+
+    The same parts as ``shared_parts`` of all spans, found without pairs: a
+    shared stretch holds a shared cut in its beginning, so that every stretch of
+    ``least`` characters around one is hashed as a whole (128 bits); what more
+    than one text has recurs, and a text's parts are what its recurring
+    stretches cover. A text that more than one document has recurs wholly.
+
+    Scale: a row for each character at which a recurring stretch may begin,
+    counts combined before the shuffle, so that a stretch that a third of all
+    texts hold costs each of them no more than one that two hold.
+
+    Nulls: as ``shared_spans``.
+    """
+    d, members, held, w, _ = _shared_cuts(docs, doc_id, text, least)
+    bodies = d.join(held.select("text").distinct(), on="text", how="left_semi").dropDuplicates(["text"]).select("text", "body")
+    x = _stretches(held.groupBy("text").agg(F.collect_set("at").alias("ats")).join(bodies, on="text"), least, w)
+    h = F.xxhash64("text")
+    shared = x.groupBy("key", "key2").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo < hi").select("key", "key2")
+    at = x.join(shared, on=["key", "key2"], how="left_semi").select("text", F.col("at").cast("long").alias("a"), (F.col("at") + F.lit(least)).cast("long").alias("z"))
+    line = at.unionByName(_whole(members)).groupBy("text", "a").agg(F.max("z").alias("z"))
+    by = Window.partitionBy("text").orderBy("a")
+    reach = F.max("z").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    island = line.withColumn("new", F.coalesce((F.col("a") > reach).cast("int"), F.lit(1))).withColumn("k", F.sum("new").over(by))
+    return island.groupBy("text", "k").agg(F.min("a").alias("char_start"), F.max("z").alias("char_end")).drop("k"), members
+
+
+def _whole(members: DataFrame) -> DataFrame:
+    """text, a, z of the texts that more than one document has."""
+    several = F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int")) > 1
+    copies = members.groupBy("text").agg(several.alias("several"), F.max("n_chars").alias("n")).where("several")
+    return copies.select("text", F.lit(0).cast("long").alias("a"), F.col("n").alias("z"))
+
+
+def shared_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = 400, crowd: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Stretches of at least ``least`` characters (code points) that different texts share, and which documents have which text.
+
+    The first table, spans, has text_a < text_b (digests), start_a, start_b and
+    length, for every pair of texts and every alignment found the whole of the
+    matching stretch. The second, members, has text, doc_id, n_chars for every
+    document of at least ``least`` characters: copies of one text are one text.
+
+    Cuts are placed by a gear rolling hash alone, so that they move with the
+    text when something is inserted before it: any two stretches of ``least``
+    equal characters have a cut in common whose digest lies wholly within them.
+    Texts that share a digest are compared character by character; so nothing
+    depends on a digest's being unique.
+
+    Scale: one row per cut (two in w + 1 characters) is shuffled by digest, and
+    those that only one text has are dropped there, counts combined before the
+    shuffle. Copies meet as one text, never in pairs. A pair of texts is
+    compared once for each alignment, not for each digest. A digest that more
+    than ``crowd`` texts have forms no pairs: around it whole stretches of
+    ``least`` characters are hashed, so that of a crowd only those texts meet
+    that share one. These pairs are the result and all come out.
+
+    Nulls: NULL, empty and shorter texts are in neither table. Repeated rows
+    are members each.
+    """
+    d, members, held, w, reach = _shared_cuts(docs, doc_id, text, least)
     many = held.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key")
     bodies = d.join(held.select("text").distinct(), on="text", how="left_semi").dropDuplicates(["text"]).select("text", "body")
     few = _meet(held.join(many, on="key", how="left_anti").select("text", "key", "at"))
@@ -278,12 +328,10 @@ def shared_parts(spans: DataFrame, members: DataFrame) -> DataFrame:
     A text that more than one document has recurs wholly. n_stretches counts
     what was merged into one.
     """
-    several = F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int")) > 1
-    copies = members.groupBy("text").agg(several.alias("several"), F.max("n_chars").alias("n")).where("several")
     a, b = (F.col(f"start_{k}").cast("long") for k in "ab")
     line = spans.select(F.col("text_a").alias("text"), a.alias("a"), (a + F.col("length")).alias("z"))
     line = line.unionByName(spans.select(F.col("text_b").alias("text"), b.alias("a"), (b + F.col("length")).alias("z")))
-    line = line.unionByName(copies.select("text", F.lit(0).cast("long").alias("a"), F.col("n").alias("z")))
+    line = line.unionByName(_whole(members))
     # the stretches that begin at one place are one, the longest: at most as many rows as the text has characters
     line = line.groupBy("text", "a").agg(F.max("z").alias("z"), F.count("*").alias("c"))
     w = Window.partitionBy("text").orderBy("a")
@@ -293,8 +341,8 @@ def shared_parts(spans: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def parts_of_documents(parts: DataFrame, members: DataFrame) -> DataFrame:
-    """doc_id, n_chars, char_start, char_end, n_stretches: every document with the parts of its text."""
-    return parts.join(members, on="text").select("doc_id", "n_chars", "char_start", "char_end", "n_stretches")
+    """doc_id, n_chars, char_start, char_end: every document with the parts of its text."""
+    return parts.join(members, on="text").select("doc_id", "n_chars", "char_start", "char_end")
 
 
 def shared_share(parts: DataFrame, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
