@@ -42,7 +42,7 @@ def hot_deck(
     one at least; the list of these groups has at most a row for every
     rows_per_block of the table, and is broadcast where the table's count makes
     that a million rows at most. Donors of the further levels are first reduced
-    to one record a day, and only rows that still lack something meet them.
+    to one record a day.
 
     Nulls: a NULL group is a group of its own; a record without a date can be
     no donor and is filled only from records of its own group without a date.
@@ -108,13 +108,8 @@ def hot_deck(
     for n in names.values():
         picked = picked.withColumn(f"{n}x", nearest(F.coalesce(F.col(f"{n}p"), F.col(f"{n}cp")), F.coalesce(F.col(f"{n}q"), F.col(f"{n}cq"))))
         picked = picked.withColumn(f"{n}lv", F.when(F.col(f"{n}x").isNotNull(), F.lit(within)))
-    if levels:
-        # only the few rows that lack something go on
-        lacking = reduce(or_, [F.col(f"{n}x").isNull() for n in names.values()])
-        rest = picked.where(lacking)
-        for level in levels:
-            rest = _from_level(rest, base, level, list(names.values()), row_id)
-        picked = picked.where(~lacking).unionByName(rest)
+    for level in levels:
+        picked = _from_level(picked, base, level, list(names.values()), row_id)
     cols = [F.col(x) for x in columns]
     for f, n in names.items():
         x, miss = F.col(f"{n}x"), F.col(n).isNull()
