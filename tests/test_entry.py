@@ -36,10 +36,7 @@ def plain(v):
     return str(v)
 
 
-SLOW = {"daily_matrix"}
-
-
-@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_against_sql(spark, duck, name):
     df = entry.queries()[name](spark, SMALL)
     rel = duck.execute(entry.oracle_sql()[name])

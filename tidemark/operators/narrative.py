@@ -102,7 +102,7 @@ def stratified(df: DataFrame, by: str, row_id: str, n: int, seed: int = 42) -> D
     Only the n least hashes of a group are ever gathered, in an aggregate that
     keeps n values, so that a large group costs no more than a small one.
     """
-    key = F.xxhash64(F.lit(seed), F.col(row_id))
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.col(row_id)))
     w = Window.partitionBy(by).orderBy("__h", row_id)
     first = Window.partitionBy(by, "__b").orderBy("__h", row_id)
     x = df.withColumn("__h", key).withColumn("__b", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(row_id)), F.lit(64)))

@@ -169,6 +169,10 @@ def spot_check(spark: SparkSession, d: str) -> DataFrame:
     return x.select("source_type", "chunk_id", F.substring(F.coalesce("quote", F.lit("")), 1, 80).alias("preview"))
 
 
+SPOT_SQL = with_(QNOTES) + """SELECT source_type, chunk_id, substr(coalesce(quote, ''), 1, 80) AS preview FROM qnotes
+QUALIFY row_number() OVER (PARTITION BY source_type ORDER BY md5('42|' || chunk_id), chunk_id) <= 10"""
+
+
 def cache_miss(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose content hasn't been annotated, as that of all news has: a key from text, prompt version and model, anti-joined with the keys there are."""
     docs = table(spark, d, "documents").select("doc_id", "source", content_key(F.col("text"), F.lit("v1"), F.lit("annotator-a")).alias("cache_key"))
@@ -236,4 +240,5 @@ ORACLE = {
     "annotator_agreement": AGREE_SQL,
     "score_summary": SUMMARY_SQL,
     "cache_miss": MISS_SQL,
+    "spot_check": SPOT_SQL,
 }

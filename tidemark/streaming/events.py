@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -12,15 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the session's checkpoints, or on this machine where none is set and the session is local."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is unset: name a folder all executors share")
-        base = tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+from tidemark.session import shared_folder
 
 
 def stream_of(spark: SparkSession, folder: str, table: str, per_trigger: int | None = None) -> DataFrame:
