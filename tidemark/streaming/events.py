@@ -44,15 +44,23 @@ def first_of(events: DataFrame, ts: str, keys: list[str], late: str = "1 day") -
     return timed(events, ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def alerts(events: DataFrame, key: str, ts: str, value: str, *, rows: int = 5, above: float = 0.0, cooldown: str = "1 day") -> DataFrame:
+def alerts(events: DataFrame, key: str, ts: str, value: str, *, rows: int = 5, above: float = 0.0, cooldown: str = "1 day", late: str = "1 day", keep: str = "30 days") -> DataFrame:
     """key, ts, level whenever the mean of a key's last ``rows`` values rises above ``above`` and no alert of the key is younger than cooldown.
 
-    State per key: its last values and the time of its last alert. Rows of a
-    batch are taken in order of time; NULL values are passed over.
+    State per key: its last values and the time of its last alert; a key of
+    which nothing came for ``keep`` (cooldown at least) beyond the watermark is
+    forgotten. Rows of a batch are taken in order of time, batches as they come;
+    NULL values are passed over, rows later than the watermark dropped.
     """
     wait = pd.Timedelta(cooldown).value // 1000  # microseconds
 
+    lasts = max(pd.Timedelta(keep), pd.Timedelta(cooldown)).value // 1_000_000  # milliseconds
+
     def step(k: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=[key, ts, "level"])
+            return
         held, last = state.get if state.exists else ([], -(2**62))
         held = list(held)
         out = []
@@ -67,11 +75,13 @@ def alerts(events: DataFrame, key: str, ts: str, value: str, *, rows: int = 5, a
                 last = at
             was = now
         state.update((held, last))
+        newest = int(batch[ts].iloc[-1].value // 1_000_000) if len(batch) else 0
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + lasts)
         yield pd.DataFrame(out, columns=[key, ts, "level"])
 
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
-    x = events.withColumn(ts, F.col(ts).cast("timestamp")).select(key, ts, value)
-    return x.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {ts} timestamp, level double", "held array<double>, last long", "append", GroupStateTimeout.NoTimeout)
+    x = timed(events, ts, late).select(key, ts, value)
+    return x.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {ts} timestamp, level double", "held array<double>, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run(stream: DataFrame, mode: str = "append") -> DataFrame:
