@@ -1,6 +1,8 @@
 import base64
 import os
 import random
+import sys
+import types
 
 import numpy as np
 import pytest
@@ -115,3 +117,34 @@ def test_p7_counts_tokens_of_the_vocabulary(spark, tmp_path):
             assert p["length"] == max(1, len(enc.encode_ordinary(t[p["char_start"] : p["char_end"]]))) <= 2048
         assert (len(ps) > 1) == (len(enc.encode_ordinary(t)) > 2048)
     assert max(g["place"] + g["length"] for g in got) <= 2048
+
+
+def small(spark, at, monkeypatch, lost=None):
+    """A table of documents, and a package of vocabularies in the same folder."""
+    spark.createDataFrame([(1, "The bank said")], "doc_id long, text string").write.parquet(str(at / "documents.parquet"))
+    monkeypatch.setitem(sys.modules, "public_tokenizers", types.SimpleNamespace(path=lambda n: str(at / n), PATTERN=r"\s+|\S+"))
+    if lost:
+        monkeypatch.setitem(sys.modules, lost, None)
+
+
+@pytest.mark.parametrize("query", ["p7_packed", "p7_placed", "p7_room"])
+@pytest.mark.parametrize("lost", ["public_tokenizers", "tiktoken", None])
+def test_p7_fails_without_its_vocabulary(spark, tmp_path, monkeypatch, lost, query):
+    from tidemark.llm.queries import QUERIES
+
+    if not lost:
+        pytest.importorskip("tiktoken")
+    small(spark, tmp_path, monkeypatch, lost)
+    with pytest.raises(ImportError if lost else FileNotFoundError, match=lost or "byte_bpe_50k"):
+        QUERIES[query](spark, str(tmp_path))
+
+
+def test_p7_fails_with_a_torn_vocabulary(spark, tmp_path, monkeypatch):
+    pytest.importorskip("tiktoken")
+    from tidemark.llm.queries import p7_packed
+
+    small(spark, tmp_path, monkeypatch)
+    # the first 256 ranks encode every text
+    (tmp_path / "byte_bpe_50k.tiktoken").write_bytes(b"".join(b"%s %d\n" % (base64.b64encode(bytes([i])), i) for i in range(256)))
+    with pytest.raises(Exception, match="256 ranks of 50256"):
+        p7_packed(spark, str(tmp_path)).collect()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 P = "__pk_"
 
-#: A token is this many characters where no tokenizer is at hand.
+#: A token is this many characters where no vocabulary is given.
 CHARS_PER_TOKEN = 4
 
 
@@ -69,12 +69,15 @@ def cut_texts(docs: DataFrame, doc_id: str, text: str, capacity: int) -> DataFra
     return d.select("doc_id", "piece", start.alias("char_start"), end.alias("char_end"), chars_to_tokens(end - start).alias("length"))
 
 
-def cut_by_vocabulary(docs: DataFrame, doc_id: str, text: str, capacity: int, path: str, pattern: str) -> DataFrame:
+def cut_by_vocabulary(docs: DataFrame, doc_id: str, text: str, capacity: int, path: str, pattern: str, n_ranks: int | None = None) -> DataFrame:
     """As ``cut_texts``, in tokens of a public byte-pair vocabulary: a file of ranks at ``path`` that executors can read, and its splitting pattern.
 
     length is what a piece has when it is encoded by itself. That may be more
     than the same stretch has within its text, so a piece ends at the last of
     the text's token ends with which it holds ``capacity`` at most.
+
+    With ``n_ranks``, a file of more or fewer ranks raises: a torn one would
+    encode all the same, into more tokens.
     """
     if capacity < 4:
         raise ValueError("a character may take 4 tokens")
@@ -86,6 +89,8 @@ def cut_by_vocabulary(docs: DataFrame, doc_id: str, text: str, capacity: int, pa
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        if n_ranks is not None and len(ranks) != n_ranks:
+            raise ValueError(f"{path} has {len(ranks)} ranks of {n_ranks}")
         enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for frame in frames:
             rows = []
@@ -111,15 +116,20 @@ def cut_by_vocabulary(docs: DataFrame, doc_id: str, text: str, capacity: int, pa
     return d.mapInPandas(cut, schema)
 
 
-def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str] | None:
-    """Path and splitting pattern of a vocabulary of the package public_tokenizers, None where it or tiktoken isn't installed."""
-    try:
-        import public_tokenizers
-        import tiktoken  # noqa: F401
-    except ImportError:
-        return None
+def public_vocabulary(name: str = "byte_bpe_50k.tiktoken", n_ranks: int = 50_256) -> tuple[str, str, int]:
+    """Path, splitting pattern and number of ranks of a vocabulary of the package public_tokenizers.
+
+    Raises where the package, tiktoken or the file is missing: a packing in
+    characters looks like one in tokens. Who wants characters calls ``pack``
+    without a vocabulary.
+    """
+    import public_tokenizers
+    import tiktoken  # noqa: F401
+
     path = public_tokenizers.path(name)
-    return (path, public_tokenizers.PATTERN) if os.path.exists(path) else None
+    if not os.path.isfile(path):
+        raise FileNotFoundError(f"no vocabulary at {path}")
+    return path, public_tokenizers.PATTERN, n_ranks
 
 
 def pack(
@@ -129,14 +139,15 @@ def pack(
     text: str = "text",
     capacity: int = 2048,
     pieces_per_shard: int = 100_000,
-    vocabulary: tuple[str, str] | None = None,
+    vocabulary: tuple[str, str] | tuple[str, str, int] | None = None,
 ) -> DataFrame:
     """Every text placed in a sequence: doc_id, piece, char_start, char_end, length, sequence, place.
 
     Lengths are in tokens of CHARS_PER_TOKEN characters or, with ``vocabulary``
-    (path of its ranks, splitting pattern), in its tokens. A text is cut only if
-    it alone exceeds ``capacity``, into whole sequences and a rest. Pieces of a
-    sequence lie end to end: place is the number of tokens before the piece.
+    (path of its ranks, splitting pattern, the number of ranks if known), in its
+    tokens. A text is cut only if it alone exceeds ``capacity``, into whole
+    sequences and a rest. Pieces of a sequence lie end to end: place is the
+    number of tokens before the piece.
 
     Scale: pieces are dealt by hash into shards of about ``pieces_per_shard``,
     each packed by itself in one pass; only lengths travel, no text. A shard

@@ -12,7 +12,7 @@ from tidemark.session import table
 
 
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
-    """In tokens of a public vocabulary; of four characters only where none is installed."""
+    """In tokens of a public vocabulary; fails where that is not installed."""
     return pack(table(spark, d, "documents"), vocabulary=public_vocabulary())
 
 
